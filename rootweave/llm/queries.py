@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rootweave.llm import exact_dedup, simhash
+from rootweave.llm import bpe_replay, exact_dedup, packing, quality_mil, secret_scan, simhash, token_count, topk, wavelet
 from rootweave.llm.common import table
 
 
@@ -14,11 +15,52 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op3_exact_dedup)}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_replay.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.shards(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10).withColumn("score", F.round("score", 6))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_secret_scan,
+        op3_exact_dedup,
+        op4_quality_classifier,
+        op5_byte_level_bpe,
+        op7_wavelet_shards,
+        op8_token_counts,
+        op9_best_fit_packing,
+        op10_exact_top_k,
+    )
+}
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": """
@@ -27,4 +69,9 @@ ORACLE: dict[str, str] = {
                      row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS n
               FROM documents WHERE text IS NOT NULL)
         WHERE copies > 1""",
+    "op10_exact_top_k": """
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+             p AS (SELECT a.r, a.vec_id, b.vec_id AS neighbor_id, b.r AS s, list_inner_product(a.e, b.e) AS score FROM v a JOIN v b ON a.r <> b.r),
+             n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, neighbor_id, s) AS rank FROM p)
+        SELECT vec_id, rank, neighbor_id, round(score, 6) AS score FROM n WHERE rank <= 10""",
 }
