@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootweave.llm import bpe_replay, exact_dedup, packing, quality_mil, secret_scan, simhash, token_count, topk, wavelet
+from rootweave.llm import bpe_replay, exact_dedup, packing, quality_mil, secret_scan, simhash, suffix_bpr, token_count, topk, wavelet
 from rootweave.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_bpr.spans(table(spark, sf_dir, "documents"))
+
+
 def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.shards(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_exact_dedup,
         op4_quality_classifier,
         op5_byte_level_bpe,
+        op6_repeated_passages,
         op7_wavelet_shards,
         op8_token_counts,
         op9_best_fit_packing,
@@ -69,6 +74,14 @@ ORACLE: dict[str, str] = {
                      row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS n
               FROM documents WHERE text IS NOT NULL)
         WHERE copies > 1""",
+    "op6_repeated_passages": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+             g AS (SELECT doc_id, t.i - 1 AS b, md5(array_to_string(w[t.i:t.i + 49], ' ')) AS k FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i) t WHERE len(w) >= 50),
+             f AS (SELECT doc_id, b, min(doc_id) OVER (PARTITION BY k) AS lo, max(doc_id) OVER (PARTITION BY k) AS hi FROM g),
+             s AS (SELECT DISTINCT doc_id, b, doc_id = lo AS is_first FROM f WHERE lo <> hi),
+             o AS (SELECT *, CASE WHEN b <= lag(b) OVER (PARTITION BY doc_id, is_first ORDER BY b) + 50 THEN 0 ELSE 1 END AS new FROM s),
+             i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, is_first ORDER BY b) AS island FROM o)
+        SELECT doc_id, min(b) AS word_begin, max(b) + 50 AS word_end, is_first FROM i GROUP BY doc_id, is_first, island""",
     "op10_exact_top_k": """
         WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
              p AS (SELECT a.r, a.vec_id, b.vec_id AS neighbor_id, b.r AS s, list_inner_product(a.e, b.e) AS score FROM v a JOIN v b ON a.r <> b.r),
