@@ -41,26 +41,42 @@ def bm25_part(tf: Column, length: Column, average: Column) -> Column:
 
 
 def phrase_frequency(tokens: Column, phrase: list[str]) -> Column:
-    """How often the words of a phrase stand next to each other; one word is the common case."""
+    """How often the words of a phrase stand next to each other in an array that is bound already."""
     if len(phrase) == 1:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    places = F.sequence(F.lit(1), F.size(tokens) - (len(phrase) - 1))
-    here = lambda i: F.slice(tokens, i, len(phrase)) == F.array(*[F.lit(w) for w in phrase])
-    return F.when(F.size(tokens) >= len(phrase), F.size(F.filter(places, here))).otherwise(0)
 
+    def here(t: Column, i: Column) -> Column:
+        out = t == phrase[0]
+        for k, w in enumerate(phrase[1:], 1):
+            out = out & F.coalesce(F.get(tokens, i + k) == w, F.lit(False))
+        return out
 
-def match(tokenised_docs: DataFrame, groups: list[list[str]]) -> DataFrame:
-    """(doc, len, f_0 ...): documents that have some phrase of every group, with each phrase's frequency.
+    return F.size(F.filter(tokens, here))
 
-    One scan: phrases are counted in place in each document's token array, so nothing shuffles.
+
+def phrase_counts(tokenised_docs: DataFrame, phrases: list[str]) -> DataFrame:
+    """(doc, len, f_0 ...): each phrase's frequency in each document.
+
+    The token array is bound once as a lambda variable: otherwise each use would split the text again.
     """
-    phrases = [p for g in groups for p in g]
-    counted = tokenised_docs.select("doc", F.size("tokens").cast("long").alias("len"), *[phrase_frequency(F.col("tokens"), p.split(" ")).cast("long").alias(f"f_{k}") for k, p in enumerate(phrases)])
+    one = F.transform(F.array("tokens"), lambda t: F.struct(F.size(t).cast("long").alias("len"), *[phrase_frequency(t, p.split(" ")).cast("long").alias(f"f_{k}") for k, p in enumerate(phrases)]))
+    return tokenised_docs.select("doc", F.explode(one).alias("c")).select("doc", "c.*")
+
+
+def has_all(groups: list[list[str]]) -> Column:
     at, keep = 0, F.lit(bool(groups))
     for g in groups:
         keep = keep & (F.greatest(F.lit(0).cast("long"), *[F.col(f"f_{at + k}") for k in range(len(g))]) > 0)
         at += len(g)
-    return counted.where(keep)
+    return keep
+
+
+def match(tokenised_docs: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """(doc, len, f_0 ...): documents that have some phrase of every group, with each phrase's frequency.
+
+    One scan: phrases are counted in place in each document's token array, so nothing shuffles.
+    """
+    return phrase_counts(tokenised_docs, [p for g in groups for p in g]).where(has_all(groups))
 
 
 def bm25(tokenised_docs: DataFrame, groups: list[list[str]]) -> DataFrame:
@@ -70,9 +86,9 @@ def bm25(tokenised_docs: DataFrame, groups: list[list[str]]) -> DataFrame:
     documents; its single row is joined to the matches.
     """
     phrases = [p for g in groups for p in g]
-    every = tokenised_docs.select(F.size("tokens").cast("long").alias("len"), *[(phrase_frequency(F.col("tokens"), p.split(" ")) > 0).cast("long").alias(f"h_{k}") for k, p in enumerate(phrases)])
-    total = every.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.sum(f"h_{k}").alias(f"n_{k}") for k in range(len(phrases))])
-    hits = match(tokenised_docs, groups).crossJoin(F.broadcast(total))
+    counts = phrase_counts(tokenised_docs, phrases)
+    total = counts.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f_{k}") > 0).alias(f"n_{k}") for k in range(len(phrases))])
+    hits = counts.where(has_all(groups)).crossJoin(F.broadcast(total))
     score = F.lit(0.0)
     for k in range(len(phrases)):
         score = score + F.when(F.col(f"f_{k}") > 0, idf(F.col("n_docs"), F.col(f"n_{k}")) * bm25_part(F.col(f"f_{k}"), F.col("len"), F.col("avg_len"))).otherwise(0.0)

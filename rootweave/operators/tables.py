@@ -39,8 +39,8 @@ def fingerprint_diff(stored: DataFrame, current: DataFrame, check_all: bool = Fa
     s = stored.select("path", *[F.col(c).alias(f"s_{c}") for c in ("mtime_ns", "size_bytes", "sha256")], F.lit(True).alias("in_s"))
     c = current.select("path", *[F.col(x).alias(f"c_{x}") for x in ("mtime_ns", "size_bytes", "sha256")], F.lit(True).alias("in_c"))
     both = s.join(c, "path", "full_outer")
-    same_stat = F.lit(not check_all) & (F.col("s_mtime_ns") <=> F.col("c_mtime_ns")) & (F.col("s_size_bytes") <=> F.col("c_size_bytes"))
-    change = F.when(F.col("in_s").isNull(), "added").when(F.col("in_c").isNull(), "removed").when(same_stat, "unchanged").when(F.col("s_sha256") <=> F.col("c_sha256"), "touched").otherwise("modified")
+    same_stat = F.lit(not check_all) & (F.col("s_mtime_ns").eqNullSafe(F.col("c_mtime_ns"))) & (F.col("s_size_bytes").eqNullSafe(F.col("c_size_bytes")))
+    change = F.when(F.col("in_s").isNull(), "added").when(F.col("in_c").isNull(), "removed").when(same_stat, "unchanged").when(F.col("s_sha256").eqNullSafe(F.col("c_sha256")), "touched").otherwise("modified")
     return both.select("path", change.alias("change")).where("change <> 'unchanged'")
 
 

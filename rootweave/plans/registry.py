@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from rootweave.plans import graph_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **graph_queries.QUERIES}
+ORACLE: dict[str, str] = {**text_queries.ORACLE, **graph_queries.ORACLE}
