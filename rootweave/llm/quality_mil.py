@@ -31,7 +31,7 @@ SIGNS, PAIRS = 192, 318
 DIM = SIGNS + PAIRS + 2
 HIDDEN, GATE = 48, 24
 TRAIN_DOCS = 4000
-EPOCHS, BATCH, RATE = 12, 64, 3e-3
+EPOCHS, STEPS, BATCH, RATE = 12, 600, 64, 3e-3
 THRESHOLD = 0.2
 
 
@@ -83,13 +83,13 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> dict[
 
 
 def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights after Adam on the balanced log loss of the bags' labels."""
+    """Weights after Adam on the balanced log loss of the bags' labels: `epochs` passes, or as many as make STEPS steps."""
     rng = np.random.default_rng(seed)
     draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     w = {"W": 4 * draw(DIM, HIDDEN), "b": np.zeros(HIDDEN, np.float32), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "a": draw(GATE), "c": draw(HIDDEN), "d": np.zeros(1, np.float32)}
     m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * BATCH // len(bags)))):
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]

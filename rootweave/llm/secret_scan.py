@@ -2,8 +2,8 @@
 
 A vocabulary learned from prose spends many tokens on a random string: few characters a token mark
 credentials, keys and passwords without a list of their formats. Candidates are the maximal runs of
-at least `min_chars` of the signs [A-Za-z0-9+/=_-] that mix letters with digits or change from lower
-to upper case; they are found by array operations on whole blocks, and only they are encoded.
+at least `min_chars` of the signs [A-Za-z0-9+/_-] that mix letters with digits or change from lower
+to upper case, with up to two = behind them; they are found by array operations on whole blocks, and only they are encoded.
 A candidate is a secret if it has at most `max_ratio` characters a token, unless it is known to be
 harmless: a UUID, a digest (hexadecimal of 32, 40, 56, 64, 96 or 128 digits) or one of `known`. Neither
 form excuses a string that is assigned to a secret's name (`token = "..."`, `password: ...`).
@@ -45,7 +45,7 @@ _UPPER, _LOWER, _DIGIT, _SIGN = 1, 2, 4, 8
 def _signs() -> np.ndarray:
     out = np.zeros(0x110000, np.uint8)
     out[65:91], out[97:123], out[48:58] = _UPPER, _LOWER, _DIGIT
-    out[[ord(c) for c in "+/=_-"]] = _SIGN
+    out[[ord(c) for c in "+/_-"]] = _SIGN
     return out
 
 
@@ -68,6 +68,9 @@ def candidates(texts: list[str | None], min_chars: int = MIN_CHARS) -> Iterator[
         turn[first[:-1]] = 0
         mixed = ((has & _DIGIT > 0) & (has & (_UPPER | _LOWER) > 0)) | (np.add.reduceat(turn, first[:-1]) > 0)
         doc = np.searchsorted(bounds, begin, "right") - 1
+        stop = bounds[doc + 1]
+        for _ in range(2):  # padding
+            end = end + ((end < stop) & (cp[np.minimum(end, len(cp) - 1)] == 61))
         for k in np.flatnonzero(mixed).tolist():
             yield lo + int(doc[k]), int(begin[k] - bounds[doc[k]]), int(end[k] - bounds[doc[k]])
 

@@ -13,6 +13,8 @@ import numpy as np
 
 #: Characters of a block; a longer document is a block of its own and is never cut.
 BLOCK_CHARS = 2_000_000
+#: Documents of a block, however short.
+BLOCK_DOCS = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MASK = (1 << 64) - 1
@@ -22,11 +24,11 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of documents whose texts hold about `most` characters together."""
+    """Ranges of documents whose texts hold about `most` characters together, of BLOCK_DOCS documents at most."""
     start = size = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if size and size + n > most:
+        if size and size + n > most or i - start >= BLOCK_DOCS:
             yield start, i
             start, size = i, 0
         size += n
@@ -76,7 +78,10 @@ def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     """64-bit hashes of values[begin:end] for many spans, from one prefix sum of a polynomial."""
     p, inverse = _powers_up_to(len(values) + 1)
     prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * p[: len(values)], out=prefix[1:])
+    prefix[1:] = values
+    prefix[1:] += np.uint64(1)
+    prefix[1:] *= p[: len(values)]
+    np.cumsum(prefix[1:], out=prefix[1:])
     return mix((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
