@@ -48,7 +48,8 @@ IMPORTS = {
 IMPORTS["typescript"], IMPORTS["cpp"] = IMPORTS["javascript"], IMPORTS["c"]
 EXTENDS = {"java": r"\bextends\s+(\w+)", "typescript": r"class\s+\w+[^{]*\bextends\s+(\w+)", "javascript": r"class\s+\w+\s+extends\s+(\w+)", "ruby": r"class\s+\w+\s*<\s*(\w+)", "php": r"\bextends\s+(\w+)", "cpp": r"(?:class|struct)\s+\w+\s*:\s*(?:public|private|protected)?\s*(\w+)", "csharp": r"class\s+\w+\s*:\s*(\w+)"}
 IMPLEMENTS = {"java": r"\bimplements\s+([\w,\s]+)", "typescript": r"\bimplements\s+([\w,\s]+)", "php": r"\bimplements\s+([\w,\s]+)"}
-_NOT_CALLS = {"if", "for", "while", "switch", "return", "catch", "function", "fn", "func", "def", "sizeof", "match", "new", "elif", "else", "do", "and", "or", "not", "in", "with", "assert", "super", "fun", "when"}
+_NOT_CALLS = {"if", "for", "while", "switch", "return", "catch", "function", "fn", "func", "def", "sizeof", "match", "elif", "else", "do", "and", "or", "not", "in", "with", "assert", "super", "fun", "when"}
+_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "else", "do", "function"}
 _CALL = re.compile(rf"(?<![\w$])({_ID})(!?)\s*\(")
 
 
@@ -133,7 +134,7 @@ def pattern_symbols(text: str, lang: str) -> tuple[list[dict], list[dict]]:
     for at, row in enumerate(rows):
         for pattern, kind in DECLARATIONS[lang]:
             m = re.match(pattern, row)
-            if m and m.group(1) not in _NOT_CALLS:
+            if m and m.group(1) not in _NOT_NAMES:
                 found.append({"name": m.group(1), "kind": kind, "line_start": at + 1, "line_end": _block_end(rows, at, lang) + 1, "signature": _signature(row), "docstring": None})
                 break
     open_: list[int] = []

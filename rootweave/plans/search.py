@@ -113,7 +113,7 @@ def search(index: dict[str, DataFrame], query: str, limit: int = 10, offset: int
         raise ValueError(f"unknown mode {mode}")
     p = plan(query)
     fetch = limit + offset
-    found = candidates(index, query, p, fetch, mode, vector)
+    found = candidates(index, query, p, fetch if compat_paging else fetch + 1, mode, vector)  # one more tells whether there is a next page
     payload: dict = {"query": query, "intent": p.intent, "mode": mode, "confidence": "low", "results": [], "recommended_reads": [], "fallback_suggestions": {}}
     if found is not None:
         order = ranked(found, query, p, mode).where(F.col("pos") <= fetch).cache()

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 from rootweave.functions import paths as P
 
@@ -72,27 +73,65 @@ def decode_utf8(contents: pd.Series) -> pd.Series:
     return contents.map(lambda b: bytes(b).decode("utf-8", errors="ignore") if b is not None else None)
 
 
+def listing(root: str) -> list[tuple[str, int, int]]:
+    """(path relative to root, bytes, mtime in ns) of all files under root, hidden ones too; denied directories aren't entered.
+
+    root is a path or URI of any file system that Arrow knows. Listing is the driver's part; files are read by the cluster.
+    """
+    system, base = _file_system(root)
+    out: list[tuple[str, int, int]] = []
+    todo = [base]
+    while todo:
+        for f in system.get_file_info(fs.FileSelector(todo.pop(), allow_not_found=True)):
+            if f.type == fs.FileType.Directory:
+                if f.base_name not in DENIED:
+                    todo.append(f.path)
+            elif f.type == fs.FileType.File:
+                out.append((f.path[len(base) :].lstrip("/"), f.size, f.mtime_ns or 0))
+    return sorted(out)
+
+
+def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/"))
+
+
 def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = MAX_BYTES, with_content: bool = True) -> DataFrame:
-    """Indexable files under root: file_id, path, lang, size_bytes, sha256, mtime_ns, parser, is_generated and content.
+    """Indexable files under root: file_id, path, lang, size_bytes, mtime_ns, parser, is_generated, sha256 and content.
 
-    Path, size and language gates come before anything that needs a file's bytes; without content the scan lists
-    metadata only. Paths are relative to root.
+    Path, size and language gates come before any file is opened; without content the scan is metadata only.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.escape(root.rstrip("/").removeprefix("file:"))
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^.*?{base}/", "")
-    found = files.withColumn("path", path).where(~in_denied_directory(F.col("path")) & ~is_ignored(F.col("path"), patterns or []) & ~P.is_secret_name(F.col("path")) & (F.col("length") <= max_bytes))
-    known = found.withColumn("lang", P.language(F.col("path"))).where("lang IS NOT NULL")
-    columns = [F.xxhash64("path").alias("file_id"), "path", "lang", F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), P.parser(F.col("lang")).alias("parser"), P.is_generated(F.col("path")).alias("is_generated")]
+    files = spark.createDataFrame(listing(root), "path string, length long, mtime_ns long")
+    path = F.col("path")
+    found = files.where(~in_denied_directory(path) & ~is_ignored(path, patterns or []) & ~P.is_secret_name(path) & (F.col("length") <= max_bytes))
+    known = found.withColumn("lang", P.language(path)).where("lang IS NOT NULL")
+    known = known.select(F.xxhash64("path").alias("file_id"), "path", "lang", F.col("length").alias("size_bytes"), "mtime_ns", P.parser(F.col("lang")).alias("parser"), P.is_generated(path).alias("is_generated"))
     if not with_content:
-        return known.select(*columns)
-    return known.where(~P.looks_binary(F.col("content"))).select(*columns, F.sha2("content", 256).alias("sha256"), decode_utf8(F.col("content")).alias("content"))
+        return known
+
+    @F.pandas_udf(BinaryType())
+    def read(paths: pd.Series) -> pd.Series:
+        system, base = _file_system(root)
+
+        def one(p: str) -> bytes | None:
+            try:
+                with system.open_input_stream(f"{base}/{p}") as f:
+                    return f.read()
+            except OSError:
+                return b""
+
+        return paths.map(one)
+
+    opened = known.repartition("path").withColumn("__bytes", read("path"))
+    text = opened.where(~P.looks_binary(F.col("__bytes")))
+    return text.withColumns({"sha256": F.sha2("__bytes", 256), "content": decode_utf8(F.col("__bytes"))}).drop("__bytes")
 
 
-def ignore_patterns(spark: SparkSession, root: str, extra: list[str] | None = None) -> list[str]:
+def ignore_patterns(root: str, extra: list[str] | None = None) -> list[str]:
     """The lines of the root's ignore files, in order, and extra ones."""
+    system, base = _file_system(root)
     out: list[str] = []
     for name in IGNORE_FILES:
-        hit = spark.read.format("binaryFile").option("pathGlobFilter", name).load(root).select("content").collect()  # one small file
-        out += bytes(hit[0]["content"]).decode("utf-8", "ignore").splitlines() if hit else []
+        if system.get_file_info(f"{base}/{name}").type == fs.FileType.File:
+            with system.open_input_stream(f"{base}/{name}") as f:
+                out += f.read().decode("utf-8", "ignore").splitlines()
     return out + (extra or [])
