@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootweave.llm import textkit as tk
+from rootweave.llm.common import batched
 
 #: The place of the public vocabularies; another path can be given to each operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -177,7 +178,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str
                 )
 
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return body.mapInArrow(run, f"doc_id {body.schema['doc_id'].dataType.simpleString()}, token_ids array<int>, n_tokens long, round_trip boolean")
+    return batched(body).mapInArrow(run, f"doc_id {body.schema['doc_id'].dataType.simpleString()}, token_ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode_documents(tokens: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", tokens_col: str = "token_ids") -> DataFrame:
@@ -190,4 +191,4 @@ def decode_documents(tokens: DataFrame, vocabulary: str = VOCABULARY, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     body = tokens.select(F.col(id_col).alias("doc_id"), F.col(tokens_col).cast("array<int>").alias("token_ids"))
-    return body.mapInArrow(run, f"doc_id {body.schema['doc_id'].dataType.simpleString()}, text string")
+    return batched(body).mapInArrow(run, f"doc_id {body.schema['doc_id'].dataType.simpleString()}, text string")

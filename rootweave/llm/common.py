@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+#: What an Arrow batch of rows may hold on its way to a Python worker, which bounds the worker's memory.
+BATCH_BYTES = 8 << 20
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, for an operator in Python: its session's Arrow batches hold BATCH_BYTES at most from here on."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootweave.llm import textkit as tk
+from rootweave.llm.common import batched
 
 PASSAGE_WORDS = 64
 SIGNS, PAIRS = 192, 318
@@ -156,7 +157,7 @@ def score(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, thre
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, mask=np.isnan(p)), pa.array(~(p < threshold))], names=["doc_id", "score", "is_kept"])
 
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return body.mapInArrow(run, f"doc_id {body.schema['doc_id'].dataType.simpleString()}, score double, is_kept boolean")
+    return batched(body).mapInArrow(run, f"doc_id {body.schema['doc_id'].dataType.simpleString()}, score double, is_kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -167,4 +168,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS,
     def good(texts: pd.Series) -> pd.Series:
         return pd.Series(~(scores(w, [t if isinstance(t, str) else None for t in texts]) < threshold))
 
-    return docs.where(good(F.col(f"`{text_col}`")))
+    return batched(docs).where(good(F.col(f"`{text_col}`")))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootweave.llm import textkit as tk
+from rootweave.llm.common import batched
 from rootweave.llm.token_count import VOCABULARY, encoding
 
 MIN_CHARS = 16
@@ -109,7 +110,7 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, min_chars: int = MIN_CHA
             )
 
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return body.mapInArrow(run, f"doc_id {body.schema['doc_id'].dataType.simpleString()}, char_begin long, char_end long, n_tokens long, chars_per_token double, secret_sha256 string")
+    return batched(body).mapInArrow(run, f"doc_id {body.schema['doc_id'].dataType.simpleString()}, char_begin long, char_end long, n_tokens long, chars_per_token double, secret_sha256 string")
 
 
 def redacted(texts: list[str | None], mask: str = MASK, **how: object) -> list[str | None]:
@@ -134,7 +135,7 @@ def redact(docs: DataFrame, vocabulary: str = VOCABULARY, mask: str = MASK, text
 
     old, new = F.col(f"`{text_col}`"), clean(F.col(f"`{text_col}`"))
     names = docs.columns
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), old.alias("__old"), new.alias("__new"))
+    out = batched(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), old.alias("__old"), new.alias("__new"))
     row = F.col("__row")
 
     def column(c: str):  # noqa: ANN202

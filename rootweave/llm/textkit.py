@@ -15,6 +15,8 @@ import numpy as np
 BLOCK_CHARS = 2_000_000
 #: Documents of a block, however short.
 BLOCK_DOCS = 1 << 19
+#: Values hashed at once.
+STRETCH = 500_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MASK = (1 << 64) - 1
@@ -74,8 +76,7 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[begin:end] for many spans, from one prefix sum of a polynomial."""
+def _span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     p, inverse = _powers_up_to(len(values) + 1)
     prefix = np.zeros(len(values) + 1, np.uint64)
     prefix[1:] = values
@@ -85,6 +86,25 @@ def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return mix((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of values[begin:end] for many spans, from one prefix sum of a polynomial.
+
+    Spans in order are hashed stretch by stretch, which bounds the arrays in between; the hash of a span depends
+    on its values alone.
+    """
+    if len(values) <= STRETCH or not len(begin) or (begin[1:] < begin[:-1]).any():
+        return _span_hashes(values, begin, end)
+    out = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(begin):
+        lo = int(begin[at])
+        stop = max(at + 1, int(np.searchsorted(begin, lo + STRETCH)))
+        hi = int(end[at:stop].max())
+        out[at:stop] = _span_hashes(values[lo:hi], begin[at:stop] - lo, end[at:stop] - lo)
+        at = stop
+    return out
+
+
 def run_spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal runs of True that don't cross a document bound."""
     n = len(inside)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from rootweave.llm import bpe_replay as bpe
 from rootweave.llm import textkit as tk
+from rootweave.llm.common import batched
 
 SHARD_TOKENS = 4_000_000
 BLOCK_BITS = 1 << 15
@@ -191,7 +192,7 @@ def shards(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, shard_tokens: int
             yield out()
 
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return body.mapInArrow(run, "shard string, doc_ids array<long>, doc_begins array<long>, n_tokens long, blob binary")
+    return batched(body).mapInArrow(run, "shard string, doc_ids array<long>, doc_begins array<long>, n_tokens long, blob binary")
 
 
 def occurrences(matrices: DataFrame, tokens: list[int]) -> DataFrame:
