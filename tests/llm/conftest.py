@@ -1,17 +1,11 @@
-import random
-
 import pytest
+from llm_samples import prose
 from pyspark.sql import functions as F
 
 #: Names that the operators use inside, as extra columns of the input.
 CLASH = ("__id", "__text", "__row", "__len", "__prefix", "__gone", "__old", "__new", "group_id", "is_kept", "h1", "a", "b", "blob", "n_tokens", "score", "bin", "g")
 
 
-def prose(n, seed, vocabulary=4000):
-    rng = random.Random(seed)
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def docs_of(spark):
     def make(rows, clash=True):

@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
-from conftest import prose  # noqa: F401  (tests/llm/conftest.py)
+from llm_samples import prose
 
 from rootweave.llm import exact_dedup, simhash
 from rootweave.llm.common import components

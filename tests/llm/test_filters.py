@@ -2,7 +2,7 @@ import random
 import secrets as rnd
 
 import numpy as np
-from conftest import prose
+from llm_samples import prose
 
 from rootweave.llm import packing, quality_mil, secret_scan, suffix_bpr
 from rootweave.llm import textkit as tk

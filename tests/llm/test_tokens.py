@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 import tiktoken
-from conftest import prose
+from llm_samples import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
