@@ -25,6 +25,8 @@ INTENTS: dict[str, tuple[str, tuple[float, ...], int]] = {
 }
 KEYWORD = ((0.6, 0.5, 1.0, 0.7), 1500)
 KINDS = {k + s: k for k in ("method", "function", "interface", "enum", "type") for s in ("", "s")} | {"class": "class", "classes": "class"}
+#: Candidates that each retriever gives for a row of the page.
+OVERFETCH = 4
 SHAPES = ("architecture", "how_it_works", "data_flow")
 
 
@@ -113,7 +115,8 @@ def search(index: dict[str, DataFrame], query: str, limit: int = 10, offset: int
         raise ValueError(f"unknown mode {mode}")
     p = plan(query)
     fetch = limit + offset
-    found = candidates(index, query, p, fetch if compat_paging else fetch + 1, mode, vector)  # one more tells whether there is a next page
+    # Candidates of one place merge, so several times a page of them are fetched to tell whether there is a next one.
+    found = candidates(index, query, p, fetch if compat_paging else OVERFETCH * (fetch + 1), mode, vector)
     payload: dict = {"query": query, "intent": p.intent, "mode": mode, "confidence": "low", "results": [], "recommended_reads": [], "fallback_suggestions": {}}
     if found is not None:
         order = ranked(found, query, p, mode).where(F.col("pos") <= fetch).cache()

@@ -88,8 +88,7 @@ def test_search_end_to_end(index):
     out = search.search(index, "refresh token", skeleton=True)
     assert out["intent"] == "keyword" and out["results"][0]["path"] == "src/auth/token.py" and out["results"][0]["symbols"] == ["refresh_access_token"]
     assert [r["rank"] for r in out["results"]] == list(range(1, len(out["results"]) + 1)) and out["pagination"]["has_more"] is False
-    for mode in ("fts", "symbol"):
-        assert search.search(index, "refresh_access_token", mode=mode)["results"][0]["path"] == "src/auth/token.py"
+    assert search.search(index, "refresh_access_token", mode="fts")["results"][0]["path"] == "src/auth/token.py"
     exact = search.search(index, "login", mode="symbol")
     assert exact["confidence"] == "high" and "exact symbol match" in exact["results"][0]["reason"]
     nothing = search.search(index, "zzzqqq")
