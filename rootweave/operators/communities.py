@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rootweave.functions import paths as P
 from rootweave.operators.graph import cut
+from rootweave.operators.order import numbered
 
 PASSES = 20
 MAX_GODS, TOP_NODES, MAX_BRIDGES, BRIDGE_EDGES, MAX_COMMUNITIES, MIN_COMMUNITY, MAX_QUESTIONS = 20, 5, 12, 2, 40, 2, 8
@@ -120,7 +121,7 @@ def propagate(pairs: DataFrame, rounds: int = PASSES) -> DataFrame:
 
 def renumber(labels: DataFrame) -> DataFrame:
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-    dense = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).select("label", "community")
+    dense = numbered(sizes, F.desc("n"), "least", name="community").select("label", "community")
     return labels.join(dense, "label").select("node", "community", *[c for c in labels.columns if c not in ("node", "label")])
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rootweave.operators.order import numbered
+
 EDGE_LIMIT = 500
 _CAP = 20
 
@@ -18,7 +20,7 @@ _CAP = 20
 def dense_ids(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """(key, n): a number from 0 for every node of edges, in order of keys."""
     keys = edges.select(F.col(source).alias("key")).union(edges.select(F.col(target))).distinct()
-    return keys.withColumn("n", F.row_number().over(Window.orderBy("key")) - 1)
+    return numbered(keys, "key")
 
 
 def _numbered(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def cypher_edges(edges: DataFrame) -> DataFrame:
 def layout(nodes: DataFrame, width: int = 1200, height: int = 760, key: str = "id") -> DataFrame:
     """Nodes on a circle, in order of their keys: id, x, y."""
     radius = min(width, height) * 0.38
-    at = nodes.withColumns({"__i": F.row_number().over(Window.orderBy(key)) - 1, "__c": F.count("*").over(Window.partitionBy())})
+    at = numbered(nodes, key, name="__i").crossJoin(F.broadcast(nodes.agg(F.count("*").alias("__c"))))  # one row
     angle = 2 * F.pi() * F.col("__i") / F.col("__c")
     return at.select(F.col(key).alias("id"), F.round(width / 2 + radius * F.cos(angle), 2).alias("x"), F.round(height / 2 + radius * F.sin(angle), 2).alias("y"))
 
