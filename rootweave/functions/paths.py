@@ -28,8 +28,8 @@ BY_SUFFIX = {
     "hcl": "hcl",
     **dict.fromkeys(("ini", "cfg", "conf", "properties"), "ini"),
 }
-BY_NAME = {"dockerfile": "dockerfile", "containerfile": "dockerfile", "makefile": "make", "gnumakefile": "make"}
-CODE = ("python", "typescript", "javascript", "go", "java", "rust", "c", "cpp", "csharp", "ruby", "php", "kotlin", "lua")
+BY_NAME = dict.fromkeys(("containerfile", "dockerfile"), "dockerfile") | dict.fromkeys(("gnumakefile", "makefile"), "make")
+CODE = tuple("c cpp csharp go java javascript kotlin lua php python ruby rust typescript".split())
 FULL_GRAPH = tuple(c for c in CODE if c != "lua")
 
 
@@ -64,7 +64,7 @@ def graph_tier(lang: Column) -> Column:
 def is_secret_name(path: Column) -> Column:
     """Names of files that hold credentials and must never be indexed."""
     name = F.lower(file_name(path))
-    exact = name.isin(".env", "id_rsa", "id_ed25519", "credentials.json", "service-account.json", "secrets.json")
+    exact = name.isin("credentials.json", "secrets.json", "service-account.json", "id_ed25519", "id_rsa", ".env")
     return exact | name.startswith(".env.") | name.rlike(r"\.(pem|key|p12|pfx)$")
 
 
@@ -78,7 +78,7 @@ def is_test(path: Column) -> Column:
     parts = F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/")
     name = F.element_at(parts, -1)
     stem = F.element_at(F.split(name, r"\."), 1)
-    above = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(x) for x in ("test", "tests", "__tests__", "__test__", "testing", "spec", "specs", "e2e")]))
+    above = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(x) for x in "__test__ __tests__ e2e spec specs test testing tests".split()]))
     return above | (stem == "test") | stem.startswith("test_") | stem.endswith("_test") | name.contains(".test.") | name.contains(".spec.")
 
 
@@ -86,7 +86,7 @@ def is_test_for_labels(path: Column) -> Column:
     """Test files as community labels see them: any part of the path counts, the rules for names differ."""
     parts = F.split(F.lower(path), "/")
     name = F.element_at(parts, -1)
-    among = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in ("test", "tests", "__tests__", "spec", "specs")]))
+    among = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in "__tests__ spec specs test tests".split()]))
     return among | name.startswith("test_") | name.startswith("test.") | name.contains("_test.") | name.contains(".test.")
 
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 STOP_WORDS = tuple(
-    "the a an is are was were be been being how does do did what where which who whom when why to of in on for and or with from it this that these those into during if via across between about their its".split()
+    "a about across an and are be been being between did do does during for from how if in into is it its of on or that the their these this those to via was were what when where which who whom why with".split()
 )
-SNIPPET_STOP_WORDS = tuple("the a an is are how does do what where which to of in on for and or with from".split())
+SNIPPET_STOP_WORDS = tuple("a an and are do does for from how in is of on or the to what where which with".split())
 WORD = r"[A-Za-z0-9_]+"
-SUBTOKEN = r"[A-Z]+(?![a-z])|[A-Z]?[a-z0-9]+"
+SUBTOKEN = r"[A-Z]+(?=[^a-z]|$)|[A-Z]?[0-9a-z]+"
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 
@@ -53,7 +53,7 @@ def split_identifier(name: str) -> list[str]:
     return [p for part in name.split("_") for p in re.findall(SUBTOKEN, part) if len(p) >= 2]
 
 
-def salient_terms(query: str) -> list[str]:
+def salient_terms(query: str) -> list:
     """A query's words that carry meaning, lower-cased, in order, once each."""
     found = [w.lower() for w in re.findall(WORD, query)]
     return list(dict.fromkeys(w for w in found if len(w) >= 3 and w not in STOP_WORDS))
@@ -105,9 +105,10 @@ def signature(text: Column) -> Column:
     return F.rtrim(F.regexp_replace(F.element_at(F.split(text, "\n"), 1), r"\{+\s*$", ""))
 
 
-AWS = r"\bAKIA[0-9A-Z]{16}\b"
-ASSIGNED = r"""(?i)\b(api[_-]?key|access[_-]?token|secret|token|password)\b(\s*[:=]\s*)(["']?)[A-Za-z0-9_./+=:-]{16,}\3"""
-KEY_BLOCK = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----.*?-----END \1-----", re.DOTALL)
+AWS = r"\bAKIA[A-Z\d]{16}\b"
+SECRET_NAMES, SECRET_SIGNS = "password|secret|token|access[_-]?token|api[_-]?key", r"\w.:/+=-"
+ASSIGNED = rf"""(?i)\b({SECRET_NAMES})\b(\s*[:=]\s*)(["']?)[{SECRET_SIGNS}]{{16,}}\3"""
+KEY_BLOCK = re.compile(r"(?s)-{5}BEGIN (?P<kind>[A-Z ]*PRIVATE KEY)-{5}.*?-{5}END (?P=kind)-{5}")
 
 
 @F.pandas_udf(StringType())

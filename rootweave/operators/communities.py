@@ -198,9 +198,10 @@ def summary(edges: DataFrame, nodes: DataFrame) -> dict:
 
 def questions(gods: list[dict], crossing: list[dict], names: dict[int, str], limit: int = MAX_QUESTIONS) -> list[str]:
     """Questions to begin with, from the three strongest hubs and bridges."""
-    asked: list[str] = []
-    for g in gods[:3]:
-        asked += [f"How does `{g['name']}` work?", f"What breaks if `{g['name']}` changes?"] if g["kind"] == "symbol" else [f"What is the role of `{g['name']}` in the architecture?"]
+    asked = []
+    for kind, name in ((g["kind"], g["name"]) for g in gods[:3]):
+        of_file = [f"What is the role of `{name}` in the architecture?"]
+        asked += [f"How does `{name}` work?", f"What breaks if `{name}` changes?"] if kind == "symbol" else of_file
     for x in crossing[:3]:
         a, b = (names.get(x[k]) or f"community {x[k]}" for k in ("from_community", "to_community"))
         if a != b:

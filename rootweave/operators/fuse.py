@@ -70,7 +70,7 @@ def bonus(query_terms: list[str], architecture: bool = False) -> tuple[Column, C
     demoted = F.coalesce("is_generated", F.lit(False)) | (P.is_test(F.col("path")) & F.lit(not {"test", "tests"} & set(query_terms)))
     plus = lambda cond, x: F.when(cond, x).otherwise(0.0)
     total = (
-        plus((F.col("source") == "symbol") & F.col("kind").isin("function", "method", "class", "interface", "type"), 0.05)
+        plus((F.col("source") == "symbol") & F.col("kind").isin("class", "function", "interface", "method", "type"), 0.05)
         + plus(F.col("exact_symbol"), 0.20)
         + plus(F.array_contains(terms, F.lower("symbol")), 0.05)
         + plus(in_path, 0.05)

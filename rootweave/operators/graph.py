@@ -29,7 +29,7 @@ OWN_SUFFIXES = {
     "php": ["{b}.php"],
 }
 ANY_SUFFIXES = [
-    *("{b}" + s for s in (".py", "/__init__.py", ".ts", ".tsx", ".js", "/index.ts", "/index.tsx", "/index.js", ".java", ".kt", ".scala", ".go")),
+    *("{b}" + s for s in ".py /__init__.py .ts .tsx .js /index.ts /index.tsx /index.js .java .kt .scala .go".split()),
     *("{r}" + s for s in (".rs", "/mod.rs")),
     *("src/{r}" + s for s in (".rs", "/mod.rs")),
     *("{b}" + s for s in (".cs", ".rb", ".php")),
@@ -181,7 +181,7 @@ def impact(target: str, edges: DataFrame, files: DataFrame, symbols: DataFrame,
     return ordered, found.groupBy("path").agg(F.min("distance").alias("distance")).orderBy("distance", "path")
 
 
-def diff_impact(changed: DataFrame, edges: DataFrame, files: DataFrame, symbols: DataFrame, depth: int = 2, direction: str = "up", max_files: int = 200) -> tuple[DataFrame, DataFrame]:
+def diff_impact(changed: DataFrame, edges: DataFrame, files: DataFrame, symbols: DataFrame, max_files: int = 200, direction: str = "up", depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """(affected files, changed paths that aren't indexed) of a set of changed paths (path), as one walk with an origin."""
     if max_files < 1:
         raise ValueError("max_files must be 1 at least")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTAINERS = {"class", "struct", "interface", "trait", "impl", "enum", "record"}
-BRACES = {"typescript", "javascript", "go", "java", "rust", "c", "cpp", "csharp", "php", "kotlin"}
+BRACES = set("c cpp csharp go java javascript kotlin php rust typescript".split())
 _ID = r"[A-Za-z_$][\w$]*"
 _MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|async|export|default|pub(?:\([^)]*\))?|override|virtual|sealed|open|data|suspend|inline|unsafe|const|synchronized|readonly|partial|extern)\s+)*"
 #: Declarations by language: (pattern with the name as its group, kind).
@@ -49,6 +49,7 @@ IMPORTS["typescript"], IMPORTS["cpp"] = IMPORTS["javascript"], IMPORTS["c"]
 EXTENDS = {"java": r"\bextends\s+(\w+)", "typescript": r"class\s+\w+[^{]*\bextends\s+(\w+)", "javascript": r"class\s+\w+\s+extends\s+(\w+)", "ruby": r"class\s+\w+\s*<\s*(\w+)", "php": r"\bextends\s+(\w+)", "cpp": r"(?:class|struct)\s+\w+\s*:\s*(?:public|private|protected)?\s*(\w+)", "csharp": r"class\s+\w+\s*:\s*(\w+)"}
 IMPLEMENTS = {"java": r"\bimplements\s+([\w,\s]+)", "typescript": r"\bimplements\s+([\w,\s]+)", "php": r"\bimplements\s+([\w,\s]+)"}
 _NOT_CALLS = {"if", "for", "while", "switch", "return", "catch", "function", "fn", "func", "def", "sizeof", "match", "elif", "else", "do", "and", "or", "not", "in", "with", "assert", "super", "fun", "when"}
+_QUOTE = "[\"']"
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "else", "do", "function"}
 _CALL = re.compile(rf"(?<![\w$])({_ID})(!?)\s*\(")
 
@@ -64,14 +65,19 @@ def line_windows(rows: list[str], size: int, overlap: int, first: int = 1) -> It
 
 
 def estimate(text: str) -> int:
-    return max(1, round(len(text) / 4))
+    """T.token_estimate() of one text."""
+    quarter = len(text) / 4
+    return round(quarter) or 1
 
 
 def _signature(row: str) -> str:
     return row.strip().rstrip("{").rstrip()
 
 
-def python_symbols(text: str) -> tuple[list[dict], list[dict]]:
+Found = tuple[list[dict], list[dict]]
+
+
+def python_symbols(text: str) -> Found:
     tree, rows = ast.parse(text), text.splitlines()
     symbols: list[dict] = []
     edges: list[dict] = []
@@ -128,7 +134,7 @@ def _block_end(rows: list[str], at: int, lang: str) -> int:
     return at if not depth else len(rows) - 1
 
 
-def pattern_symbols(text: str, lang: str) -> tuple[list[dict], list[dict]]:
+def pattern_symbols(text: str, lang: str) -> Found:
     rows = text.splitlines()
     found: list[dict] = []
     for at, row in enumerate(rows):
@@ -226,12 +232,12 @@ def doc_chunks(text: str, path: str, lang: str | None) -> list[dict]:
             if body := text[h.end() : after].strip()[:200]:
                 add(h.start(), h.end() + len(body), f"{h.group().strip()}: {body}")
     elif lang == "python" or path.endswith(".py"):
-        for m in re.finditer(r"def\s+(test_\w+)\s*\(", text):
+        for m in re.finditer(r"\bdef\s+(test_\w+)\s*[(]", text):
             add(m.start(), m.start(), f"test function: {m.group(1)}", m.group(1))
-        for m in re.finditer(r"(?:def|class)\s+\w+[\s\S]*?(\"\"\"[\s\S]*?\"\"\")", text):
+        for m in re.finditer(r"(?s)(?:class|def)\s+\w+.*?(\"{3}.*?\"{3})", text):
             if len(doc := m.group(1).strip('"').strip()) > 10:
                 add(m.start(), m.end(), doc[:500], doc)
-        for m in re.finditer(r"raise\s+\w+\s*\(\s*[\"'](.+?)[\"']", text):
+        for m in re.finditer(rf"raise\s+\w+\s*[(]\s*{_QUOTE}(.+?){_QUOTE}", text):
             add(m.start(), m.start(), f"exception: {m.group(1)}", m.group(1))
     elif lang == "json":
         try:
@@ -241,7 +247,7 @@ def doc_chunks(text: str, path: str, lang: str | None) -> list[dict]:
         except ValueError:
             pass
     elif lang == "toml":
-        for m in re.finditer(r"^([\w.]+)\s*=", text, re.MULTILINE):
+        for m in re.finditer(r"(?m)^([.\w]+)\s*=", text):
             add(m.start(), m.start(), f"config key: {m.group(1)}")
     return out
 
@@ -287,7 +293,7 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """The symbols, chunks and edges_raw tables of parsed files, with ids that are hashes of content."""
     up = lambda s: F.when(s["parent"].isNotNull(), symbol_key(F.get("symbols", s["parent"])))
     symbols = parsed.select("file_id", "path", "symbols", F.explode("symbols").alias("s"))
-    symbols = symbols.select(symbol_key(F.col("s")).alias("symbol_id"), "file_id", "path", "s.name", "s.qualified", "s.kind", "s.line_start", "s.line_end", "s.signature", up(F.col("s")).alias("parent_id"), "s.docstring")
+    symbols = symbols.select(symbol_key(F.col("s")).alias("symbol_id"), "file_id", "path", "s.kind", "s.name", "s.qualified", "s.signature", "s.line_start", "s.line_end", up(F.col("s")).alias("parent_id"), "s.docstring")
     chunks = parsed.select("file_id", "path", "symbols", F.posexplode("chunks").alias("n", "c"))
     own = F.get("symbols", F.col("c.symbol"))
     chunks = chunks.select(

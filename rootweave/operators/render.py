@@ -111,11 +111,11 @@ def export_graph(edges: DataFrame, nodes: DataFrame, path: str, form: str) -> No
     ids = dense_ids(e)
     own = nodes.join(ids, "key")
     if form == "dot":
-        write_lines([dot_nodes(own), dot_edges(e, ids)], path, ["digraph code {", "  rankdir=LR;", "  node [shape=box, fontsize=10];"], ["}"])
+        write_lines([dot_nodes(own), dot_edges(e, ids)], path, ["digraph code {", "  graph [rankdir=LR];", "  node [fontsize=10, shape=box];"], ["}"])
     elif form == "graphml":
-        keys = [f'<key id="{k}" for="node" attr.name="{k}" attr.type="{t}"/>' for k, t in (("kind", "string"), ("name", "string"), ("path", "string"), ("community", "long"), ("degree", "long"))]
-        keys += [f'<key id="{k}" for="edge" attr.name="{k}" attr.type="string"/>' for k in ("edge_type", "confidence")]
-        write_lines([graphml_nodes(own), graphml_edges(e, ids)], path, ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph edgedefault="directed">'], ["</graph>", "</graphml>"])
+        keys = [f'<key attr.name="{k}" attr.type="{t}" for="node" id="{k}"/>' for t, ks in (("string", ("kind", "name", "path")), ("long", ("community", "degree"))) for k in ks]
+        keys += [f'<key attr.type="string" attr.name="{k}" for="edge" id="{k}"/>' for k in ("edge_type", "confidence")]
+        write_lines([graphml_nodes(own), graphml_edges(e, ids)], path, ["<?xml version='1.0'?>", "<!-- nodes, then edges -->", "<graphml xmlns='http://graphml.graphdrawing.org/xmlns'>", *keys, '<graph edgedefault="directed">'], ["</graph>", "</graphml>"])
     elif form == "cypher":
         write_lines([cypher_nodes(own), cypher_edges(e)], path, ["// graph export"])
     else:
@@ -128,9 +128,9 @@ def html(edges: DataFrame, nodes: DataFrame, title: str = "graph") -> str:
     keys = e.select(F.col("source").alias("key")).union(e.select("target")).distinct()
     placed = layout(keys.withColumnRenamed("key", "id"))
     n = nodes.join(placed, nodes["key"] == placed["id"]).select("id", "name", "path", "community", "degree", "x", "y").orderBy("id")
-    data = json.dumps({"nodes": [r.asDict() for r in n.collect()], "edges": [r.asDict() for r in e.collect()]}).replace("</", "<\\/")
+    data = json.dumps({"nodes": [r.asDict() for r in n.collect()], "edges": [r.asDict() for r in e.collect()]}).replace("</", r"<\/")
     script = (
-        "const g=JSON.parse(document.getElementById('g').textContent),s=document.querySelector('svg'),at=Object.fromEntries(g.nodes.map(n=>[n.id,n]));"
+        "const g=JSON.parse(document.getElementById('g').textContent),s=document.querySelector('svg'),at={};for(const n of g.nodes)at[n.id]=n;"
         "const put=(t,a,x)=>{const e=document.createElementNS(s.namespaceURI,t);for(const k in a)e.setAttribute(k,a[k]);if(x)e.textContent=x;s.append(e)};"
         "for(const e of g.edges){const a=at[e.source],b=at[e.target];if(a&&b)put('line',{x1:a.x,y1:a.y,x2:b.x,y2:b.y,class:e.confidence})}"
         "for(const n of g.nodes){put('circle',{cx:n.x,cy:n.y,r:6+Math.sqrt(n.degree||0),fill:`hsl(${(n.community*47)%360} 60% 50%)`});put('text',{x:n.x+10,y:n.y},n.name||n.path)}"
@@ -141,7 +141,8 @@ def html(edges: DataFrame, nodes: DataFrame, title: str = "graph") -> str:
 
 
 def to_json(payload: dict) -> str:
-    return json.dumps(payload, indent=2, ensure_ascii=False, default=str)
+    """A payload for tools: indented, other alphabets kept."""
+    return json.dumps(payload, default=str, ensure_ascii=False, indent=2)
 
 
 def envelope(tool: str, payload: dict) -> dict:
@@ -153,16 +154,19 @@ def markdown_table(columns: list[str], rows: list[list[object]]) -> list[str]:
 
 
 def markdown_search(payload: dict) -> str:
-    out = [f"**Query:** {payload['query']}  ", f"**Intent:** `{payload['intent']}` · **Confidence:** {payload['confidence']}", ""]
+    facts = {"Query": payload["query"], "Intent": f"`{payload['intent']}`", "Confidence": payload["confidence"]}
+    out = [" · ".join(f"**{k}:** {v}" for k, v in facts.items()), ""]
+    lines = lambda r: "-".join(str(r[k]) for k in ("line_start", "line_end"))
+    place = lambda r: f"`{r['path']}:{lines(r)}`"
     if payload["results"]:
-        out += markdown_table(["#", "Path", "Lines", "Reason"], [[r["rank"], f"`{r['path']}`", f"{r['line_start']}-{r['line_end']}", r["reason"]] for r in payload["results"]])
+        out += markdown_table(["#", "Path", "Lines", "Reason"], [[r["rank"], f"`{r['path']}`", lines(r), r["reason"]] for r in payload["results"]])
         for r in payload["results"]:
             if r["snippet"]:
-                out += ["", f"`{r['path']}:{r['line_start']}-{r['line_end']}`", "```", r["snippet"], "```"]
+                out += ["", place(r), "```", r["snippet"], "```"]
     else:
         out.append("_No index matches._")
     if payload["recommended_reads"]:
-        out += ["", "**Recommended reads:**", *(f"- `{r['path']}:{r['line_start']}-{r['line_end']}`" for r in payload["recommended_reads"])]
+        out += ["", "**Recommended reads:**", *(f"- {place(r)}" for r in payload["recommended_reads"])]
     if tries := payload["fallback_suggestions"].get("ripgrep"):
         out += ["", "**Fallback (low confidence), try:**", *(f"- `{t}`" for t in tries)]
     if (page := payload.get("pagination")) and page["has_more"]:

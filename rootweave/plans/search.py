@@ -15,18 +15,20 @@ from rootweave.plans.snippets import compact
 SOURCES = ("symbol", "path", "fts", "vector")
 #: Intent: (pattern, weights of the sources, token budget), tried in this order.
 INTENTS: dict[str, tuple[str, tuple[float, ...], int]] = {
-    "debug_error": (r"traceback|stack ?trace|error:|exception|why does .* fail", (0.6, 0.3, 1.0, 0.4), 1800),
-    "find_refs": (r"\b(who calls|find references|references to|callers of)\b", (1.0, 0.2, 0.3, 0.2), 1500),
-    "impact": (r"\b(what breaks|what depends on|impact of|affected if)\b", (1.0, 0.6, 0.3, 0.3), 1800),
-    "data_flow": (r"\b(data ?flow|where does .* get set|trace .* flow)\b", (0.9, 0.3, 0.8, 0.6), 2000),
-    "architecture": (r"\b(architecture|high-?level|overview|structure of)\b", (0.4, 0.5, 0.6, 0.5), 2500),
-    "how_it_works": (r"\b(how does|how do|explain how|how .* works?)\b", (0.7, 0.3, 1.0, 0.8), 2200),
-    "locate_impl": (r"\b(where is|find the|locate|implementation of|defined)\b", (1.0, 0.7, 0.4, 0.2), 1500),
+    "debug_error": (r"error:|exception|why does .* fail|stack ?trace|traceback", (0.6, 0.3, 1.0, 0.4), 1800),
+    "find_refs": (r"\b(callers of|references to|find references|who calls)\b", (1.0, 0.2, 0.3, 0.2), 1500),
+    "impact": (r"\b(affected if|impact of|what (?:depends on|breaks))\b", (1.0, 0.6, 0.3, 0.3), 1800),
+    "data_flow": (r"\b(trace .* flow|data ?flow|where does .* get set)\b", (0.9, 0.3, 0.8, 0.6), 2000),
+    "architecture": (r"\b(overview|structure of|high-?level|architecture)\b", (0.4, 0.5, 0.6, 0.5), 2500),
+    "how_it_works": (r"\b(explain how|how (?:do|does|.* works?))\b", (0.7, 0.3, 1.0, 0.8), 2200),
+    "locate_impl": (r"\b(defined|implementation of|find the|locate|where is)\b", (1.0, 0.7, 0.4, 0.2), 1500),
 }
 KEYWORD = ((0.6, 0.5, 1.0, 0.7), 1500)
 KINDS = {k + s: k for k in ("method", "function", "interface", "enum", "type") for s in ("", "s")} | {"class": "class", "classes": "class"}
 #: Candidates that each retriever gives for a row of the page.
 OVERFETCH = 4
+#: What a result shows of a ranked row as it is.
+SHOWN = ("path", "line_start", "line_end", "reason", "snippet", "token_est", "elided_lines", "skeletonized")
 SHAPES = ("architecture", "how_it_works", "data_flow")
 
 
@@ -82,7 +84,7 @@ def candidates(index: dict[str, DataFrame], query: str, p: Plan, limit: int, mod
         best = fulltext.top(scored, limit, "doc").withColumnRenamed("doc", "chunk_id")
         hits = index["chunks"].select("chunk_id", "file_id", "line_start", "line_end", "kind", "content", "token_est", "symbol_names").join(F.broadcast(best), "chunk_id").join(flags, "file_id")  # limit rows
         lists.append(hits.select("path", "line_start", "line_end", F.lit("fts").alias("source"), "score", "kind", F.expr("nullif(symbol_names, '')").alias("symbol"), "content", "token_est", F.lit(0).cast("long").alias("in_degree"), F.lit(0).cast("long").alias("out_degree"), F.lit(0).cast("long").alias("ref_count"), "is_generated", F.lit(False).alias("exact_symbol")))
-    if mode == "hybrid" and (parts := [t for t in re.split(r"[\s/.\\]+", query) if t]):
+    if mode == "hybrid" and (parts := re.findall(r"[^\s/.\\]+", query)):
         found = retrieve.path_candidates(flags, parts, limit)
         lists.append(found.select("path", F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("path").alias("source"), "score", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("content"), F.lit(0).alias("token_est"), F.lit(0).cast("long").alias("in_degree"), F.lit(0).cast("long").alias("out_degree"), F.lit(0).cast("long").alias("ref_count"), "is_generated", F.lit(False).alias("exact_symbol")))
     if mode in ("hybrid", "vector") and vector is not None and "vectors" in index:
@@ -106,7 +108,8 @@ def fallback(query: str) -> list[str]:
     terms = T.salient_terms(query) or [t.lower() for t in re.findall(T.WORD, query)]
     if not terms:
         return []
-    return [f"rg -n '{max(terms, key=len)}'", f"rg -n '{'.*'.join(terms[:3])}'"]
+    patterns = max(terms, key=len), ".*".join(terms[:3])
+    return [f"rg -n '{x}'" for x in patterns]
 
 
 def search(index: dict[str, DataFrame], query: str, limit: int = 10, offset: int = 0, budget: int = 0, mode: str = "hybrid", vector: list[float] | None = None, skeleton: bool = False, min_reduction: float = 0.25, compat_paging: bool = False) -> dict:
@@ -117,7 +120,7 @@ def search(index: dict[str, DataFrame], query: str, limit: int = 10, offset: int
     fetch = limit + offset
     # Candidates of one place merge, so several times a page of them are fetched to tell whether there is a next one.
     found = candidates(index, query, p, fetch if compat_paging else OVERFETCH * (fetch + 1), mode, vector)
-    payload: dict = {"query": query, "intent": p.intent, "mode": mode, "confidence": "low", "results": [], "recommended_reads": [], "fallback_suggestions": {}}
+    payload: dict = {"mode": mode, "intent": p.intent, "query": query, "results": [], "recommended_reads": [], "confidence": "low", "fallback_suggestions": {}}
     if found is not None:
         order = ranked(found, query, p, mode).where(F.col("pos") <= fetch).cache()
         try:
@@ -129,7 +132,7 @@ def search(index: dict[str, DataFrame], query: str, limit: int = 10, offset: int
                 c = compact(F.col("content"), F.col("path"), F.col("line_start"), 0 if p.intent in SHAPES else 2, query, min_reduction)
                 page = rows.withColumn("c", c).withColumns({"skeletonized": F.col("c.skeletonized"), "elided_lines": F.col("c.elided_lines"), "content": F.when(F.col("c.skeletonized"), F.col("c.text")).otherwise(F.col("content")), "token_est": F.when(F.col("c.skeletonized"), F.col("c.token_est")).otherwise(F.col("token_est"))}).drop("c")
             for r in fuse.apply_budget(page, spend * fetch // limit if offset else spend).orderBy("rank").collect():
-                payload["results"].append({"rank": offset + r["rank"], "path": r["path"], "line_start": r["line_start"], "line_end": r["line_end"], "symbols": [r["symbol"]] if r["symbol"] else [], "score": round(r["score"], 4), "reason": r["reason"], "token_est": r["token_est"], "skeletonized": r["skeletonized"], "elided_lines": r["elided_lines"], "snippet": r["snippet"]})
+                payload["results"].append({"rank": offset + r["rank"], "symbols": [r["symbol"]] if r["symbol"] else [], "score": round(r["score"], 4), **{k: r[k] for k in SHOWN}})
                 if r["recommended"]:
                     payload["recommended_reads"].append({k: r[k] for k in ("path", "line_start", "line_end")})
             if offset or limit:

@@ -14,8 +14,8 @@ from rootweave.functions import text as T
 from rootweave.operators import parse
 
 SHAPE = StructType([StructField("text", StringType()), StructField("token_est", IntegerType()), StructField("elided_lines", IntegerType()), StructField("skeletonized", BooleanType())])
-_DATA = {"json", "yaml", "toml", "ini"}
-_HEAD = re.compile(r"\s{0,3}#{1,6}\s")
+_DATA = {"ini", "json", "toml", "yaml"}
+_HEAD = re.compile(r"\s{,3}#{1,6}(?=\s)")
 
 
 def body_begin(rows: list[str], first: int, last: int, lang: str) -> int:
@@ -38,7 +38,7 @@ def kept_rows(content: str, lang: str | None) -> list[bool]:
                 keep[after] = True
         return keep
     if lang in _DATA:
-        return [not (s := r.strip()) or s in ("{", "}", "[", "]", "{}", "[]", "},", "],") or (s[0] == "[" and s[-1] == "]") or ":" in s or "=" in s for r in rows]
+        return [not (s := r.strip()) or re.fullmatch(r"[{\[]?[}\]]|[{\[]|[}\]],", s) is not None or (s[0] == "[" and s[-1] == "]") or ":" in s or "=" in s for r in rows]
     symbols = parse.parse_text("", lang, content)["symbols"] if lang in P.CODE else []
     keep = [True] * len(rows)
     shown = [(s["line_start"] - 1, min(s["line_end"], len(rows)) - 1, s["kind"]) for s in symbols if s["line_start"] <= len(rows)]

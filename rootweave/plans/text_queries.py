@@ -144,9 +144,9 @@ _PATH_ROWS = ", ".join(f"({i}, '{p}')" for i, p in enumerate(_PATHS))
 
 
 @query(f"""WITH v(i, tail) AS (VALUES {_PATH_ROWS}), f AS (SELECT source || '/' || tail AS path, lower(string_split(tail, '/')[-1]) AS name, string_split(lower(source || '/' || tail), '/')[:-2] AS dirs FROM (SELECT DISTINCT source FROM documents), v)
-          SELECT path, len(list_intersect(dirs, ['test', 'tests', '__tests__', '__test__', 'testing', 'spec', 'specs', 'e2e'])) > 0 OR string_split(name, '.')[1] = 'test' OR starts_with(name, 'test_') OR ends_with(string_split(name, '.')[1], '_test') OR contains(name, '.test.') OR contains(name, '.spec.') AS is_test,
+          SELECT path, len(list_intersect(dirs, ['__test__', '__tests__', 'e2e', 'spec', 'specs', 'test', 'testing', 'tests'])) > 0 OR string_split(name, '.')[1] = 'test' OR starts_with(name, 'test_') OR ends_with(string_split(name, '.')[1], '_test') OR contains(name, '.test.') OR contains(name, '.spec.') AS is_test,
                  contains(name, '.generated.') OR ends_with(name, '.min.js') OR ends_with(name, '.min.css') OR ends_with(name, '.generated') AS is_generated,
-                 name IN ('.env', 'id_rsa', 'id_ed25519', 'credentials.json', 'service-account.json', 'secrets.json') OR starts_with(name, '.env.') OR regexp_matches(name, '\\.(pem|key|p12|pfx)$') AS is_secret FROM f""")
+                 name IN ('credentials.json', 'secrets.json', 'service-account.json', 'id_ed25519', 'id_rsa', '.env') OR starts_with(name, '.env.') OR regexp_matches(name, '\\.(pem|key|p12|pfx)$') AS is_secret FROM f""")
 def path_flags(spark: SparkSession, d: str) -> DataFrame:
     tails = F.explode(F.array(*[F.lit(p) for p in _PATHS]))
     path = F.col("path")
@@ -184,7 +184,7 @@ def content_hash_groups(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("content_sha")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-_REDACT = r"(?i)\b(api[_-]?key|access[_-]?token|secret|token|password)\b(\s*[:=]\s*)""" + "\"[A-Za-z0-9_./+=:-]{16,}\""
+_REDACT = rf"(?i)\b({T.SECRET_NAMES})\b(\s*[:=]\s*)" + f'"[{T.SECRET_SIGNS}]{{16,}}"'
 
 
 @query(f"""SELECT doc_id, md5(regexp_replace(text, '{_REDACT}', '\\1\\2<<redacted:secret>>', 'g')) AS redacted_md5 FROM documents""")
@@ -233,7 +233,7 @@ def _lists(spark: SparkSession, d: str) -> DataFrame:
     return fts.unionByName(sym).unionByName(shape(doc.where("lang IN ('fr', 'es', 'en')"), "path", F.length("text") % 1000))
 
 
-_WEIGHTS = {"fts": 1.0, "symbol": 0.6, "path": 0.5}
+_WEIGHTS = {"path": 0.5, "symbol": 0.6, "fts": 1.0}
 
 
 @query(f"WITH {_LISTS} SELECT path, bucket, line_start, round(score, 6) AS score, agreeing_sources FROM fused")

@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType, StringType
 from rootweave.functions import paths as P
 
 DENIED = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".venv", "venv", "build", "dist", "target", ".next")
-IGNORE_FILES = (".gitignore", ".cursorignore", ".claudeignore", ".codeindexignore")
+IGNORE_FILES = tuple(f".{x}ignore" for x in ("git", "cursor", "claude", "codeindex"))
 MAX_BYTES = 1_000_000
 
 
@@ -44,7 +44,7 @@ def glob_regex(pattern: str) -> tuple[str, bool] | None:
             out, i = out + "[^/]", i + 1
         elif c == "[" and "]" in body[i + 2 :]:
             j = body.index("]", i + 2)
-            inner = body[i + 1 : j].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            inner = re.sub(r"[\\\[&]", r"\\\g<0>", body[i + 1 : j])
             out, i = out + "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]", j + 1
         elif c == "\\" and i + 1 < len(body):
             out, i = out + re.escape(body[i + 1]), i + 2

@@ -59,7 +59,7 @@ def test_intents(spark):
     assert {q: search.plan(q).intent for q in asked} == asked
     assert column(spark, list(asked), search.intent_of) == list(asked.values())
     p = search.plan("where is the exception defined")
-    assert p.intent == "debug_error" and p.weights == {"symbol": 1.0, "path": 0.7, "fts": 1.0, "vector": 0.4} and p.budget == 1800
+    assert p.intent == "debug_error" and p.weights == dict(zip(search.SOURCES, (1.0, 0.7, 1.0, 0.4))) and p.budget == 1800
     assert search.requested_kind("list methods") == "method" and search.requested_kind("class or method") is None
     assert search.explain_query("auth") == "how does auth work" and search.explain_query("How auth") == "How auth"
     assert search.fallback("find the refresh token") == ["rg -n 'refresh'", "rg -n 'find.*refresh.*token'"]
@@ -89,7 +89,7 @@ def test_symbols_by_language():
     assert [(s["name"], s["kind"]) for s in g["symbols"]] == [("S", "struct"), ("New", "function"), ("Do", "method")]
     r = parse.parse_text("p.rs", "rust", RUST)
     assert [(s["name"], s["kind"]) for s in r["symbols"]] == [("P", "struct"), ("P", "impl"), ("new", "method"), ("go", "method")]
-    samples = {"typescript": "interface A {\n}\n", "javascript": "const f = (x) => x;\n", "c": "int f(int a) {\n  return a;\n}\n", "cpp": "class A {\n};\n", "csharp": "class A {\n}\n", "ruby": "def f\nend\n", "php": "function f() {\n}\n", "kotlin": "fun f() {\n}\n", "lua": "function f()\nend\n"}
+    samples = {"typescript": "interface A {\n}\n", "javascript": "const f = (x) => x;\n", "c": "int f(int a) {\n  return a;\n}\n", "cpp": "class A {\n};\n", "csharp": "class A {\n}\n", "ruby": "def go\nend\n", "php": "function f() {\n}\n", "kotlin": "fun f() {\n}\n", "lua": "function f()\nend\n"}
     assert all(parse.parse_text("x", lang, t)["symbols"] for lang, t in samples.items())
     bad = parse.parse_text("x.py", "python", "def (:\n")
     assert bad["parse_failed"] and bad["chunks"] and not bad["symbols"]

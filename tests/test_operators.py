@@ -14,7 +14,7 @@ from rootweave.streaming import watch
 
 REPO = {
     "src/auth/token.py": '"""Token handling."""\n\n\ndef refresh_access_token(token):\n    """Exchange a refresh token for a new one."""\n    return token + "x"\n\n\ndef login(user, password):\n    """Log a user in and hand out a token."""\n    return refresh_access_token(user)\n',
-    "src/models/user.py": '"""Users."""\n\n\nclass User:\n    def __init__(self, name):\n        self.name = name\n',
+    "src/models/user.py": '"""Users."""\n\n\nclass User:\n    def __init__(self, given):\n        self.name = given.strip()\n',
     "src/api/service.py": '"""Service."""\n\nfrom auth.token import refresh_access_token\nfrom models.user import User\n\n\nclass AdminUser(User):\n    """An administrator that can renew a token."""\n\n    def renew(self):\n        return refresh_access_token(self.name)\n',
     "web/app.ts": "export function bootstrap() {\n  return 1;\n}\n",
     "docs/notes.md": "# Notes\nAbout the token.\n",
@@ -86,9 +86,11 @@ def test_cards_and_references(index):
 
 def test_search_end_to_end(index):
     out = search.search(index, "refresh token", skeleton=True)
-    assert out["intent"] == "keyword" and out["results"][0]["path"] == "src/auth/token.py" and out["results"][0]["symbols"] == ["refresh_access_token"]
+    first = out["results"][0]
+    assert (out["intent"], first["path"], first["symbols"]) == ("keyword", "src/auth/token.py", ["refresh_access_token"])
     assert [r["rank"] for r in out["results"]] == list(range(1, len(out["results"]) + 1)) and out["pagination"]["has_more"] is False
-    assert search.search(index, "refresh_access_token", mode="fts")["results"][0]["path"] == "src/auth/token.py"
+    (only, *_) = search.search(index, "refresh_access_token", mode="fts")["results"]
+    assert only["path"] == first["path"]
     exact = search.search(index, "login", mode="symbol")
     assert exact["confidence"] == "high" and "exact symbol match" in exact["results"][0]["reason"]
     nothing = search.search(index, "zzzqqq")
@@ -132,7 +134,7 @@ def test_the_worked_score(spark):
 
 def test_fusion_rules(spark):
     rows = [("a", 1, "fts", 5, None, None, 0, False, False), ("a", 20, "fts", 4, None, None, 0, False, False), ("b", 1, "fts", 3, None, None, 0, False, False), ("a", 50, "symbol", 1, "class", "A", 0, False, False)]
-    got = {(r.path, fuse_bucket(r.line_start)): r.score for r in fuse.fuse(candidate(spark, rows), {"fts": 1.0, "symbol": 0.0}).collect()}
+    got = {(r.path, fuse_bucket(r.line_start)): r.score for r in fuse.fuse(candidate(spark, rows), dict(symbol=0.0, fts=1.0)).collect()}
     assert got == {("a", 0): 1.0, ("b", 0): 60 / 62}  # duplicates count for ranks, a source without weight for nothing
 
 
@@ -180,7 +182,7 @@ def test_symbol_scores(spark):
 
 
 def two_triangles(spark):
-    e = [("00", "01"), ("01", "02"), ("00", "02"), ("10", "11"), ("11", "12"), ("10", "12"), ("00", "10"), ("00", "00")]
+    e = [("00", "01"), ("01", "02"), ("00", "02"), ("12", "10"), ("11", "12"), ("10", "11"), ("00", "10"), ("00", "00")]
     return spark.createDataFrame(e, "a string, b string")
 
 
