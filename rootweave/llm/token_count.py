@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootweave.llm import textkit as tk
-from rootweave.llm.common import cut
+from rootweave.llm.common import batched, cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FREQUENT = 65_536
@@ -113,13 +113,13 @@ def frequent_table(docs: DataFrame, vocabulary: str = VOCABULARY, entries: int =
     def join(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"at": pdf["at"].iloc[:1], "packed": [merged([np.frombuffer(p, _PACKED) for p in pdf["packed"]], entries).tobytes()]})
 
-    level = cut(docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(count, "at long, packed binary"))
-    while (n := level.count()) > FAN_IN:
+    level = cut(batched(docs).select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(count, "at long, packed binary"))
+    while (n := level.count()) > 1:
         level = cut(level.groupBy(F.pmod(F.xxhash64("packed"), F.lit(-(-n // FAN_IN))).alias("g")).applyInPandas(join, "at long, packed binary"))
-    rows = level.orderBy("packed").collect()
-    if not rows:
+    row = level.first()
+    if row is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    best = merged([np.frombuffer(r["packed"], _PACKED) for r in rows], entries)
+    best = np.frombuffer(row["packed"], _PACKED)
     best = best[np.argsort(best["hash"])]
     return best["hash"].astype(np.uint64), best["size"].astype(np.int64)
 
@@ -142,4 +142,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, entries: int = F
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, mask=np.array([t is None for t in texts], bool))], names=["doc_id", "n_tokens"])
 
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return body.mapInArrow(run, f"doc_id {body.schema['doc_id'].dataType.simpleString()}, n_tokens long")
+    return batched(body).mapInArrow(run, f"doc_id {body.schema['doc_id'].dataType.simpleString()}, n_tokens long")
