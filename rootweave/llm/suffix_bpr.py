@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.llm import textkit as tk
-from rootweave.llm.common import cut, shards, small_side, stored
+from rootweave.llm.common import batched, cut, shards, small_side, stored
 
 MIN_WORDS = 50
 GRAM = 16
 #: Records of a reduce task: (bucket, document) pairs when buckets are counted, stretches of words when they are refined.
-COUNT_EACH, REFINE_EACH = 1_000_000, 30_000
+COUNT_EACH, REFINE_EACH = 1_000_000, 10_000
 _PLACE = 28
 _STRETCH = np.dtype([("bucket", "<u8"), ("doc", "<i8"), ("begin", "<i8"), ("suffixes", "<i4"), ("words", "<i4")])
 
@@ -59,9 +59,10 @@ def records(texts: list[str | None], min_words: int = MIN_WORDS) -> Iterator[tup
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
         suffix = np.arange(len(low))
         suffix = suffix[doc[suffix] == doc[suffix + min_words - 1]]
-        best = (low[suffix] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+        best = gram[(low[suffix] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)]
+        # Neighbours of one bucket are one record, wherever their q-gram stands: a word said a thousand times is one stretch.
         head = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (doc[suffix[1:]] != doc[suffix[:-1]]))) if len(best) else none
-        yield lo, word, at, gram[best[head]], doc[suffix[head]], suffix[head], np.diff(np.append(head, len(best)))
+        yield lo, word, at, best[head], doc[suffix[head]], suffix[head], np.diff(np.append(head, len(best)))
 
 
 def dealt(where: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -127,8 +128,8 @@ def repeats(stretches: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS
     size = stretches["words"].astype(np.int64)
     first = tk.offsets_of(size + 1)[:-1]
     text = np.empty(int((size + 1).sum()), np.uint64)
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    inside = np.arange(len(text)) - first[owner]
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    inside = (np.arange(len(text)) - first[owner]).astype(np.int32)
     end = inside == size[owner]
     text[~end] = words
     text[end] = (1 << 32) + owner[end].astype(np.uint64)  # its own sign after each stretch
@@ -177,7 +178,7 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
             for lo, _, _, bucket, doc, _, _ in records(b.column(1).to_pylist(), min_words):
                 if len(bucket):
                     held.append(np.stack([bucket.view(np.int64), ids[lo + doc]], axis=1))
-            if sum(map(len, held)) > 2_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 yield out()
         if held:
             yield out()
@@ -192,7 +193,7 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
         at = np.flatnonzero(np.append(True, data[1:, 1] != data[:-1, 1])) if len(data) else np.zeros(0, np.int64)
         return pd.DataFrame({"doc_id": data[at, 1], "buckets": [x.tobytes() for x in np.split(data[:, 0], at[1:])] if len(at) else []})
 
-    some = body.mapInArrow(first, "p int, blob binary").groupBy("p").applyInPandas(shared, "doc_id long, buckets binary")
+    some = batched(body).mapInArrow(first, "p int, blob binary").groupBy("p").applyInPandas(shared, "doc_id long, buckets binary")
     some = stored(some.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("buckets").alias("__buckets")))
     found = some.agg(F.count("*"), F.sum(F.aggregate("__buckets", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()
     rows, total = found[0], (found[1] or 0) // 8
@@ -228,7 +229,7 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
                 offset = tk.offsets_of(need)
                 flat = (word >> np.uint64(32)).astype(np.uint32)[np.repeat(suffix - offset[:-1], need) + np.arange(offset[-1])]
                 held.append((info, flat))
-            if sum(len(h[1]) for h in held) > 8_000_000:
+            if sum(len(h[1]) for h in held) > 3_000_000:
                 yield out()
         if held:
             yield out()
@@ -237,7 +238,7 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
         doc, begin, end, is_first = repeats(np.frombuffer(b"".join(pdf["info"]), _STRETCH), np.frombuffer(b"".join(pdf["flat"]), np.uint32), min_words)
         return pd.DataFrame({"doc_id": doc, "b": begin, "e": end, "is_first": is_first})
 
-    pieces = chosen.mapInArrow(second, "p int, info binary, flat binary").groupBy("p").applyInPandas(refine, "doc_id long, b long, e long, is_first boolean")
+    pieces = batched(chosen).mapInArrow(second, "p int, info binary, flat binary").groupBy("p").applyInPandas(refine, "doc_id long, b long, e long, is_first boolean")
     own = Window.partitionBy("doc_id", "is_first").orderBy("b", "e")
     upto = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
     islands = pieces.withColumn("new", F.when(F.col("b") <= upto, 0).otherwise(1)).withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
