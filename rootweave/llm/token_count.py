@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup.
 
 First tier: a hash table of the most frequent pre-tokens' lengths in tokens, of a fixed number of
-entries (nine bytes each), built from all documents and broadcast. Second tier: pre-tokens that it
+entries (twelve bytes each), built from all documents and broadcast. Second tier: pre-tokens that it
 lacks are looked up in the worker's cache and, failing that, encoded with tiktoken. Pre-tokens never
 shuffle: to build the table each task counts its own and hands on one packed row with its most
 frequent, and these rows are merged in a tree of packed rows of the same bounded size. The table
@@ -62,7 +62,7 @@ class Counter:
         if len(self._hashes):
             at = np.minimum(np.searchsorted(self._hashes, hashes), len(self._hashes) - 1)
             missing = self._hashes[at] != hashes
-            out = np.where(missing, 0, self._sizes[at])
+            out = np.where(missing, 0, self._sizes[at].astype(np.int64))
         where = np.flatnonzero(missing)
         distinct, first, which = np.unique(hashes[where], return_index=True, return_inverse=True)
         begin, end = begin[where[first]].tolist(), end[where[first]].tolist()
@@ -127,7 +127,7 @@ def frequent_table(docs: DataFrame, vocabulary: str = VOCABULARY, entries: int =
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, entries: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of every document. With no entries, only the worker caches count, in one pass."""
     hashes, sizes = frequent_table(docs, vocabulary, entries, text_col) if entries else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast((hashes, sizes.astype(np.int16)))
+    shared = docs.sparkSession.sparkContext.broadcast((hashes, sizes.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary, *shared.value)

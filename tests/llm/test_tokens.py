@@ -77,6 +77,20 @@ def test_counts_equal_tiktoken(odd, docs_of):
     assert token_count.count_tokens(docs_of([])).count() == 0
 
 
+def test_counts_of_very_long_pretokens(docs_of):
+    dna = "".join(random.Random(4).choices("ACGT", k=120_000))
+    texts = ["a" * 200_000, "b a", dna, "中" * 70_000]
+    df = docs_of([(k, t) for k, t in enumerate(texts)] + [(9, texts[0]), (10, texts[0])])
+    encode = token_count.encoding(token_count.VOCABULARY).encode_ordinary
+    want = {k: len(encode(t)) for k, t in enumerate(texts)}
+    want[9] = want[10] = want[0]
+    assert max(want.values()) > 60_000
+    for entries in (token_count.FREQUENT, 1, 0):
+        assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(df, entries=entries).collect()} == want
+    table = token_count.frequent_table(df)
+    assert want[0] in table[1].tolist()  # a run that several documents share is in the table
+
+
 def test_frequent_table_holds_the_most_frequent(docs_of):
     df = docs_of([(k, "the of the " + prose(50, k)) for k in range(60)]).repartition(7)
     hashes, sizes = token_count.frequent_table(df, entries=5)
