@@ -84,6 +84,34 @@ def test_near_pairs_recall_against_all_pairs():
     assert len(got) == len(set(got)) and set(got) <= true and len(set(got)) >= 0.9 * len(true) > 0
 
 
+def near_found(fp):
+    positions = simhash.key_positions(simhash.TABLES, simhash.KEY_BITS)
+    return {p for t in range(simhash.TABLES) for a, b in simhash.range_pairs(fp, np.arange(len(fp)), t, positions, simhash.DISTANCE, simhash.PIVOTS) for p in zip(a.tolist(), b.tolist())}
+
+
+def test_recall_at_each_distance():
+    rng, n = np.random.default_rng(11), 400
+    for distance in range(12, simhash.DISTANCE + 1):
+        bits = rng.integers(0, 2, (n, simhash.BITS)).astype(np.uint8)
+        flips = np.zeros_like(bits)
+        np.put_along_axis(flips, np.argsort(rng.random(bits.shape), axis=1)[:, :distance], 1, axis=1)
+        fp = np.packbits(np.concatenate([bits, bits ^ flips]), axis=1).view(">i8").astype(np.int64)
+        got = near_found(fp)
+        assert sum((k, n + k) in got for k in range(n)) >= 0.9 * n, distance
+
+
+def test_recall_with_more_edits():
+    for share in (0.08, 0.1, 0.12):
+        rng, texts = random.Random(7), []
+        for k in range(400):
+            words = prose(150, k).split()
+            texts += [" ".join(words), " ".join(w if rng.random() > share else f"z{rng.randrange(10**6)}" for w in words)]
+        fp, _ = simhash.fingerprints(texts)
+        far = np.bitwise_count(fp[::2].view(np.uint64) ^ fp[1::2].view(np.uint64)).sum(axis=1)
+        true = {(2 * k, 2 * k + 1) for k in np.flatnonzero(far <= simhash.DISTANCE).tolist()}
+        assert len(true & near_found(fp)) >= 0.9 * len(true) > 30, share
+
+
 def test_pivots_never_lose_a_pair():
     rng = np.random.default_rng(0)
     bits = rng.integers(0, 2, (60, simhash.BITS)).astype(np.uint8)
