@@ -2,10 +2,10 @@
 
 A vocabulary learned from prose spends many tokens on a random string: few characters a token mark
 credentials, keys and passwords without a list of their formats. Candidates are the maximal runs of
-at least `min_chars` of the signs [A-Za-z0-9+/_-] that mix letters with digits or change from lower
-to upper case, with up to two = behind them; they are found by array operations on whole blocks, and only they are encoded.
-A candidate is a secret if it has at most `max_ratio` characters a token, unless it is known to be
-harmless: a UUID, a digest (hexadecimal of 32, 40, 56, 64, 96 or 128 digits) or one of `known`. Neither
+at least `min_chars` of the signs [A-Za-z0-9+/_-] with a letter among them, with up to two = behind
+them; they are found by array operations on whole blocks, and only they are encoded.
+A candidate is a secret if it has at most `max_ratio` characters a token (without digits and changes
+from lower to upper case also in lower case, as capitals alone make words cost tokens), unless it is known to be harmless: a UUID, a digest (hexadecimal of 32, 40, 56, 64, 96 or 128 digits) or one of `known`. Neither
 form excuses a string that is assigned to a secret's name (`token = "..."`, `password: ...`).
 
 Cases. Null and empty texts have no findings. Repeated rows and repeated strings are each reported.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -39,6 +39,7 @@ MASK = "<secret>"
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _NAMED = re.compile(r"(?i)(?:key|secret|token|passw(?:or)?d|passwd|pwd|bearer|credentials?|auth)[\"']?\s{0,8}(?:[:=]|:=|=>|\s)\s{0,8}[\"']?$")
+_MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 _UPPER, _LOWER, _DIGIT, _SIGN = 1, 2, 4, 8
 
 
@@ -50,8 +51,8 @@ def _signs() -> np.ndarray:
     return out
 
 
-def candidates(texts: list[str | None], min_chars: int = MIN_CHARS) -> Iterator[tuple[int, int, int]]:
-    """(text, begin, end) of every candidate."""
+def candidates(texts: list[str | None], min_chars: int = MIN_CHARS, plain: bool = False) -> Iterator[tuple[int, int, int]]:
+    """(text, begin, end) of every run that mixes letters with digits or changes from lower to upper case; plain: of every run with a letter."""
     for lo, hi in tk.blocks(texts):
         cp, bounds, _ = tk.code_points(texts[lo:hi])
         kind = _signs()[cp]
@@ -67,23 +68,31 @@ def candidates(texts: list[str | None], min_chars: int = MIN_CHARS) -> Iterator[
         turn = np.zeros(len(inside), np.int64)
         turn[1:] = (inside[:-1] == _LOWER) & (inside[1:] == _UPPER)
         turn[first[:-1]] = 0
-        mixed = ((has & _DIGIT > 0) & (has & (_UPPER | _LOWER) > 0)) | (np.add.reduceat(turn, first[:-1]) > 0)
+        wanted = (has & (_UPPER | _LOWER) > 0) if plain else ((has & _DIGIT > 0) & (has & (_UPPER | _LOWER) > 0)) | (np.add.reduceat(turn, first[:-1]) > 0)
         doc = np.searchsorted(bounds, begin, "right") - 1
         stop = bounds[doc + 1]
         for _ in range(2):  # padding
             end = end + ((end < stop) & (cp[np.minimum(end, len(cp) - 1)] == 61))
-        for k in np.flatnonzero(mixed).tolist():
+        for k in np.flatnonzero(wanted).tolist():
             yield lo + int(doc[k]), int(begin[k] - bounds[doc[k]]), int(end[k] - bounds[doc[k]])
 
 
+def dense(encode: Callable[[str], list[int]], found: str, max_ratio: float) -> int:
+    """The tokens of a string of at most max_ratio characters a token, 0 for others."""
+    n = len(encode(found))
+    if len(found) > max_ratio * n or not (_MIXED.search(found) or len(found) <= max_ratio * len(encode(found.lower()))):
+        return 0
+    return n
+
+
 def findings(texts: list[str | None], vocabulary: str = VOCABULARY, min_chars: int = MIN_CHARS, max_ratio: float = MAX_RATIO, known: frozenset[str] = frozenset()) -> Iterator[tuple[int, int, int, int]]:
     """(text, begin, end, tokens) of every secret."""
     encode = encoding(vocabulary).encode_ordinary
-    for k, begin, end in candidates(texts, min_chars):
+    for k, begin, end in candidates(texts, min_chars, plain=True):
         text = texts[k] or ""
         found = text[begin:end]
-        n = len(encode(found))
-        if len(found) > max_ratio * n or found in known:
+        n = dense(encode, found, max_ratio)
+        if not n or found in known:
             continue
         if (_UUID.fullmatch(found) or _DIGEST.fullmatch(found)) and not _NAMED.search(text[max(0, begin - 48) : begin]):
             continue

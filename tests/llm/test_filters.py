@@ -43,6 +43,18 @@ def test_random_strings_are_caught_and_prose_is_not():
     assert not any(found(prose(200, k)) for k in range(5))
 
 
+def test_random_letters_of_one_case_are_caught():
+    import string
+
+    rng = random.Random(6)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        for n in (16, 20, 40):
+            keys = ["".join(rng.choices(letters, k=n)) for _ in range(100)]
+            assert sum(found(f"password: {k} and") == [k] for k in keys) >= 99
+    assert secret_scan.redacted(["password: xqzvkwpjhgtrbnmd."]) == ["password: <secret>."]
+    assert found("internationalization INTERNATIONALIZATION UNCHARACTERISTICALLY environment/development/documents") == [] and found("-" * 40 + " " + "=" * 40) == []
+
+
 def test_scan_and_redact(spark, docs_of, odd):
     rows = [(1, f'token = "{HEX}" x {HEX}'), (2, "clean"), (None, f"password={HEX}"), (3, None), (4, ""), (1, f'token = "{HEX}" x {HEX}'), (5, prose(30_000, 1) + f" secret: {HEX}")]
     df = docs_of(rows)
