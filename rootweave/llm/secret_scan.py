@@ -7,6 +7,8 @@ them; they are found by array operations on whole blocks, and only they are enco
 A candidate is a secret if it has at most `max_ratio` characters a token (without digits and changes
 from lower to upper case also in lower case, as capitals alone make words cost tokens), unless it is known to be harmless: a UUID, a digest (hexadecimal of 32, 40, 56, 64, 96 or 128 digits) or one of `known`. Neither
 form excuses a string that is assigned to a secret's name (`token = "..."`, `password: ...`).
+Of a candidate over the ratio the parts between its separators + / _ - are tested in the same way, so that the words of
+a path or a slug don't hide a secret.
 
 Cases. Null and empty texts have no findings. Repeated rows and repeated strings are each reported.
 Null ids are passed through. Texts are scanned whole; a run of any length is one candidate. An empty
@@ -39,6 +41,8 @@ MASK = "<secret>"
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _NAMED = re.compile(r"(?i)(?:key|secret|token|passw(?:or)?d|passwd|pwd|bearer|credentials?|auth)[\"']?\s{0,8}(?:[:=]|:=|=>|\s)\s{0,8}[\"']?$")
+_PART = re.compile(f"{_UUID.pattern}(?![0-9A-Za-z])|[0-9A-Za-z]+=*")
+_LETTER = re.compile(r"[A-Za-z]")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 _UPPER, _LOWER, _DIGIT, _SIGN = 1, 2, 4, 8
 
@@ -85,6 +89,31 @@ def dense(encode: Callable[[str], list[int]], found: str, max_ratio: float) -> i
     return n
 
 
+def harmless(found: str) -> bool:
+    return bool(_UUID.fullmatch(found) or _DIGEST.fullmatch(found))
+
+
+def parts(encode: Callable[[str], list[int]], run: str, min_chars: int, max_ratio: float) -> Iterator[tuple[int, int, int]]:
+    """(begin, end, tokens) of the secrets within a run whose whole is over the ratio.
+
+    A run's parts lie between its separators. Neighbouring parts that are each under the ratio are one
+    string, as random ones have separators inside; UUIDs and digests stand alone.
+    """
+    begin, last = None, 0
+    for m in [*_PART.finditer(run), None]:
+        alone = m is not None and harmless(m.group())
+        joins = m is not None and not alone and len(m.group()) <= max_ratio * len(encode(m.group()))
+        if begin is not None and not joins:
+            found = run[begin:last]
+            if last - begin >= min_chars and _LETTER.search(found) and (n := dense(encode, found, max_ratio)):
+                yield begin, last, n
+            begin = None
+        if joins:
+            begin, last = m.start() if begin is None else begin, m.end()
+        elif alone and (n := dense(encode, m.group(), max_ratio)):
+            yield m.start(), m.end(), n
+
+
 def findings(texts: list[str | None], vocabulary: str = VOCABULARY, min_chars: int = MIN_CHARS, max_ratio: float = MAX_RATIO, known: frozenset[str] = frozenset()) -> Iterator[tuple[int, int, int, int]]:
     """(text, begin, end, tokens) of every secret."""
     encode = encoding(vocabulary).encode_ordinary
@@ -92,11 +121,13 @@ def findings(texts: list[str | None], vocabulary: str = VOCABULARY, min_chars: i
         text = texts[k] or ""
         found = text[begin:end]
         n = dense(encode, found, max_ratio)
-        if not n or found in known:
-            continue
-        if (_UUID.fullmatch(found) or _DIGEST.fullmatch(found)) and not _NAMED.search(text[max(0, begin - 48) : begin]):
-            continue
-        yield k, begin, end, n
+        named = bool(_NAMED.search(text[max(0, begin - 48) : begin]))
+        if not n:
+            for b, e, n in parts(encode, found, min_chars, max_ratio):
+                if found[b:e] not in known and (named or not harmless(found[b:e])):
+                    yield k, begin + b, begin + e, n
+        elif found not in known and (named or not harmless(found)):
+            yield k, begin, end, n
 
 
 def scan(docs: DataFrame, vocabulary: str = VOCABULARY, min_chars: int = MIN_CHARS, max_ratio: float = MAX_RATIO, known: frozenset[str] = frozenset(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,6 +55,26 @@ def test_random_letters_of_one_case_are_caught():
     assert found("internationalization INTERNATIONALIZATION UNCHARACTERISTICALLY environment/development/documents") == [] and found("-" * 40 + " " + "=" * 40) == []
 
 
+def test_words_of_a_path_dont_hide_a_secret():
+    import string
+
+    rng, signs = random.Random(8), string.ascii_letters + string.digits
+    path, slug = "com/services/download/internal/documents/quarterly/reports/authentication/access/", "production-database-connection-password-"
+    for n in (20, 24, 32):
+        keys = ["".join(rng.choices(signs, k=n)) for _ in range(100)]
+        for before, after in ((path, ""), (slug, ""), (path, "/production/database/connection/documents")):
+            hits = [found(f"see {before}{k}{after} end") for k in keys]
+            # a whole run that is under the ratio is one finding, as ever
+            assert sum(len(h) == 1 and k in h[0] for h, k in zip(hits, keys)) >= 98
+    path += path + path  # the whole is over the ratio whatever the part
+    urlsafe = "aB3xK9_fQ2-LpZ8wRt_7YhVbN5"
+    assert found(f"{path}{urlsafe}/documents") == [urlsafe] and found(f"{path}{urlsafe}", known=frozenset({urlsafe})) == []
+    assert found(f"{path}{HEX}/documents") == [] and found(f"token = {path}{HEX}/documents") == [HEX]
+    assert found(f"{path}v1/123e4567-e89b-12d3-a456-426614174000/documents") == [] and found(path + "documents/4068516892505468") == []
+    assert found(path + "2024-01-15-10-30-22/documents") == [] and found(path) == []
+    assert secret_scan.redacted([f"{path}{urlsafe}/documents"]) == [f"{path}<secret>/documents"]
+
+
 def test_scan_and_redact(spark, docs_of, odd):
     rows = [(1, f'token = "{HEX}" x {HEX}'), (2, "clean"), (None, f"password={HEX}"), (3, None), (4, ""), (1, f'token = "{HEX}" x {HEX}'), (5, prose(30_000, 1) + f" secret: {HEX}")]
     df = docs_of(rows)
