@@ -15,8 +15,6 @@ from rootweave.operators.order import numbered
 
 PASSES = 20
 MAX_GODS, TOP_NODES, MAX_BRIDGES, BRIDGE_EDGES, MAX_COMMUNITIES, MIN_COMMUNITY, MAX_QUESTIONS = 20, 5, 12, 2, 40, 2, 8
-#: Components above this many nodes take synchronous label propagation, flagged in the result.
-EXACT_NODES = 200_000
 
 
 def pair_weights(edges: DataFrame) -> DataFrame:
@@ -82,11 +80,12 @@ def connected(pairs: DataFrame) -> DataFrame:
         label = new.drop("was")
 
 
-def communities(pairs: DataFrame, exact_nodes: int = EXACT_NODES) -> DataFrame:
+def communities(pairs: DataFrame, exact_nodes: int | None = None) -> DataFrame:
     """(node, community, exact): dense community ids, the largest first, then by least member.
 
     Louvain moves depend on the rest of the graph only through its total weight, so each connected
-    component is a group of its own. A component too large for one task takes label propagation.
+    component is a group of its own, whatever its size; one task holds it. Only if a caller gives
+    exact_nodes do components above so many nodes take label propagation, flagged by exact = false.
     """
     pairs = cut(pairs)
     two_m = 2 * (pairs.agg(F.sum("w")).first()[0] or 0)
@@ -98,11 +97,12 @@ def communities(pairs: DataFrame, exact_nodes: int = EXACT_NODES) -> DataFrame:
         found = local_moves(list(zip(pdf["a"], pdf["b"], pdf["w"])), two_m)
         return pd.DataFrame({"node": list(found), "label": list(found.values())})
 
-    small = each.where(F.col("n") <= exact_nodes).groupBy("component").applyInPandas(move, "node string, label string").withColumn("exact", F.lit(True))
-    large = each.where(F.col("n") > exact_nodes).select("a", "b", "w")
-    if not large.isEmpty():
-        small = small.unionByName(propagate(large).withColumn("exact", F.lit(False)))
-    return renumber(cut(small))
+    fits = F.lit(True) if exact_nodes is None else F.col("n") <= exact_nodes
+    found = each.where(fits).groupBy("component").applyInPandas(move, "node string, label string").withColumn("exact", F.lit(True))
+    large = each.where(~fits).select("a", "b", "w")
+    if exact_nodes is not None and not large.isEmpty():
+        found = found.unionByName(propagate(large).withColumn("exact", F.lit(False)))
+    return renumber(cut(found))
 
 
 def propagate(pairs: DataFrame, rounds: int = PASSES) -> DataFrame:

@@ -197,6 +197,18 @@ def test_communities_of_two_triangles(spark):
     assert not any(r.exact for r in coarse.collect()) and coarse.count() == 6
 
 
+def test_a_large_component_takes_the_same_moves(spark):
+    ids = F.col("id").cast("string")
+    corners = [(F.lit("hub"), F.concat(F.lit("a"), ids)), *((F.concat(F.lit(x), ids), F.concat(F.lit(y), ids)) for x, y in ("ab", "ac", "bc"))]
+    pairs = C.pair_weights(spark.range(70_000).select(F.explode(F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in corners])).alias("e")).select("e.a", "e.b"))
+    rows = [tuple(r) for r in pairs.collect()]
+    want = C.local_moves(rows, 2 * sum(w for *_, w in rows))
+    found = C.communities(pairs).collect()
+    assert len(found) == len(want) == 210_001 and all(r.exact for r in found)
+    first = {}
+    assert all(first.setdefault(r.community, want[r.node]) == want[r.node] for r in found) and len(first) == len(set(want.values()))
+
+
 def test_components_and_moves_by_part(spark):
     import random
 
