@@ -1,10 +1,12 @@
 """Byte-level BPE by corpus-level merge replay, and decoding.
 
 A task reads its documents in blocks, cuts them into pre-tokens, and replays the vocabulary's merges
-once over the block's distinct pre-tokens: an inverted index holds, for each token pair that has a
-merge, the word positions where it stands; merges are applied in rank order to all their positions
-at once, and only the touched neighbours' pairs enter the index anew. Documents then gather the
-tokens of their pre-tokens. Nothing shuffles, and memory is bounded by a block.
+once over the distinct pre-tokens that the task hasn't met before: an inverted index holds, for each token
+pair that has a merge, the word positions where it stands; merges are applied in rank order to all their
+positions at once, and only the touched neighbours' pairs enter the index anew. Documents then gather the
+tokens of their pre-tokens. The corpus of one replay is thus a task's part: to replay each pre-token of the whole
+corpus once, every occurrence would have to be shuffled to its tokens. Nothing shuffles here, and memory is
+bounded by a block and `MEMO` remembered pre-tokens. Pre-tokens are told apart by their characters, not by hash alone.
 
 Vocabulary: a `tokenizers` JSON file of a byte-level BPE (path is a parameter; nothing is trained).
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from rootweave.llm import textkit as tk
 from rootweave.llm.common import batched
 
+#: Pre-tokens that a task remembers with their tokens; beyond that it begins anew.
+MEMO = 400_000
 #: The place of the public vocabularies; another path can be given to each operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -139,15 +143,41 @@ def replay(m: Merges, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return sym[alive], np.append(0, np.cumsum(alive))[bounds]
 
 
-def encode(m: Merges, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts one after another, and each text's bounds in them."""
+class Words:
+    """The tokens of pre-tokens: those met before are looked up, the others replayed together."""
+
+    def __init__(self, m: Merges, most: int = MEMO) -> None:
+        self._m, self._most = m, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self._slot: dict[str, int] = {}
+        self._ids, self._size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def tokens(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids, their bounds by slot, and the slot of each of the distinct pre-tokens."""
+        if len(self._slot) > self._most:
+            self._forget()
+        slot = self._slot
+        have = len(slot)
+        at = np.array([slot.setdefault(s, len(slot)) for s in spelled], np.int64)
+        new = [s.encode("utf-8", "surrogatepass") for s, k in zip(spelled, at.tolist()) if k >= have]
+        if new:
+            ids, bounds = replay(self._m, np.frombuffer(b"".join(new), np.uint8), tk.offsets_of(np.array([len(s) for s in new])))
+            self._ids, self._size = np.append(self._ids, ids.astype(np.int32)), np.append(self._size, np.diff(bounds))
+        return self._ids, tk.offsets_of(self._size), at
+
+
+def encode(m: Merges, texts: list[str | None], memo: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts one after another, and each text's bounds in them. A task's blocks share its memo."""
     cp, bounds, whole = tk.code_points(texts)
     begin, end = tk.pretokens(cp, bounds)
     if not len(begin):
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    _, first, word = np.unique(tk.span_hashes(cp, begin, end), return_index=True, return_inverse=True)
-    spelled = [whole[b:e].encode("utf-8", "surrogatepass") for b, e in zip(begin[first].tolist(), end[first].tolist())]
-    ids, at = replay(m, np.frombuffer(b"".join(spelled), np.uint8), tk.offsets_of(np.array([len(s) for s in spelled])))
+    first, word = tk.distinct_spans(cp, begin, end, tk.span_hashes(cp, begin, end))
+    spelled = [whole[b:e] for b, e in zip(begin[first].tolist(), end[first].tolist())]
+    ids, at, slot = (memo or Words(m)).tokens(spelled)
+    word = slot[word]
     size = np.append(0, np.cumsum(np.diff(at)[word]))
     return tk.gather(ids, at, word), size[np.searchsorted(begin, bounds)]
 
@@ -161,11 +191,12 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merges(vocabulary)
+        memo = Words(m)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in tk.blocks(texts, 4 * tk.BLOCK_CHARS):
                 part = texts[lo:hi]
-                tokens, at = encode(m, part)
+                tokens, at = encode(m, part, memo)
                 there = np.array([t is not None for t in part], bool)
                 whole = decode(m, tokens)
                 size = tk.offsets_of((m.offset[tokens + 1] - m.offset[tokens]) if len(tokens) else np.zeros(0, np.int64))[at]

@@ -17,6 +17,8 @@ BLOCK_CHARS = 2_000_000
 BLOCK_DOCS = 1 << 19
 #: Values hashed at once.
 STRETCH = 500_000
+#: Longer spans are hashed one by one: modulo 2^64 the polynomial of structured texts degenerates as they grow.
+POLYNOMIAL_LENGTH = 64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MASK = (1 << 64) - 1
@@ -87,11 +89,22 @@ def _span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
 
 
 def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[begin:end] for many spans, from one prefix sum of a polynomial.
+    """64-bit hashes of values[begin:end] for many spans, from one prefix sum of a polynomial; long spans by XXH3.
 
     Spans in order are hashed stretch by stretch, which bounds the arrays in between; the hash of a span depends
-    on its values alone.
+    on its values (and their type) alone.
     """
+    out = _stretched_hashes(values, begin, end)
+    long = np.flatnonzero(end - begin > POLYNOMIAL_LENGTH)
+    if len(long):
+        from xxhash import xxh3_64_intdigest
+
+        values = np.ascontiguousarray(values)
+        out[long] = np.array([xxh3_64_intdigest(values[b:e]) for b, e in zip(begin[long].tolist(), end[long].tolist())], np.uint64)
+    return out
+
+
+def _stretched_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     if len(values) <= STRETCH or not len(begin) or (begin[1:] < begin[:-1]).any():
         return _span_hashes(values, begin, end)
     out = np.empty(len(begin), np.uint64)
@@ -105,6 +118,38 @@ def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return out
 
 
+def distinct_spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A span of each distinct content, and the distinct content of each span.
+
+    Spans meet by hash and are then compared value by value, so different spans of one hash stay apart.
+    """
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    model = first[which]
+    apart = end - begin != end[model] - begin[model]
+    rest = np.flatnonzero((model != np.arange(len(begin))) & ~apart)
+    size = (end - begin)[rest]
+    upto = offsets_of(size)
+    lo = 0
+    while lo < len(rest):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + STRETCH)) - 1)
+        own, his, n = begin[rest[lo:hi]], begin[model[rest[lo:hi]]], size[lo:hi]
+        place = np.arange(int(n.sum())) - np.repeat(upto[lo:hi] - upto[lo], n)
+        differ = values[np.repeat(own, n) + place] != values[np.repeat(his, n) + place]
+        if differ.any():
+            apart[rest[lo:hi][np.unique(np.repeat(np.arange(hi - lo), n)[differ])]] = True
+        lo = hi
+    if not apart.any():
+        return first, which
+    which, more, known = which.copy(), [], {}
+    for k in np.flatnonzero(apart).tolist():
+        content = values[begin[k] : end[k]].tobytes()
+        if content not in known:
+            known[content] = len(first) + len(more)
+            more.append(k)
+        which[k] = known[content]
+    return np.append(first, np.array(more, first.dtype)), which
+
+
 def run_spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal runs of True that don't cross a document bound."""
     n = len(inside)
