@@ -87,18 +87,60 @@ def test_counts_of_very_long_pretokens(docs_of):
     assert max(want.values()) > 60_000
     for entries in (token_count.FREQUENT, 1, 0):
         assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(df, entries=entries).collect()} == want
-    table = token_count.frequent_table(df)
-    assert want[0] in table[1].tolist()  # a run that several documents share is in the table
+    assert want[0] in token_count.frequent_table(df)["size"].tolist()  # a run that several documents share is in the table
 
 
 def test_frequent_table_holds_the_most_frequent(docs_of):
     df = docs_of([(k, "the of the " + prose(50, k)) for k in range(60)]).repartition(7)
-    hashes, sizes = token_count.frequent_table(df, entries=5)
+    table = token_count.frequent_table(df, entries=5)
+    hashes, sizes = table["hash"], table["size"]
     cp, bounds, _ = tk.code_points(["the of the"])
     want = tk.span_hashes(cp, *tk.pretokens(cp, bounds))
     assert set(want.tolist()) - {int(want[0])} <= set(hashes.tolist()) and len(hashes) <= 5 and (sizes > 0).all()
 
 
+def thue_morse(n):
+    a = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [256, 1024, 2048, 4096])
+def test_structured_texts_of_one_polynomial_are_told_apart(docs_of, reference, n):
+    a, b = thue_morse(n)
+    m = bpe_replay.merges(bpe_replay.VOCABULARY)
+    ids, at = bpe_replay.encode(m, [a, b, a])
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(3)] == [reference(a), reference(b), reference(a)]
+    cp, bounds, _ = tk.code_points([a, b])
+    h = tk.span_hashes(cp, bounds[:-1], bounds[1:])
+    assert h[0] != h[1]
+    for entries in (token_count.FREQUENT, 0):
+        got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(docs_of([(1, a), (2, b), (3, a), (4, b)]), entries=entries).collect()}
+        assert got == {1: len(reference(a)), 2: len(reference(b)), 3: len(reference(a)), 4: len(reference(b))}
+
+
+def test_spans_of_one_hash_are_told_apart():
+    cp, bounds, _ = tk.code_points(["abc", "abd", "abc", "ab", "abd", "xyz"])
+    first, which = tk.distinct_spans(cp, bounds[:-1], bounds[1:], np.array([7, 7, 7, 7, 7, 1], np.uint64))
+    assert which[0] == which[2] and which[1] == which[4] and len(set(which.tolist())) == 4 == len(first)
+    assert [which[k] for k in first] == list(range(4))
+
+
+def test_table_holds_what_collides():
+    hashes = np.array([5, 5 + (1 << 63), 6, 7, (5 << 50) + 1, 1 << 62], np.uint64)
+    check = np.arange(6, dtype=np.uint64)
+    t = token_count.Table(hashes, check, np.arange(6, dtype=np.int32) * 70_000)
+    assert t.sizes(hashes, check).tolist() == [0, 70_000, 140_000, 210_000, 280_000, 350_000]
+    assert t.sizes(hashes, check + np.uint64(1)).tolist() == [-1] * 6
+
+
+def test_a_task_remembers_its_pretokens(reference):
+    m = bpe_replay.merges(bpe_replay.VOCABULARY)
+    memo = bpe_replay.Words(m, most=30)
+    for k in range(6):
+        text = prose(40, k, 60)
+        assert bpe_replay.encode(m, [text], memo)[0].tolist() == reference(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 70_000), max_size=200))
 def test_wavelet_matrix_equals_the_sequence(x):
@@ -138,3 +180,19 @@ def test_shards_hold_every_token(odd, docs_of, reference):
     assert sorted(map(tuple, hits), key=str) == sorted(want, key=str)
     assert wavelet.token_totals(shards, [token]).first().n == len(want)
     assert wavelet.shards(docs_of([])).count() == 0
+
+
+def test_files_are_read_block_by_block(spark, tmp_path, reference):
+    rows = [(f"d{k}", prose(400, k)) for k in range(12)] + [(None, "x y"), ("e", None)]
+    made = wavelet.shards(spark.createDataFrame(rows, "doc_id string, text string").coalesce(2), shard_tokens=2_000)
+    files = wavelet.write_files(made, str(tmp_path / "wm")).collect()
+    assert len({r.path for r in files}) == len(files) > 1
+    seen = {}
+    for r in files:
+        with wavelet.WaveletFile(r.path) as w:
+            for i, a, b in zip(r.doc_ids, r.doc_begins, r.doc_begins[1:]):
+                seen[i] = [w.access(k) for k in range(a, b)]
+    assert seen == {i: reference(t or "") for i, t in rows}
+    token = reference(rows[0][1])[0]
+    hits = sorted((r.doc_id, r.position) for r in wavelet.occurrences(made, [token]).collect())
+    assert hits == sorted((i, p) for i, t in rows for p, x in enumerate(reference(t or "")) if x == token)
