@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.functions import paths as P
-from rootweave.operators.graph import cut
 from rootweave.operators.order import numbered
+from rootweave.storage import cut
 
 PASSES = 20
 MAX_GODS, TOP_NODES, MAX_BRIDGES, BRIDGE_EDGES, MAX_COMMUNITIES, MIN_COMMUNITY, MAX_QUESTIONS = 20, 5, 12, 2, 40, 2, 8

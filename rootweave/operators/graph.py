@@ -7,12 +7,11 @@ when files are indexed again. Walks join one frontier a level and cut their line
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rootweave.functions import paths as P
+from rootweave.storage import cut
 
 RESOLVABLE = ("call", "reference", "extends", "implements")
 #: Suffixes of files that a module name may stand for, by language, then for any.
@@ -36,14 +35,6 @@ ANY_SUFFIXES = [
 ]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the cluster's shared folder (a temporary one only where none is set)."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rootweave-"))
-    return df.checkpoint(eager=True)
-
-
 def unique_names(symbols: DataFrame) -> DataFrame:
     """Names that exactly one symbol has, with its id."""
     return symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").select("name", "symbol_id")

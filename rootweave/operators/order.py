@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootweave.operators.graph import cut
+from rootweave.storage import cut
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
