@@ -2,9 +2,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from llm_samples import prose
 
-from rootweave.llm import exact_dedup, simhash
+from pyspark.sql import functions as F
+
+from rootweave.llm import common, exact_dedup, simhash
 from rootweave.llm.common import components
 
 
@@ -79,24 +82,26 @@ def test_near_pairs_recall_against_all_pairs():
     assert has.all()
     bits = simhash.unpacked(fp).astype(int)
     true = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (bits[i] != bits[j]).sum() <= simhash.DISTANCE}
-    positions = simhash.key_positions(simhash.TABLES, simhash.KEY_BITS)
-    got = [p for t in range(simhash.TABLES) for a, b in simhash.range_pairs(fp, np.arange(len(rows)), t, positions, simhash.DISTANCE, simhash.PIVOTS) for p in zip(a.tolist(), b.tolist())]
+    positions = simhash.key_positions(*simhash.layout(len(rows)))
+    got = [p for t in range(len(positions)) for a, b in simhash.range_pairs(fp, np.arange(len(rows)), t, positions, simhash.DISTANCE, simhash.PIVOTS) for p in zip(a.tolist(), b.tolist())]
     assert len(got) == len(set(got)) and set(got) <= true and len(set(got)) >= 0.9 * len(true) > 0
 
 
-def near_found(fp):
-    positions = simhash.key_positions(simhash.TABLES, simhash.KEY_BITS)
-    return {p for t in range(simhash.TABLES) for a, b in simhash.range_pairs(fp, np.arange(len(fp)), t, positions, simhash.DISTANCE, simhash.PIVOTS) for p in zip(a.tolist(), b.tolist())}
+def near_found(fp, n=None):
+    """Pairs of the tables that a corpus of n fingerprints would have."""
+    positions = simhash.key_positions(*simhash.layout(n or len(fp)))
+    return {p for t in range(len(positions)) for a, b in simhash.range_pairs(fp, np.arange(len(fp)), t, positions, simhash.DISTANCE, simhash.PIVOTS) for p in zip(a.tolist(), b.tolist())}
 
 
-def test_recall_at_each_distance():
+@pytest.mark.parametrize("size", [400, 250_000, 16_000_000])
+def test_recall_at_each_distance(size):
     rng, n = np.random.default_rng(11), 400
-    for distance in range(12, simhash.DISTANCE + 1):
+    for distance in range(12, simhash.DISTANCE + 1) if size == 400 else (16, 18, 20):
         bits = rng.integers(0, 2, (n, simhash.BITS)).astype(np.uint8)
         flips = np.zeros_like(bits)
         np.put_along_axis(flips, np.argsort(rng.random(bits.shape), axis=1)[:, :distance], 1, axis=1)
         fp = np.packbits(np.concatenate([bits, bits ^ flips]), axis=1).view(">i8").astype(np.int64)
-        got = near_found(fp)
+        got = near_found(fp, size)
         assert sum((k, n + k) in got for k in range(n)) >= 0.9 * n, distance
 
 
@@ -121,6 +126,59 @@ def test_pivots_never_lose_a_pair():
             assert np.abs(far[i] - far[j]).max() <= (bits[i] != bits[j]).sum()
 
 
+def test_pivots_discard_most_far_pairs():
+    """Among random fingerprints that share a key, before any is verified."""
+    rng = np.random.default_rng(3)
+    for size in (400, 250_000):
+        positions = simhash.key_positions(*simhash.layout(size))
+        bits = rng.integers(0, 2, (300, simhash.BITS)).astype(np.uint8)
+        bits[:, positions[0]] = bits[0, positions[0]]
+        far = simhash.pivot_table(bits).astype(int)
+        i, j = np.triu_indices(300, 1)
+        apart = np.abs(far[i] - far[j]).max(axis=1) > simhash.DISTANCE
+        assert apart.mean() > 0.6
+
+
+def test_key_bits_follow_the_number_of_fingerprints():
+    assert simhash.layout(2) == simhash.layout(4_000) and [simhash.layout(1 << k)[1] for k in (14, 20, 30, 60)] == [12, 18, 28, 40]
+    assert all(simhash.layout(1 << k)[0] <= simhash.layout(1 << k + 1)[0] < 1.3 * simhash.layout(1 << k)[0] + 1 for k in range(14, 40))
+
+
+def test_ids_of_any_type_and_hot_groups(spark):
+    text = prose(60, 1)
+    rows = [(f"d{k:03d}", text) for k in range(40)] + [("a", prose(60, 2)), ("a", prose(60, 3)), ("b", prose(60, 2)), ("c", prose(60, 3)), ("lone", prose(60, 4)), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for hot in (simhash.HOT_ROWS, 5):
+        got = {r.doc_id: r.group_id for r in simhash.members(df, hot_rows=hot).collect()}
+        assert got == {f"d{k:03d}": "d000" for k in range(40)} | {"a": "a", "b": "a", "c": "a"}
+        own = exact_dedup.groups(df, hot_rows=hot).collect()
+        assert sorted((r.group_id, r.is_kept) for r in own if r.is_kept) == [("a", True), ("a", True), ("d000", True)] and len(own) == 41 + 4
+    assert sorted(str(r.doc_id) for r in simhash.dedup(df).collect()) == ["None", "a", "a", "d000", "lone"]
+
+
+def test_one_text_copied_very_often(spark):
+    df = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    for hot in (exact_dedup.HOT_ROWS, 1_000):
+        out = exact_dedup.groups(df, hot_rows=hot).agg(F.count("*").alias("n"), F.count_if("is_kept").alias("kept"), F.max("group_id").alias("g")).first()
+        assert tuple(out) == (133_334, 1, 0)
+    assert exact_dedup.dedup(df).count() == 66_667
+
+
+def test_full_key_filter_changes_no_result(odd, monkeypatch):
+    before = sorted(map(str, exact_dedup.groups(odd).collect()))
+    monkeypatch.setattr(common, "FILTER_BYTES", 16)
+    assert sorted(map(str, exact_dedup.groups(odd).collect())) == before
+
+
+def test_key_filter_passes_all_keys_and_few_others(spark):
+    keys = spark.range(20_000).select((F.col("id") * 7).alias("k"))
+    may = common.key_filter(keys, 20_000)
+    out = spark.range(140_000).select("id", may(F.col("id")).alias("m"))
+    assert out.where("id % 7 = 0 AND NOT m").count() == 0 and out.where("id % 7 <> 0 AND m").count() < 0.06 * 120_000
+    none = common.key_filter(keys.limit(0), 0)
+    assert spark.range(10).where(none(F.col("id"))).count() == 0
+
+
 def test_fingerprint_is_the_majority_of_distinct_words():
     texts = [prose(700, 1), "b a b a c", "", None, "?!", "A b C"]
     fp, has = simhash.fingerprints(texts)
