@@ -2,6 +2,7 @@ import random
 import secrets as rnd
 
 import numpy as np
+import pytest
 from llm_samples import prose
 
 from rootweave.llm import packing, quality_mil, secret_scan, suffix_bpr
@@ -182,13 +183,31 @@ def test_repeats_equal_brute_force(docs_of, monkeypatch):
     shared = prose(70, 77).split()
     rows = [(k, " ".join(prose(60, k).split() + (shared[: 40 + k] if k < 12 else []) + prose(30, 500 + k).split())) for k in range(25)]
     rows += [(30, " ".join(["a"] * 200)), (31, " ".join(["a"] * 120)), (32, " ".join(["b"] * 200)), (33, None), (None, rows[0][1]), (34, ""), (35, rows[11][1].upper() + "!"), (36, prose(49, 0)), (36, prose(49, 0)), (37, rows[5][1].replace(" ", ",\n"))]
-    for each in (suffix_bpr.REFINE_EACH, 3):
+    for each, tasks in ((suffix_bpr.REFINE_EACH, 5), (3, 10**6), (3, 0)):  # many tasks, then every bucket split
         monkeypatch.setattr(suffix_bpr, "REFINE_EACH", each)
+        monkeypatch.setattr(suffix_bpr, "HOT_TASKS", tasks)
         got = {tuple(r) for r in suffix_bpr.spans(docs_of(rows)).select("doc_id", "word_begin", "word_end", "is_first").collect()}
         assert got == brute_spans(rows, 50)
     assert suffix_bpr.spans(docs_of([])).count() == 0 and suffix_bpr.spans(docs_of([(1, "x"), (2, None)])).count() == 0
 
 
+def test_repeats_of_very_long_texts_and_hot_passages(docs_of, monkeypatch):
+    shared, long = prose(90, 8), prose(30_000, 1)
+    rows = [(k, f"{prose(20, k)} {shared} {prose(20, 900 + k)}") for k in range(60)] + [(100, long), (101, f"x {' '.join(long.split()[7_000:22_000])} y"), (102, f"{long} {shared}")]
+    want = brute_spans(rows, 50)
+    for tasks in (5, 0):
+        monkeypatch.setattr(suffix_bpr, "HOT_TASKS", tasks)
+        monkeypatch.setattr(suffix_bpr, "REFINE_EACH", 10)
+        assert {tuple(r) for r in suffix_bpr.spans(docs_of(rows), hot_rows=2).select("doc_id", "word_begin", "word_end", "is_first").collect()} == want
+
+
+def test_ids_of_passages_are_integral(spark):
+    with pytest.raises(TypeError, match="integral"):
+        suffix_bpr.spans(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+    with pytest.raises(ValueError, match="32"):
+        suffix_bpr.spans(spark.createDataFrame([(1, "x")], "doc_id int, text string"), min_words=31)
+
+
 def test_removed_passages(docs_of, odd):
     shared = prose(60, 5)
     df = docs_of([(1, f"one two. {shared} three"), (2, f"four, {shared} five!"), (3, "six"), (4, None)])
