@@ -2,11 +2,11 @@
 
 A vocabulary learned from prose spends many tokens on a random string: few characters a token mark
 credentials, keys and passwords without a list of their formats. Candidates are the maximal runs of
-at least `min_chars` of the signs [A-Za-z0-9+/_-] with a letter among them, with up to two = behind
+at least `min_chars` of the signs [A-Za-z0-9+/_-] with a letter or digit among them, with up to two = behind
 them; they are found by array operations on whole blocks, and only they are encoded.
 A candidate is a secret if it has at most `max_ratio` characters a token (without digits and changes
-from lower to upper case also in lower case, as capitals alone make words cost tokens), unless it is known to be harmless: a UUID, a digest (hexadecimal of 32, 40, 56, 64, 96 or 128 digits) or one of `known`. Neither
-form excuses a string that is assigned to a secret's name (`token = "..."`, `password: ...`).
+from lower to upper case also in lower case, as capitals alone make words cost tokens), unless it is known to be harmless: a UUID, a digest (hexadecimal of 32, 40, 56, 64, 96 or 128 digits), a number (digits and
+separators alone) or one of `known`. No form excuses a string that is assigned to a secret's name (`token = "..."`, `password: ...`).
 Of a candidate over the ratio the parts between its separators + / _ - are tested in the same way, so that the words of
 a path or a slug don't hide a secret.
 
@@ -55,8 +55,8 @@ def _signs() -> np.ndarray:
     return out
 
 
-def candidates(texts: list[str | None], min_chars: int = MIN_CHARS, plain: bool = False) -> Iterator[tuple[int, int, int]]:
-    """(text, begin, end) of every run that mixes letters with digits or changes from lower to upper case; plain: of every run with a letter."""
+def candidates(texts: list[str | None], min_chars: int = MIN_CHARS) -> Iterator[tuple[int, int, int]]:
+    """(text, begin, end) of every run with a letter or digit."""
     for lo, hi in tk.blocks(texts):
         cp, bounds, _ = tk.code_points(texts[lo:hi])
         kind = _signs()[cp]
@@ -69,10 +69,7 @@ def candidates(texts: list[str | None], min_chars: int = MIN_CHARS, plain: bool
         first = tk.offsets_of(size)
         inside = kind[np.repeat(begin - first[:-1], size) + np.arange(first[-1])]
         has = np.bitwise_or.reduceat(inside, first[:-1])
-        turn = np.zeros(len(inside), np.int64)
-        turn[1:] = (inside[:-1] == _LOWER) & (inside[1:] == _UPPER)
-        turn[first[:-1]] = 0
-        wanted = (has & (_UPPER | _LOWER) > 0) if plain else ((has & _DIGIT > 0) & (has & (_UPPER | _LOWER) > 0)) | (np.add.reduceat(turn, first[:-1]) > 0)
+        wanted = has != _SIGN
         doc = np.searchsorted(bounds, begin, "right") - 1
         stop = bounds[doc + 1]
         for _ in range(2):  # padding
@@ -89,10 +86,14 @@ def dense(encode: Callable[[str], list[int]], found: str, max_ratio: float) -> i
     return n
 
 
-def harmless(found: str) -> bool:
+def known_shape(found: str) -> bool:
     return bool(_UUID.fullmatch(found) or _DIGEST.fullmatch(found))
 
 
+def harmless(found: str) -> bool:
+    return known_shape(found) or not _LETTER.search(found)
+
+
 def parts(encode: Callable[[str], list[int]], run: str, min_chars: int, max_ratio: float) -> Iterator[tuple[int, int, int]]:
     """(begin, end, tokens) of the secrets within a run whose whole is over the ratio.
 
@@ -101,11 +102,11 @@ def parts(encode: Callable[[str], list[int]], run: str, min_chars: int, max_rati
     """
     begin, last = None, 0
     for m in [*_PART.finditer(run), None]:
-        alone = m is not None and harmless(m.group())
+        alone = m is not None and known_shape(m.group())
         joins = m is not None and not alone and len(m.group()) <= max_ratio * len(encode(m.group()))
         if begin is not None and not joins:
             found = run[begin:last]
-            if last - begin >= min_chars and _LETTER.search(found) and (n := dense(encode, found, max_ratio)):
+            if last - begin >= min_chars and (n := dense(encode, found, max_ratio)):
                 yield begin, last, n
             begin = None
         if joins:
@@ -117,7 +118,7 @@ def parts(encode: Callable[[str], list[int]], run: str, min_chars: int, max_rati
 def findings(texts: list[str | None], vocabulary: str = VOCABULARY, min_chars: int = MIN_CHARS, max_ratio: float = MAX_RATIO, known: frozenset[str] = frozenset()) -> Iterator[tuple[int, int, int, int]]:
     """(text, begin, end, tokens) of every secret."""
     encode = encoding(vocabulary).encode_ordinary
-    for k, begin, end in candidates(texts, min_chars, plain=True):
+    for k, begin, end in candidates(texts, min_chars):
         text = texts[k] or ""
         found = text[begin:end]
         n = dense(encode, found, max_ratio)
