@@ -5,12 +5,12 @@ input, and each group is packed on its own: only (id, length) pairs shuffle, and
 few bins at most. A document longer than a bin fills bins of its own; its rest is packed like a
 short document. Best fit in decreasing order gives the start. Local search then takes the underfull
 bins from the lightest: it moves one item, exchanges one for one or two for one with another
-underfull bin, always so that the sum of squared fills grows, until nothing more does or `rounds`
-passes are done; bins that lose all items vanish.
+underfull bin, always so that the sum of squared fills grows, until no such step is left in the group (the sum
+is an integer and bounded, so this ends); bins that lose all items vanish.
 
 Cases. Null, empty and zero-length texts take no place and give no rows. Repeated rows and null ids
-are packed like others. Ties go to the smaller id, then the bin opened first. An empty table gives no
-rows. Other columns are ignored.
+are packed like others. Ids may be of any type that has an order. Ties go to the smaller id (null last), then the bin
+opened first. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,6 @@ from rootweave.llm.token_count import VOCABULARY, count_tokens
 
 CAPACITY = 2048
 GROUP_DOCS = 20_000
-ROUNDS = 4
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -48,8 +47,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def local_search(lengths: np.ndarray, where: np.ndarray, capacity: int, rounds: int = ROUNDS) -> np.ndarray:
-    """where, improved. The sum of squared fills never falls and no bin overflows."""
+def local_search(lengths: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
+    """where, improved until no move or exchange of a bin's one or two items for one helps. No bin overflows."""
     fill = np.bincount(where, weights=lengths).astype(np.int64)
     items = np.flatnonzero(fill[where] < capacity)
     if not len(items):
@@ -68,7 +67,8 @@ def local_search(lengths: np.ndarray, where: np.ndarray, capacity: int, rounds:
         home[k] = b
 
     bins = np.array(sorted(held), np.int64)
-    for _ in range(rounds):
+    better = True
+    while better:
         better = False
         for a in bins[np.argsort(fill[bins], kind="stable")].tolist():
             changed = True
@@ -97,37 +97,37 @@ def local_search(lengths: np.ndarray, where: np.ndarray, capacity: int, rounds:
                             put(k, other)
                         changed = better = True
                         break
-        if not better:
-            break
     where[items] = home
     return where
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> np.ndarray:
+def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Dense bin numbers of items of 1 to capacity."""
-    return np.unique(local_search(lengths, best_fit(lengths, capacity), capacity, rounds), return_inverse=True)[1]
+    return np.unique(local_search(lengths, best_fit(lengths, capacity), capacity), return_inverse=True)[1]
 
 
-def pack(lengths: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, rounds: int = ROUNDS, id_col: str = "doc_id", length_col: str = "n_tokens") -> DataFrame:
+def pack(lengths: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", length_col: str = "n_tokens") -> DataFrame:
     """(bin, doc_id, token_begin, token_end): which tokens of which document each bin holds."""
-    body = lengths.select(F.col(id_col).cast("long").alias("doc_id"), F.col(length_col).cast("long").alias("n")).where("n > 0")
-    body = stored(body)
+    body = lengths.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{length_col}`").cast("long").alias("n")).where("n > 0")
+    # Rows that agree in id and length are told apart by a number, so that many of them spread over the groups as well.
+    body = stored(body.withColumn("tag", F.monotonically_increasing_id()))
     groups = shards(body.count(), group_docs)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n"], kind="stable", ignore_index=True)
-        n = pdf["n"].to_numpy(np.int64)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("n", "ascending")])
+        n = rows.column("n").to_numpy()
         full, rest = n // capacity, n % capacity
         doc = np.repeat(np.arange(len(n)), full)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(full) - full, full)
         short = np.flatnonzero(rest)
-        bins = np.concatenate([np.arange(len(doc)), len(doc) + pack_lengths(rest[short], capacity, rounds)]) if len(short) else np.arange(len(doc))
+        bins = np.concatenate([np.arange(len(doc)), len(doc) + pack_lengths(rest[short], capacity)]) if len(short) else np.arange(len(doc))
         begin = np.concatenate([nth * capacity, full[short] * capacity])
         end = np.concatenate([(nth + 1) * capacity, n[short]])
-        return pd.DataFrame({"bin": bins + (int(key[0]) << 32), "doc_id": pdf["doc_id"].astype("Int64").iloc[np.concatenate([doc, short])].array, "token_begin": begin, "token_end": end})
+        ids = rows.column("doc_id").take(pa.array(np.concatenate([doc, short])))
+        return pa.table({"bin": bins + (key[0].as_py() << 32), "doc_id": ids, "token_begin": begin, "token_end": end})
 
-    keyed = body.withColumn("g", F.pmod(F.xxhash64("doc_id", "n"), F.lit(groups)))
-    return keyed.groupBy("g").applyInPandas(run, "bin long, doc_id long, token_begin long, token_end long")
+    keyed = body.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", "tag"), F.lit(groups)))
+    return keyed.groupBy("g").applyInArrow(run, f"bin long, doc_id {body.schema['doc_id'].dataType.simpleString()}, token_begin long, token_end long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, **how: object) -> DataFrame:
