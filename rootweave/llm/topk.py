@@ -1,19 +1,20 @@
-"""Exact top-k inner-product search by norm buckets, every vector being a query.
+"""Exact top-k inner-product search by norm buckets; the queries are the vectors whose id a number divides (1: all).
 
 Vectors are range-partitioned by length (Euclidean norm, longest first) and packed into buckets, one
-row with a matrix each. A first pass searches each bucket's vectors within their own bucket, which
-gives each query a lower bound of its k-th product. In the second pass query blocks meet the buckets
-whose longest vector can still reach a bound, packed row against packed row. Within a pair each query
+row with a matrix each, and the queries likewise into blocks. The bucket of the longest vectors, whose size doesn't
+grow, is searched first by every block, which gives each query a lower bound of its k-th product. Then query blocks
+meet the other buckets whose longest vector can still reach a bound, packed row against packed row; the number of
+tasks is bounded, and a task goes through a run of buckets. Within a pair each query
 has a local cosine threshold, its bound divided by its own length and the bucket's longest: above 1
 the bucket is skipped; when it is high, coordinate pruning keeps the vectors whose largest query
 coordinates lie in the feasible range; otherwise length pruning keeps the prefix of vectors long
 enough. Kept vectors are verified by products, bounds rise as buckets pass by, and a task hands on
-only its best k of each query. All pairs of blocks that pruning can't rule out are compared: the
-result is exact, and in the worst case its cost is quadratic.
+only its best k of each query. All blocks and buckets that pruning can't rule out are compared: the
+result is exact, and in the worst case its cost is the product of queries and vectors.
 
-Cases. Vectors that are null, empty, of another dimension than `dim`, or with a null or non-finite
-element are left out, as queries and as answers; so are rows without an id. A zero vector has products
-of 0. Rows that share an id are one vector each; a query never answers itself (its own row), but a
+Cases. Ids must be of an integral type; others raise an error. Vectors that are null, empty, of another dimension than
+`dim`, or with a null or non-finite element are left out, as queries and as answers; so are rows without an id. A zero
+vector has products of 0. Rows that share an id are one vector each; a query never answers itself (its own row), but a
 repeated row answers its copy. Ties go to the smaller id. With fewer than k others a query has fewer
 answers. An empty table gives no rows. Other columns are ignored.
 """
@@ -28,9 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootweave.llm.common import shards, stored
+from rootweave.llm.common import integral_id, shards, stored
 
 BUCKET = 4096
+#: Queries of a block.
+QUERY_BLOCK = 1024
+#: Buckets that a task goes through at most, and tasks while there are fewer runs of buckets than that.
+RUN, MOST_TASKS = 64, 20_000
 #: Local cosine thresholds from which the coordinates prune; below it their feasible ranges hold nearly everything.
 COORDINATE_FROM = 0.9
 FOCUS = 3
@@ -121,13 +126,17 @@ def search(queries: Block, bucket: Block, best: Best) -> tuple[int, int]:
     return verified, n * m
 
 
-def buckets(vectors: DataFrame, dim: int, bucket: int = BUCKET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(block, longest, shortest, ids, rows, vectors): packed buckets of vectors of falling length."""
+def usable(vectors: DataFrame, dim: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, v, norm, tag) of the vectors that take part; tag numbers their rows."""
     v = F.col("v")
-    body = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    body = vectors.select(integral_id(vectors, id_col).alias("id"), F.col(f"`{vector_col}`").cast("array<float>").alias("v"))
     body = body.where(F.col("id").isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    body = body.withColumn("norm", F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
-    body = stored(body)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return stored(body.withColumns({"norm": norm, "tag": F.monotonically_increasing_id()}))
+
+
+def buckets(body: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(block, longest, ids, rows, vectors): usable vectors packed in buckets of falling length."""
     parts = shards(body.count(), bucket)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +147,11 @@ def buckets(vectors: DataFrame, dim: int, bucket: int = BUCKET, id_col: str = "v
 
         def out(t: pa.Table) -> pa.RecordBatch:
             nonlocal made
-            ids = t.column("id").to_numpy()
             flat = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float32)
-            block = part << 20 | made
+            block = part << 24 | made
             made += 1
-            norm = t.column("norm").to_numpy()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([norm[0]]), pa.array([norm[-1]]), pa.array([ids.tobytes()], pa.binary()), pa.array([((block << 24) + np.arange(len(ids))).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())],
-                names=["block", "longest", "shortest", "ids", "rows", "vectors"],
-            )
+            packed = [pa.array([t.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("id", "tag")]
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([t.column("norm")[0].as_py()]), *packed, pa.array([flat.tobytes()], pa.binary())], names=["block", "longest", "ids", "rows", "vectors"])
 
         rows = 0
         for b in batches:
@@ -160,53 +165,70 @@ def buckets(vectors: DataFrame, dim: int, bucket: int = BUCKET, id_col: str = "v
         if rows:
             yield out(pa.Table.from_batches(held).combine_chunks())
 
-    ordered = body.repartitionByRange(parts, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
-    return stored(ordered.mapInArrow(pack, "block long, longest double, shortest double, ids binary, rows binary, vectors binary"))
+    order = F.desc("norm"), F.asc("id"), F.asc("tag")
+    return stored(body.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(pack, "block long, longest double, ids binary, rows binary, vectors binary"))
 
 
-def top_k(vectors: DataFrame, k: int = 10, dim: int | None = None, bucket: int = BUCKET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbor_id, score): each vector's k best others by inner product; rank counts from 1."""
+def top_k(vectors: DataFrame, k: int = 10, every: int = 1, dim: int | None = None, bucket: int = BUCKET, query_block: int = QUERY_BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, rank, neighbor_id, score): of each vector whose id `every` divides, its k best others by inner product; rank counts from 1."""
     if dim is None:  # the dimension that most vectors have, the larger of equally frequent ones
-        sizes = vectors.where(F.size(vector_col) > 0).groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+        sizes = vectors.select(F.size(F.col(f"`{vector_col}`")).alias("d")).where("d > 0").groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).first()
         dim = sizes["d"] if sizes else 1
-    packed = buckets(vectors, dim, bucket, id_col, vector_col)
-    blocks = packed.count()
+    body = usable(vectors, dim, id_col, vector_col)
+    packed, asked = buckets(body, bucket), buckets(body.where(F.col("id") % every == 0), query_block)
+    n, m = packed.count(), asked.count()
+    top = packed.orderBy(F.desc("longest"), "block").first()  # one bucket
+    head = tuple(top[c] for c in ("block", "ids", "rows", "vectors")) if top else None
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 own = Block(r.ids, r.rows, r.vectors, dim)
                 best = Best(len(own.ids), k)
-                search(own, own, best)
+                search(own, Block(*head[1:], dim), best)
                 need = np.where(own.norm > 0, best.bound / np.where(own.norm > 0, own.norm, 1), np.where(best.bound > 0, np.inf, -np.inf))
                 yield pd.DataFrame({"q_block": [r.block], "q_ids": [r.ids], "q_rows": [r.rows], "q_vectors": [r.vectors], "needs": [float(need.min())], "score": [best.score.tobytes()], "id": [best.id.tobytes()], "row": [best.row.tobytes()]})
 
-    seeds = stored(packed.mapInPandas(first, "q_block long, q_ids binary, q_rows binary, q_vectors binary, needs double, score binary, id binary, row binary"))
+    seeds = stored(asked.mapInPandas(first, "q_block long, q_ids binary, q_rows binary, q_vectors binary, needs double, score binary, id binary, row binary"))
 
-    def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, queries, best = None, None, None
+    def opened(r) -> tuple[Block, Best]:  # noqa: ANN001
+        queries = Block(r.q_ids, r.q_rows, r.q_vectors, dim)
+        best = Best(len(queries.ids), k)
+        for name, kind in (("score", np.float64), ("id", np.int64), ("row", np.int64)):
+            setattr(best, name, np.frombuffer(getattr(r, name), kind).reshape(-1, k).copy())
+        return queries, best
+
+    def rows_of(queries: Block, best: Best, known: np.ndarray | None = None) -> pd.DataFrame:
+        """The answers, those of the first bucket (known) aside."""
+        there = best.row >= 0
+        if known is not None:
+            there &= ~(best.row[:, :, None] == known[:, None, :]).any(axis=2)
+        q, at = np.nonzero(there)
+        return pd.DataFrame({"vec_id": queries.ids[q], "q_row": queries.rows[q], "neighbor_id": best.id[q, at], "n_row": best.row[q, at], "score": best.score[q, at]})
 
-        def out() -> pd.DataFrame:
-            q, at = np.nonzero(best.row >= 0)
-            return pd.DataFrame({"vec_id": queries.ids[q], "q_row": queries.rows[q], "neighbor_id": best.id[q, at], "n_row": best.row[q, at], "score": best.score[q, at]})
+    def seeded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                yield rows_of(*opened(r))
 
+    def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, queries, best, known = None, None, None, None
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 if r.q_block != block:
                     if block is not None:
-                        yield out()
-                    block, queries = r.q_block, Block(r.q_ids, r.q_rows, r.q_vectors, dim)
-                    best = Best(len(queries.ids), k)
-                    for name, kind in (("score", np.float64), ("id", np.int64), ("row", np.int64)):
-                        setattr(best, name, np.frombuffer(getattr(r, name), kind).reshape(-1, k).copy())
-                if r.block != block:
-                    search(queries, Block(r.ids, r.rows, r.vectors, dim), best)
+                        yield rows_of(queries, best, known)
+                    block, (queries, best) = r.q_block, opened(r)
+                    known = best.row.copy()
+                search(queries, Block(r.ids, r.rows, r.vectors, dim), best)
         if block is not None:
-            yield out()
-
-    # Tasks are (some query blocks) x (a run of buckets): a task's answers are its k best, so the runs are long.
-    left, right = seeds.repartition(max(1, min(blocks, 100_000)), "q_block"), packed.repartitionByRange(shards(blocks, 64), F.desc("longest")).sortWithinPartitions(F.desc("longest"))
-    near = left.join(right, F.col("longest") >= F.col("needs") - SLACK * (1 + F.abs("needs")))
-    hits = near.mapInPandas(second, "vec_id long, q_row long, neighbor_id long, n_row long, score double").distinct()
+            yield rows_of(queries, best, known)
+
+    runs = max(shards(n, RUN), min(shards(n, 8), RUN))
+    left = seeds.repartition(max(1, min(m, MOST_TASKS // runs)), "q_block")
+    right = packed.where(F.col("block") != (head[0] if head else -1)).repartitionByRange(runs, F.desc("longest"), "block").sortWithinPartitions(F.desc("longest"), "block")
+    near = left.join(right, F.col("longest") >= F.col("needs") - SLACK * (1 + F.abs("needs")))  # a stated query set against all rows, in blocks
+    shape = "vec_id long, q_row long, neighbor_id long, n_row long, score double"
+    hits = near.mapInPandas(second, shape).unionByName(seeds.mapInPandas(seeded, shape))
     rank = Window.partitionBy("q_row").orderBy(F.desc("score"), "neighbor_id", "n_row")
     return hits.withColumn("rank", F.row_number().over(rank).cast("long")).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "score")

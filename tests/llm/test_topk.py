@@ -4,11 +4,11 @@ import pytest
 from rootweave.llm import topk
 
 
-def brute(rows, k):
+def brute(rows, k, every=1):
     ids, v = [i for i, _ in rows], np.array([x for _, x in rows], np.float64)
     score = v @ v.T
     out = []
-    for q in range(len(rows)):
+    for q in (q for q in range(len(rows)) if ids[q] % every == 0):
         order = sorted((j for j in range(len(rows)) if j != q), key=lambda j: (-score[q, j], ids[j]))[:k]
         out += [(ids[q], r + 1, round(score[q, j], 5)) for r, j in enumerate(order)]
     return sorted(out)
@@ -18,8 +18,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "x") for i, v in rows], "vec_id long, embedding array<float>, norm string")
 
 
-@pytest.mark.parametrize("kind", ["unit", "skewed", "clustered"])
-def test_equals_brute_force(spark, kind):
+@pytest.mark.parametrize(("kind", "every"), [("unit", 1), ("skewed", 1), ("clustered", 1), ("unit", 7), ("skewed", 100)])
+def test_equals_brute_force(spark, kind, every):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((260, 12))
     if kind == "unit":
@@ -29,8 +29,8 @@ def test_equals_brute_force(spark, kind):
     if kind == "clustered":
         v = np.repeat(v[:13], 20, axis=0) + 0.01 * rng.standard_normal((260, 12))
     rows = [(k, x) for k, x in enumerate(v.astype(np.float32).tolist())]
-    got = sorted((r.vec_id, r.rank, round(r.score, 5)) for r in topk.top_k(frame(spark, rows), k=5, bucket=40).collect())
-    want = brute(rows, 5)
+    got = sorted((r.vec_id, r.rank, round(r.score, 5)) for r in topk.top_k(frame(spark, rows), k=5, every=every, bucket=40, query_block=30).collect())
+    want = brute(rows, 5, every)
     assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-4)
 
 
@@ -68,3 +68,18 @@ def test_few_and_none(spark):
     assert topk.top_k(frame(spark, [])).count() == 0
     assert topk.top_k(frame(spark, [(1, [1.0, 2.0])])).count() == 0
     assert sorted(tuple(r)[:3] for r in topk.top_k(frame(spark, [(1, [1.0]), (2, [2.0])]), k=9).collect()) == [(1, 1, 2), (2, 1, 1)]
+
+
+def test_ids_are_integral_and_names_may_clash(spark):
+    df = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(30)], "vec_id int, embedding array<float>")
+    want = sorted(map(tuple, topk.top_k(df, k=3, every=10).collect()))
+    clash = df.selectExpr("*", *[f"0 AS {c}" for c in ("id", "v", "norm", "tag", "block", "longest", "score", "rank", "q_row", "d")])
+    assert sorted(map(tuple, topk.top_k(clash, k=3, every=10).collect())) == want and len(want) == 9
+    with pytest.raises(TypeError, match="integral"):
+        topk.top_k(df.selectExpr("string(vec_id) AS vec_id", "embedding"))
+
+
+def test_one_vector_repeated_very_often(spark):
+    df = spark.range(3_000).selectExpr("if(id % 3 = 0, 5, id) AS vec_id", "if(id % 3 = 0, array(1f, 0f), array(float(id), 1f)) AS embedding")
+    out = topk.top_k(df, k=2, every=5, bucket=64).collect()
+    assert len(out) == 2 * df.where("vec_id % 5 = 0").count() and all(r.neighbor_id >= 2_996 for r in out)
