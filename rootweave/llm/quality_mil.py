@@ -7,7 +7,10 @@ scored. Training runs on the driver over at most `train_docs` labelled documents
 hashes of doc_id; a documented bound), in numpy from a fixed seed. Scoring is map-side: the
 weights, of a fixed size, ride along with the task.
 
-Cases. Null, empty and blank texts have no passages and a null score, and are not rejected. Labels
+THRESHOLD leans towards keeping: on the half of sf0.1's labelled documents that wasn't fitted, it rejects 98.5 % of the bad
+and 0.18 % of the good ones (0.41 % at 0.5, where the bad ones rejected are 98.9 %).
+
+Cases. Ids may be of any type; labels meet documents by the documents' type. Null, empty and blank texts have no passages and a null score, and are not rejected. Labels
 other than 0 and 1 are ignored; of contradicting labels of a document the lower counts. Without labelled
 documents of both classes nothing can be learned and every score is null. Repeated rows score alike.
 Null ids are passed through. Texts are read whole. An empty table gives no rows. Other columns, whatever
@@ -83,6 +86,19 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> dict[
     return {"h": h, "t": t, "s": s, "a": a, "z": z, "p": _sigmoid(z @ w["c"] + w["d"]), "size": size}
 
 
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """The gradient of the bags' weighted mean log loss by every weight."""
+    f = forward(w, x, first)
+    dlogit = ((f["p"] - y) * weight / len(y)).astype(x.dtype)
+    dz = np.repeat(dlogit[:, None] * w["c"], f["size"], axis=0)
+    da = (dz * f["h"]).sum(axis=1)
+    de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, first), f["size"]))
+    dt = de[:, None] * w["a"] * f["s"] * (1 - f["t"] ** 2)
+    ds = de[:, None] * w["a"] * f["t"] * f["s"] * (1 - f["s"])
+    dh = (f["a"][:, None] * dz + dt @ w["V"].T + ds @ w["U"].T) * (1 - f["h"] ** 2)
+    return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "a": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ dlogit, "d": dlogit.sum(keepdims=True)}
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> dict[str, np.ndarray]:
     """Weights after Adam on the balanced log loss of the bags' labels: `epochs` passes, or as many as make STEPS steps."""
     rng = np.random.default_rng(seed)
@@ -96,15 +112,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
             own = order[lo : lo + BATCH]
             x = np.concatenate([bags[k] for k in own])
             first = tk.offsets_of(np.array([len(bags[k]) for k in own]))[:-1]
-            f = forward(w, x, first)
-            dlogit = ((f["p"] - labels[own]) * weight[own] / len(own)).astype(np.float32)
-            dz = np.repeat(dlogit[:, None] * w["c"], f["size"], axis=0)
-            da = (dz * f["h"]).sum(axis=1)
-            de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, first), f["size"]))
-            dt = de[:, None] * w["a"] * f["s"] * (1 - f["t"] ** 2)
-            ds = de[:, None] * w["a"] * f["t"] * f["s"] * (1 - f["s"])
-            dh = (f["a"][:, None] * dz + dt @ w["V"].T + ds @ w["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "a": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ dlogit, "d": dlogit.sum(keepdims=True)}
+            grad = gradients(w, x, first, labels[own], weight[own])
             step += 1
             for k, g in grad.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -126,9 +134,9 @@ def labelled_bags(texts: list[str | None], labels: list[int]) -> tuple[list[np.n
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray] | None:
     """The weights, or None if the labels leave nothing to learn."""
-    rows = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
+    body = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where("__text IS NOT NULL")
+    rows = labels.select(F.col(f"`{id_col}`").try_cast(body.schema["__id"].dataType).alias("__id"), F.col(f"`{label_col}`").try_cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
     chosen = rows.groupBy("__id").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(train_docs)
-    body = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).where("__text IS NOT NULL")
     sample = body.join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__id", "__text").limit(train_docs).toPandas()  # at most train_docs rows
     bags, y = labelled_bags(sample["__text"].tolist(), sample["__y"].tolist())
     if not len(y) or y.min() == y.max():

@@ -162,14 +162,71 @@ def test_quality_held_out_accuracy():
     assert abs(alone[0] - p[7]) < 1e-5
 
 
-def test_gradients_are_right():
+def plain_score(w, x):
+    """One bag's score, passage by passage."""
+    hidden, energy = [], []
+    for passage in x:
+        h = np.tanh(passage @ w["W"] + w["b"])
+        hidden.append(h)
+        energy.append(float(np.sum(w["a"] * np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"]))))))
+    share = np.exp(np.array(energy) - max(energy))
+    share /= share.sum()
+    z = sum(a * h for a, h in zip(share, hidden))
+    return float(1 / (1 + np.exp(-(z @ w["c"] + w["d"][0]))))
+
+
+def test_forward_equals_a_plain_pass():
+    rows, labels = quality_rows(80)
+    bags, y = quality_mil.labelled_bags([t for _, t in rows], [q for _, q, _ in labels])
+    w = quality_mil.train(bags, y, epochs=1)
+    p = quality_mil.scores(w, [t for _, t in rows])
+    assert len(bags) == 80 and max(len(b) for b in bags) > 3
+    assert np.allclose(p, [plain_score(w, b) for b in bags], atol=1e-4)
+
+
+def test_gradients_equal_finite_differences():
     rng = np.random.default_rng(0)
-    x, first = rng.random((6, quality_mil.DIM)).astype(np.float32), np.array([0, 2])
-    w = quality_mil.train([x[:2], x[2:]], np.array([0.0, 1.0], np.float32), epochs=1)
-    p = quality_mil.forward(w, x, first)["p"]
-    assert p[0] < 0.2 and p[1] > 0.8  # it can fit two bags
-    a = quality_mil.forward(w, x, first)["a"]
-    assert np.allclose(np.add.reduceat(a, first), 1, atol=1e-5)
+    shape = {"W": (quality_mil.DIM, 5), "b": (5,), "V": (5, 4), "U": (5, 4), "a": (4,), "c": (5,), "d": (1,)}
+    w = {k: rng.standard_normal(s) * 0.5 for k, s in shape.items()}
+    x, first = rng.random((9, quality_mil.DIM)), np.array([0, 2, 3])
+    y, weight = np.array([0.0, 1.0, 1.0]), np.array([1.5, 0.75, 0.75])
+
+    def loss():
+        p = quality_mil.forward(w, x, first)["p"]
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
+
+    grad = quality_mil.gradients(w, x, first, y, weight)
+    for name in shape:
+        flat, own = w[name].reshape(-1), grad[name].reshape(-1)
+        for k in rng.choice(flat.size, min(flat.size, 12), replace=False):
+            was, eps = flat[k], 1e-6
+            flat[k] = was + eps
+            up = loss()
+            flat[k] = was - eps
+            down = loss()
+            flat[k] = was
+            assert abs((up - down) / (2 * eps) - own[k]) < 1e-7 + 1e-4 * abs(own[k]), name
+
+
+def test_quality_on_held_out_labels(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if (docs.get(r.doc_id) or "").strip()]
+    random.Random(2).shuffle(labels)
+    seen = {docs[i] for i, _ in labels[:250]}
+    bags, y = quality_mil.labelled_bags([docs[i] for i, _ in labels[:250]], [q for _, q in labels[:250]])
+    held = [(docs[i], q) for i, q in labels[250:] if docs[i] not in seen]
+    p = quality_mil.scores(quality_mil.train(bags, y), [t for t, _ in held])
+    truth = np.array([q for _, q in held])
+    assert (p[truth == 1] >= quality_mil.THRESHOLD).mean() >= 0.97 and (p[truth == 0] < quality_mil.THRESHOLD).mean() >= 0.8
+
+
+def test_quality_of_ids_of_any_type(spark):
+    rows, labels = quality_rows(60)
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in rows], "doc_id string, text string")
+    lab = spark.createDataFrame([(f"d{i}", q) for i, q, _ in labels] + [("d1", 5), (None, 1)], "doc_id string, quality int")
+    out = quality_mil.score(docs, lab).collect()
+    assert len(out) == 60 and all(r.score is not None for r in out)
+    assert all(r.score is None for r in quality_mil.score(docs, lab.selectExpr("concat('x', doc_id) AS doc_id", "quality")).collect())
 
 
 def test_quality_end_to_end(spark, docs_of):
