@@ -212,11 +212,12 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
     def shared(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data = combined(np.concatenate([np.frombuffer(b, _COUNT) for b in pdf["blob"]]))
         data = data[data["least"] != data["most"]]
-        return pd.DataFrame({"bucket": data["bucket"].view(np.int64), "n": data["n"]})
+        # A bucket is the least of many hashes, so its high bits are few: the filter takes it mixed.
+        return pd.DataFrame({"bucket": data["bucket"].view(np.int64), "mixed": tk.mix(data["bucket"], 7).view(np.int64), "n": data["n"]})
 
-    several = stored(batched(body).mapInArrow(first, "p int, blob binary").groupBy("p").applyInPandas(shared, "bucket long, n long"))
+    several = stored(batched(body).mapInArrow(first, "p int, blob binary").groupBy("p").applyInPandas(shared, "bucket long, mixed long, n long"))
     count, total = several.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    words = filter_words(several.select("bucket"), count)
+    words = filter_words(several.select("mixed"), count)
     parts2 = shards(total, REFINE_EACH)
     much = max(HOT_TASKS * REFINE_EACH, total // HOT_SHARE)
     hot = several.where(F.col("n") > much).toPandas()  # HOT_SHARE rows at most
@@ -248,7 +249,7 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
                 for lo, word, at, bucket, doc, suffix, count in records(b.column(1).to_pylist(), min_words):
                     if not len(bucket):
                         continue
-                    has = may_hold(words, bucket)
+                    has = may_hold(words, tk.mix(bucket, 7))
                     if len(hot_bucket):
                         has &= (hot_bucket[np.minimum(np.searchsorted(hot_bucket, bucket), len(hot_bucket) - 1)] == bucket) == only_hot
                     if not has.any():
@@ -259,7 +260,7 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
                     need = info["words"].astype(np.int64)
                     offset = tk.offsets_of(need)
                     held.append((info, word[np.repeat(suffix - offset[:-1], need) + np.arange(offset[-1])]))
-                if sum(len(h[1]) for h in held) > 2_000_000:
+                if sum(len(h[1]) for h in held) > 1_000_000:
                     yield out()
             if held:
                 yield out()
