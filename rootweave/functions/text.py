@@ -89,15 +89,20 @@ def lines(text: Column) -> Column:
 def line_windows(text: Column, size: int = 80, overlap: int = 10) -> Column:
     """Overlapping windows of lines as an array of (line_start, line_end, content); the last ends with the text."""
     step = size - min(overlap, size - 1)
-    rows = lines(text)
-    n = F.size(rows)
-    count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    window = lambda k: F.struct(
-        (k * step + 1).alias("line_start"),
-        F.least(k * step + size, n).alias("line_end"),
-        F.array_join(F.slice(rows, k * step + 1, F.least(F.lit(size), n - k * step)), "\n").alias("content"),
-    )
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), window)).otherwise(F.array().cast("array<struct<line_start:int,line_end:int,content:string>>"))
+    shape = "array<struct<line_start:int,line_end:int,content:string>>"
+
+    def windows(rows: Column) -> Column:
+        n = F.size(rows)
+        count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / step).cast("int") + 1)
+        window = lambda k: F.struct(
+            (k * step + 1).alias("line_start"),
+            F.least(k * step + size, n).alias("line_end"),
+            F.array_join(F.slice(rows, k * step + 1, F.least(F.lit(size), n - k * step)), "\n").alias("content"),
+        )
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), window)).otherwise(F.array().cast(shape))
+
+    # The lines are bound once as a lambda variable: otherwise each window would split the text again.
+    return F.get(F.transform(F.array(lines(text)), windows), F.lit(0))
 
 
 def signature(text: Column) -> Column:

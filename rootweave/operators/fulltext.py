@@ -1,15 +1,19 @@
-"""An inverted index as tables, boolean and phrase matching, and BM25 ranking.
+"""An inverted index as stored tables, boolean and phrase matching, and BM25 ranking.
 
-Layout: postings(term, doc, tf, positions), doc_stats(doc, len), and corpus(n_docs, avg_len) of one row.
-A query touches only its terms' postings: written partitioned or sorted by term, the filter prunes files.
+Layout: postings(term, doc, len, tf, positions), range-partitioned and sorted by term and document, so that a query reads
+only the row groups of its terms and a frequent term is in many files; and corpus(n_docs, avg_len) of one row. An index is
+written as a new version beside the old ones, and a pointer names the current one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.functions import text as T
+from rootweave.storage import cut, open_version, write_version
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -18,10 +22,55 @@ def tokenised(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     return docs.select(F.col(doc).alias("doc"), T.tokens(text).alias("tokens"))
 
 
+def _runs(tokens: Column, entry) -> Column:  # noqa: ANN001
+    """entry(sorted, begin, end) of each run of one term in a document's sorted (term, pos) array: counting without a shuffle."""
+
+    def each(s: Column) -> Column:
+        term = lambda i: F.get(s, i)["term"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
+        of = lambda st: F.transform(st, lambda x, j: entry(s, x, F.coalesce(F.get(st, j + 1), F.size(s))))
+        return F.get(F.transform(F.array(starts), of), F.lit(0))
+
+    places = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    return F.when(F.size(tokens) > 0, F.get(F.transform(F.array(places), each), F.lit(0)))
+
+
 def postings(tokenised_docs: DataFrame) -> DataFrame:
-    """(term, doc, tf, positions) with positions from 0, in order."""
-    each = tokenised_docs.select("doc", F.posexplode("tokens").alias("pos", "term"))
-    return each.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(term, doc, len, tf, positions) with positions from 0, in order. A document is one row, so nothing shuffles."""
+    entry = lambda s, x, end: F.struct(F.get(s, x)["term"].alias("term"), (end - x).cast("long").alias("tf"), F.slice(s, x + 1, end - x)["pos"].alias("positions"))
+    each = tokenised_docs.select("doc", F.size("tokens").cast("long").alias("len"), F.explode(_runs(F.col("tokens"), entry)).alias("e"))
+    return each.select("e.term", "doc", "len", "e.tf", "e.positions")
+
+
+class Index(NamedTuple):
+    postings: DataFrame
+    corpus: DataFrame
+
+
+def write_index(tokenised_docs: DataFrame, folder: str) -> int:
+    """Writes the index of documents as the folder's next version, which becomes the current one; gives its number."""
+    posts = postings(tokenised_docs).repartitionByRange(*map(F.col, ("term", "doc"))).sortWithinPartitions("term", "doc")
+    return write_version(folder, {"postings": posts, "corpus": corpus_stats(doc_stats(tokenised_docs))})
+
+
+def open_index(spark: SparkSession, folder: str, version: int | None = None) -> Index:
+    return Index(**open_version(spark, folder, ("postings", "corpus"), version))
+
+
+def indexed_counts(index: Index, phrases: list[str]) -> DataFrame:
+    """(doc, len, f_0 ...): as phrase_counts() of the documents with some word of the phrases, from their postings alone."""
+    words = list(dict.fromkeys(w for p in phrases for w in p.split(" ")))
+    hits = index.postings.where(F.col("term").isin(*words))
+    by_doc = hits.groupBy("doc").agg(F.first("len").alias("len"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))  # the query's words
+
+    def found(phrase: str) -> Column:
+        first, *rest = phrase.split(" ")
+        here = lambda p: F.reduce(F.array(*[F.coalesce(F.array_contains(F.col("at")[w], p + k), F.lit(False)) for k, w in enumerate(rest, 1)]), F.lit(True), lambda a, b: a & b)
+        at = F.col("at")[first]
+        return F.coalesce(F.size(F.filter(at, here) if rest else at), F.lit(0)).cast("long")
+
+    counted = by_doc.select("doc", "len", *[F.when(F.col("at")[p.split(" ")[0]].isNull(), F.lit(0).cast("long")).otherwise(found(p)).alias(f"f_{k}") for k, p in enumerate(phrases)])
+    return counted
 
 
 def doc_stats(tokenised_docs: DataFrame) -> DataFrame:
@@ -79,31 +128,27 @@ def match(tokenised_docs: DataFrame, groups: list[list[str]]) -> DataFrame:
     return phrase_counts(tokenised_docs, [p for g in groups for p in g]).where(has_all(groups))
 
 
-def bm25(tokenised_docs: DataFrame, groups: list[list[str]]) -> DataFrame:
-    """(doc, score) of the documents that match all groups; each phrase that occurs adds its part.
-
-    Document frequencies, document number and mean length come from one aggregation without a shuffle of
-    documents; its single row is joined to the matches.
-    """
+def scored(counts: DataFrame, corpus: DataFrame, groups: list[list[str]], all_groups: bool = True) -> DataFrame:
+    """(doc, score) from phrase counts: the documents that have all groups (or any), each phrase adding its part."""
     phrases = [p for g in groups for p in g]
-    counts = phrase_counts(tokenised_docs, phrases)
-    total = counts.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f_{k}") > 0).alias(f"n_{k}") for k in range(len(phrases))])
-    hits = counts.where(has_all(groups)).crossJoin(F.broadcast(total))
+    seen = counts.agg(*[F.count_if(F.col(f"f_{k}") > 0).alias(f"n_{k}") for k in range(len(phrases))])
+    some = has_all(groups if all_groups else [phrases])
+    hits = counts.where(some).crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(corpus))  # one row each
     score = F.lit(0.0)
     for k in range(len(phrases)):
         score = score + F.when(F.col(f"f_{k}") > 0, idf(F.col("n_docs"), F.col(f"n_{k}")) * bm25_part(F.col(f"f_{k}"), F.col("len"), F.col("avg_len"))).otherwise(0.0)
     return hits.select("doc", score.alias("score"))
 
 
-def bm25_indexed(postings_: DataFrame, stats: DataFrame, terms: list[str], all_terms: bool = True) -> DataFrame:
-    """(doc, score) from a stored index: only the terms' postings are read, and document lengths join on doc."""
-    terms = list(dict.fromkeys(terms))
-    hits = postings_.where(F.col("term").isin(*terms)).select("term", "doc", "tf")
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(stats, "doc").join(F.broadcast(frequency), "term").crossJoin(F.broadcast(corpus_stats(stats)))  # one row a query term; one row
-    part = idf(F.col("n_docs"), F.col("df")) * bm25_part(F.col("tf"), F.col("len"), F.col("avg_len"))
-    out = scored.groupBy("doc").agg(F.sum(part).alias("score"), F.count("*").alias("n"))
-    return (out.where(F.col("n") == len(terms)) if all_terms else out).select("doc", "score")
+def bm25(tokenised_docs: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """(doc, score) of the documents that match all groups, by a scan: texts are tokenised once, and only counts are kept."""
+    counts = cut(phrase_counts(tokenised_docs, [p for g in groups for p in g]))
+    return scored(counts, corpus_stats(counts), groups)
+
+
+def bm25_indexed(index: Index, groups: list[list[str]], all_groups: bool = True) -> DataFrame:
+    """(doc, score) from a stored index: only the postings of the groups' words are read."""
+    return scored(cut(indexed_counts(index, [p for g in groups for p in g])), index.corpus, groups, all_groups)
 
 
 def top(scored: DataFrame, limit: int, *ties: str) -> DataFrame:
@@ -121,7 +166,7 @@ def refresh(postings_: DataFrame, changed_docs: DataFrame, removed: DataFrame) -
 
 
 def document_frequency(tokenised_docs: DataFrame) -> DataFrame:
-    """(term, df, cf): documents with the term and its occurrences."""
-    each = tokenised_docs.select(F.explode("tokens").alias("term"), F.col("doc"))
-    return each.groupBy("term", "doc").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-
+    """(term, df, cf): documents with the term and its occurrences. Documents count their own terms; one row a term and task shuffles."""
+    entry = lambda s, x, end: F.struct(F.get(s, x)["term"].alias("term"), (end - x).cast("long").alias("tf"))
+    each = tokenised_docs.select(F.explode(_runs(F.col("tokens"), entry)).alias("e"))
+    return each.groupBy("e.term").agg(F.count("*").alias("df"), F.sum("e.tf").alias("cf"))

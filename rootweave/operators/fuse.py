@@ -2,15 +2,22 @@
 
 Candidates have path, line_start, line_end, source, score, kind, symbol, content, token_est, in_degree,
 out_degree, ref_count, is_generated and exact_symbol.
+Operators that number rows do so for a page's candidates (a bounded number) in one window; for whole tables (whole=True)
+by operators.order, which needs no single task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.functions import paths as P
 from rootweave.functions import text as T
+from rootweave.operators.order import numbered
 
 RRF_K = 60
 BUCKET_LINES = 40
@@ -34,25 +41,35 @@ def weight_of(weights: dict[str, float], source: Column) -> Column:
     return out
 
 
-def ranks(candidates: DataFrame) -> DataFrame:
+def ranks(candidates: DataFrame, whole: bool = False) -> DataFrame:
     """Candidates with their 0-based rank within their source."""
-    order = Window.partitionBy("source").orderBy(F.desc("score"), *_TIES, F.asc_nulls_first("symbol"))
-    return candidates.withColumn("rank0", F.row_number().over(order) - 1)
+    order = F.desc("score"), *map(F.asc, _TIES), F.asc_nulls_first("symbol")
+    if not whole:
+        return candidates.withColumn("rank0", F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1)
+    placed = numbered(candidates, "source", *order, name="place")
+    first = placed.groupBy("source").agg(F.min("place").alias("first"))
+    return placed.join(F.broadcast(first), "source").withColumn("rank0", (F.col("place") - F.col("first")).cast("int")).drop("place", "first")  # one row a source
+
 
+def place(df: DataFrame, *order: Column | str, whole: bool) -> DataFrame:
+    """df with pos, its place (from 0) in the order."""
+    if whole:
+        return numbered(df, *order, name="pos").withColumn("pos", F.col("pos").cast("int"))
+    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
 
-def fuse(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
+
+def fuse(candidates: DataFrame, weights: dict[str, float], whole: bool = False) -> DataFrame:
     """One row for each (path, 40-line bucket): the sum of weight * k / (k + rank) over sources, each at its best rank.
 
     The representative is the richest source's candidate (symbol, then text or vector, then path); agreeing_sources
     counts the sources that listed the path at all. Sources without a weight take no part.
     """
-    used = ranks(candidates).withColumns({"w": weight_of(weights, F.col("source")), "bucket": bucket(F.col("line_start"))}).where("w > 0")
+    used = ranks(candidates, whole).withColumns({"w": weight_of(weights, F.col("source")), "bucket": bucket(F.col("line_start"))}).where("w > 0")
     agree = used.groupBy("path").agg(F.countDistinct("source").alias("agreeing_sources"))
-    first = Window.partitionBy("source", "path", "bucket").orderBy("rank0")
-    best = used.withColumn("n", F.row_number().over(first)).where("n = 1")
     rich = F.when(F.col("source") == "symbol", 0).when(F.col("source").isin("fts", "vector"), 1).otherwise(2)
     turn = F.when(F.col("source") == "symbol", 0).when(F.col("source") == "path", 1).when(F.col("source") == "fts", 2).otherwise(3)
     own = [c for c in candidates.columns if c not in ("score", "path")]
+    best = used.groupBy("source", "path", "bucket").agg(F.min("rank0").alias("rank0"), F.max("w").alias("w"), F.min_by(F.struct(*[c for c in own if c != "source"]), "rank0").alias("c")).select("source", "path", "bucket", "rank0", "w", "c.*")
     merged = best.groupBy("path", "bucket").agg(
         F.sum(F.col("w") * RRF_K / (RRF_K + F.col("rank0"))).alias("score"),
         F.min_by(F.struct(*own), F.struct(rich, turn, "rank0")).alias("r"),
@@ -90,25 +107,25 @@ def bonus(query_terms: list[str], architecture: bool = False) -> tuple[Column, C
     return total, F.when(why == "", F.col("source")).otherwise(why)
 
 
-def rerank(fused: DataFrame, query_terms: list[str], architecture: bool = False) -> DataFrame:
+def rerank(fused: DataFrame, query_terms: list[str], architecture: bool = False, whole: bool = False) -> DataFrame:
     """Fused candidates with their bonus added, the reason, and pos (0-based, by score)."""
     total, why = bonus(query_terms, architecture)
     scored = fused.withColumns({"score": F.col("score") + total, "reason": why})
-    return scored.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), *_TIES)) - 1)
+    return place(scored, F.desc("score"), *_TIES, whole=whole)
 
 
-def diversify(reranked: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+def diversify(reranked: DataFrame, per_file: int = PER_FILE, whole: bool = False) -> DataFrame:
     """At most per_file rows of a file stay in front; its others follow after all files, in their order."""
     nth = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
-    marked = reranked.withColumn("late", nth > per_file)
-    return marked.withColumn("pos", F.row_number().over(Window.orderBy("late", "pos")) - 1).drop("late")
+    marked = reranked.withColumn("late", nth > per_file).withColumnRenamed("pos", "was")
+    return place(marked, "late", "was", whole=whole).drop("late", "was")
 
 
 def confidence(ranked: DataFrame) -> DataFrame:
     """One row: high, medium or low, from the gap between the first two, agreement and exactness."""
-    order = Window.orderBy("pos")
-    top = ranked.select("pos", "score", F.coalesce("agreeing_sources", F.lit(1)).alias("agree"), F.coalesce("exact_symbol", F.lit(False)).alias("exact"), F.lead("score").over(order).alias("second"))
-    one = top.agg(F.count("*").alias("n"), F.min_by("score", "pos").alias("s1"), F.min_by("second", "pos").alias("s2"), F.min_by("agree", "pos").alias("agree"), F.min_by("exact", "pos").alias("exact"))
+    own = F.struct("score", F.coalesce("agreeing_sources", F.lit(1)).alias("agree"), F.coalesce("exact_symbol", F.lit(False)).alias("exact"))
+    two = ranked.select("pos", own.alias("r")).orderBy("pos").limit(2).agg(F.min_by("r", "pos").alias("a"), F.max_by("r", "pos").alias("b"))
+    one = ranked.agg(F.count("*").alias("n")).crossJoin(F.broadcast(two)).select("n", F.col("a.score").alias("s1"), F.col("b.score").alias("s2"), "a.agree", "a.exact")  # one row each
     gap = (F.col("s1") - F.col("s2")) / F.col("s1")
     agree = F.col("agree")
     level = (
@@ -122,21 +139,56 @@ def confidence(ranked: DataFrame) -> DataFrame:
     return one.select(level.alias("confidence"))
 
 
+def fits(costs: list[float | None], budget: float, spent: float = 0) -> tuple[list[bool], float]:
+    """Of costs in order, whether each still fits (one that doesn't is skipped and the next is tried), and what is spent then."""
+    out = []
+    for c in costs:
+        ok = c is not None and spent + c <= budget
+        spent += c if ok else 0
+        out.append(ok)
+    return out, spent
+
+
 def greedy_budget(costs: Column, budget: int) -> Column:
-    """Of an array of costs in order, whether each still fits: one that doesn't is skipped and the next is tried."""
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<boolean>").alias("fits"))
+    """fits() of an array of costs, for the rows of a page."""
+
+    @F.pandas_udf("array<boolean>")
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else fits([None if c is None or c != c else int(c) for c in a], budget)[0])
 
-    def step(state: Column, cost: Column) -> Column:
-        fits = cost.isNotNull() & (state["spent"] + F.coalesce(cost, F.lit(0)) <= budget)
-        return F.struct((state["spent"] + F.when(fits, cost).otherwise(0)).cast("long").alias("spent"), F.concat(state["fits"], F.array(fits)).alias("fits"))
+    return run(costs)
 
-    return F.aggregate(costs, start, step, lambda s: s["fits"])
+
+def within_budget(rows: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:
+    """rows with fits, each group spending its own budget in its order.
+
+    A group's rows stream through one task in sorted order and only what is spent is held, so a group of any size needs no memory.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, spent = object(), 0
+        for b in batches:
+            out = []
+            for g, c in zip(b.column(group).to_pylist(), b.column(cost).to_pylist()):
+                if g != now:
+                    now, spent = g, 0
+                ok = c is not None and spent + c <= budget
+                spent += c if ok else 0
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*names, "fits"])
+
+    shape = rows.withColumn("fits", F.lit(True)).schema
+    return rows.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, shape)
 
 
 def apply_budget(ranked: DataFrame, budget: int) -> DataFrame:
-    """Final rows with rank from 1, the redacted snippet where the budget lets it in, and recommended (read the place instead)."""
+    """Final rows with rank from 1, the redacted snippet where the budget lets it in, and recommended (read the place instead).
+
+    ranked holds the rows up to the end of a page; the budget is spent from the first on.
+    """
     own = F.struct("pos", *[c for c in ranked.columns if c != "pos"])
-    rows = ranked.agg(F.sort_array(F.collect_list(own)).alias("rows"))  # the page's rows alone: a page has a fixed size
+    rows = ranked.agg(F.sort_array(F.collect_list(own)).alias("rows"))  # a page's rows alone
     costs = F.transform("rows", lambda r: F.when(F.coalesce(r["content"], F.lit("")) != "", r["token_est"].cast("long")))
     each = rows.withColumn("fits", greedy_budget(costs, budget)).select(F.posexplode(F.arrays_zip("rows", "fits")).alias("i", "z"))
     flat = each.select((F.col("i") + 1).alias("rank"), "z.rows.*", F.col("z.fits").alias("fits"))

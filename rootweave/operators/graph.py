@@ -7,12 +7,17 @@ when files are indexed again. Walks join one frontier a level and cut their line
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rootweave.functions import paths as P
 from rootweave.storage import cut
 
+#: A frontier of a walk is broadcast up to this size.
+FRONTIER_BYTES = 16 << 20
 RESOLVABLE = ("call", "reference", "extends", "implements")
 #: Suffixes of files that a module name may stand for, by language, then for any.
 OWN_SUFFIXES = {
@@ -95,11 +100,16 @@ def resolve(edges_raw: DataFrame, symbols: DataFrame, files: DataFrame) -> DataF
     )
 
 
-def nodes(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """All graph nodes: kind, id, path, name, line_start, symbol_kind and a key that survives indexing again."""
-    f = files.select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), "path", P.file_name(F.col("path")).alias("name"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("string").alias("symbol_kind"), F.concat(F.lit("file::"), "path").alias("key"))
-    s = symbols.select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id"), "path", "name", F.col("line_start").cast("int"), F.col("kind").alias("symbol_kind"), F.concat_ws("::", F.lit("symbol"), "path", "name", F.col("line_start").cast("string")).alias("key"))
-    return f.unionByName(s)
+def node_key() -> Column:
+    """A node's key from its kind, path, name and line_start, which survives indexing again."""
+    return F.when(F.col("kind") == "file", F.concat(F.lit("file::"), "path")).otherwise(F.concat_ws("::", F.lit("symbol"), "path", "name", F.col("line_start").cast("string")))
+
+
+def nodes(files: DataFrame, symbols: DataFrame, key: Callable[[], Column] = node_key) -> DataFrame:
+    """All graph nodes: kind, id, path, name, line_start, symbol_kind and the key that `key` makes of these."""
+    f = files.select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), "path", P.file_name(F.col("path")).alias("name"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("string").alias("symbol_kind"))
+    s = symbols.select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id"), "path", "name", F.col("line_start").cast("int"), F.col("kind").alias("symbol_kind"))
+    return f.unionByName(s).withColumn("key", key())
 
 
 def degrees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,14 +127,15 @@ def seeds(target: str, files: DataFrame, symbols: DataFrame, with_symbols: bool
     with_symbols adds a file's symbols to it.
     """
     exact = files.where(F.col("path") == target).select("file_id", F.lit(0).alias("turn"))
-    by_suffix = files.where(F.col("path").endswith("/" + target)).select("file_id").withColumn("n", F.count("*").over(Window.partitionBy())).where("n = 1").select("file_id", F.lit(2).alias("turn"))
+    by_suffix = files.where(F.col("path").endswith("/" + target)).agg(F.count("*").alias("n"), F.min("file_id").alias("file_id")).where("n = 1").select("file_id", F.lit(2).alias("turn"))
     chosen = exact.unionByName(by_suffix)
     as_files = chosen.select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), "turn")
     named = symbols.where(F.col("name") == target).select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id"), F.lit(1).alias("turn"))
     found = as_files.unionByName(named)
     if with_symbols:
         found = found.unionByName(symbols.join(chosen, "file_id").select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id"), "turn"))
-    return found.withColumn("best", F.min("turn").over(Window.partitionBy())).where("turn = best").select("kind", "id").distinct()
+    best = found.agg(F.min("turn").alias("turn"))
+    return found.join(F.broadcast(best), "turn", "left_semi").select("kind", "id").distinct()  # one row
 
 
 def arcs(edges: DataFrame, direction: str) -> DataFrame:
@@ -139,7 +150,8 @@ def walk(edges: DataFrame, start: DataFrame, depth: int, direction: str = "up",
     """Nodes within depth steps of the start nodes: origin columns, kind, id, distance, via_edge, via_confidence.
 
     Start nodes are excluded. One walk serves any number of origins at once; of several ways to first reach a
-    node the least (edge type, confidence, previous node) is reported.
+    node the least (edge type, confidence, previous node) is reported. A frontier is counted: a small one is broadcast, so
+    that edges stay where they are; a large one meets them by a shuffle.
     """
     if direction not in ("up", "down", "both"):
         raise ValueError(f"direction must be up, down or both, not {direction}")
@@ -148,23 +160,35 @@ def walk(edges: DataFrame, start: DataFrame, depth: int, direction: str = "up",
     origin = origin or []
     step = arcs(edges, direction)
     key = [*origin, "kind", "id"]
-    seen = cut(start.select(*key).distinct().withColumns({"distance": F.lit(0), "via_edge": F.lit(None).cast("string"), "via_confidence": F.lit(None).cast("string")}))
-    frontier, levels = seen, [seen]
+    first = cut(start.select(*key).distinct().withColumns({"distance": F.lit(0), "via_edge": F.lit(None).cast("string"), "via_confidence": F.lit(None).cast("string")}))
+    frontier, seen, levels = first, first.select(*key), []
     for level in range(1, depth + 1):
-        reached = frontier.select(*key).join(step, ["kind", "id"]).groupBy(*origin, F.col("next_kind").alias("kind2"), F.col("next_id").alias("id2"))
-        new = reached.agg(F.min(F.struct("edge_type", "confidence", "kind", "id")).alias("via")).select(*origin, F.col("kind2").alias("kind"), F.col("id2").alias("id"), F.lit(level).alias("distance"), F.col("via.edge_type").alias("via_edge"), F.col("via.confidence").alias("via_confidence"))
-        for before in levels:  # a level is reached from the one before, so only it and those behind can repeat
-            new = new.join(before.select(*key), key, "left_anti")
-        frontier = cut(new)
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
+        reached = step.join(small(frontier.select(*key), n), ["kind", "id"]).groupBy(*origin, F.col("next_kind").alias("kind2"), F.col("next_id").alias("id2"))
+        new = reached.agg(F.min(F.struct("edge_type", "confidence", "kind", "id")).alias("via")).select(*origin, F.col("kind2").alias("kind"), F.col("id2").alias("id"), F.lit(level).alias("distance"), F.col("via.edge_type").alias("via_edge"), F.col("via.confidence").alias("via_confidence"))
+        frontier = cut(new.join(seen, key, "left_anti"))
+        seen = seen.unionByName(frontier.select(*key))
         levels.append(frontier)
-    out = levels[1] if len(levels) > 1 else seen.limit(0)
-    for more in levels[2:]:
+    out = first.limit(0)
+    for more in levels:
         out = out.unionByName(more)
     return out
 
 
+def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """df, marked for broadcast if its counted rows are under FRONTIER_BYTES."""
+    return F.broadcast(df) if rows * row_bytes <= FRONTIER_BYTES else df
+
+
+def impact_response(target: str, edges: DataFrame, files: DataFrame, symbols: DataFrame, depth: int = 2, direction: str = "up") -> dict[str, DataFrame]:
+    """nodes and files of impact(), and the coverage (one row) of the target's and the affected files."""
+    found, affected = impact(target, edges, files, symbols, depth, direction)
+    own = seeds(target, files, symbols).join(nodes(files, symbols), ["kind", "id"]).select("path")
+    return {"nodes": found, "files": affected, "coverage": coverage(own.unionByName(affected.select("path")), files)}
+
+
 def impact(target: str, edges: DataFrame, files: DataFrame, symbols: DataFrame, depth: int = 2, direction: str = "up") -> tuple[DataFrame, DataFrame]:
     """(nodes, files) affected by a change of the target: nodes in order of distance, files by their least distance."""
     found = walk(edges, seeds(target, files, symbols), depth, direction).join(nodes(files, symbols), ["kind", "id"])
@@ -172,40 +196,67 @@ def impact(target: str, edges: DataFrame, files: DataFrame, symbols: DataFrame,
     return ordered, found.groupBy("path").agg(F.min("distance").alias("distance")).orderBy("distance", "path")
 
 
-def diff_impact(changed: DataFrame, edges: DataFrame, files: DataFrame, symbols: DataFrame, max_files: int = 200, direction: str = "up", depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(affected files, changed paths that aren't indexed) of a set of changed paths (path), as one walk with an origin."""
-    if max_files < 1:
-        raise ValueError("max_files must be 1 at least")
-    paths = changed.select("path").distinct().orderBy("path").limit(max_files)
-    known = paths.join(files.select("file_id", "path"), "path")
-    start = known.select(F.col("path").alias("origin"), F.lit("file").alias("kind"), F.col("file_id").alias("id")).unionByName(known.join(symbols.select("symbol_id", "file_id"), "file_id").select(F.col("path").alias("origin"), F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id")))
-    hit = walk(edges, start, depth, direction, ["origin"]).join(nodes(files, symbols).select("kind", "id", "path"), ["kind", "id"]).join(paths.withColumnRenamed("path", "own"), F.col("path") == F.col("own"), "left_anti")
-    affected = hit.groupBy("path").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set("origin")).alias("changed_by"), F.min(F.struct("distance", "via_edge", "via_confidence")).alias("via"))
-    return affected.select("path", "distance", "changed_by", "via.via_edge", "via.via_confidence").orderBy("distance", "path"), paths.join(files, "path", "left_anti").orderBy("path")
+class DiffImpact(NamedTuple):
+    """affected (path, distance, changed_by, via_edge, via_confidence), unresolved (path) and one row of totals:
+    changed_files_total, changed_files, truncated, and the partial, languages and reason of coverage."""
 
+    affected: DataFrame
+    unresolved: DataFrame
+    summary: DataFrame
 
-def shortest_path(edges: DataFrame, src: DataFrame, dst: DataFrame, max_hops: int = 50) -> DataFrame:
-    """One row (hops, kind, id, path of steps) of a shortest undirected path from a src to a dst node, or none.
 
-    Levels grow from all src nodes together and stop at the first that meets a dst; among shortest
-    paths the least array of steps is taken.
+def diff_impact(changed: DataFrame, edges: DataFrame, files: DataFrame, symbols: DataFrame, max_files: int | None = 200, direction: str = "up", depth: int = 2) -> DiffImpact:
+    """What a set of changed paths (path) affects, as one walk with an origin.
+
+    A changed path's own file and symbols are no result of its walk, but other changed paths may affect it. Of more than
+    max_files paths the first are walked and the summary says truncated; None walks all.
     """
-    step = arcs(edges, "both")
-    none = F.array().cast("array<struct<next_kind:string,next_id:long,edge_type:string,confidence:string,way:string>>")
-    frontier = cut(src.select("kind", "id").distinct().withColumns({"src_kind": F.col("kind"), "src_id": F.col("id"), "steps": none}))
-    seen = frontier.select("kind", "id")
-    for hops in range(max_hops + 1):
-        met = frontier.join(dst.select("kind", "id").distinct(), ["kind", "id"])
-        if not met.isEmpty():
-            return met.orderBy("steps", "src_kind", "src_id").limit(1).withColumn("hops", F.lit(hops)).select("src_kind", "src_id", "hops", "steps")
-        further = frontier.join(step, ["kind", "id"]).withColumn("steps", F.concat("steps", F.array(F.struct("next_kind", "next_id", "edge_type", "confidence", "way"))))
-        best = further.groupBy(F.col("next_kind").alias("k"), F.col("next_id").alias("i")).agg(F.min(F.struct("steps", "src_kind", "src_id")).alias("m"))
-        new = best.select(F.col("k").alias("kind"), F.col("i").alias("id"), "m.src_kind", "m.src_id", "m.steps").join(seen, ["kind", "id"], "left_anti")
-        frontier = cut(new)
-        if frontier.isEmpty():
+    if max_files is not None and max_files < 1:
+        raise ValueError("max_files must be 1 at least")
+    every = changed.select("path").distinct()
+    paths = every if max_files is None else every.orderBy("path").limit(max_files)
+    known = paths.join(files.select("file_id", "path"), "path")
+    start = known.select(F.col("path").alias("origin"), F.lit("file").alias("kind"), F.col("file_id").alias("id")).unionByName(known.join(symbols.select("symbol_id", "file_id"), "file_id").select(F.col("path").alias("origin"), F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id")))
+    hit = walk(edges, start, depth, direction, ["origin"]).join(nodes(files, symbols).select("kind", "id", "path"), ["kind", "id"])
+    grouped = hit.groupBy("path").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set("origin")).alias("changed_by"), F.min(F.struct("distance", "origin", "via_edge", "via_confidence")).alias("via"))
+    affected = grouped.select("path", "distance", "changed_by", "via.via_edge", "via.via_confidence").orderBy("distance", "path")
+    counted = every.agg(F.count("*").alias("changed_files_total"))
+    walked = F.col("changed_files_total") if max_files is None else F.least(F.col("changed_files_total"), F.lit(max_files))
+    summary = counted.withColumn("changed_files", walked).withColumn("truncated", F.col("changed_files") < F.col("changed_files_total"))
+    covered = coverage(known.select("path").unionByName(hit.select("path")), files)
+    return DiffImpact(affected, paths.join(files, "path", "left_anti").orderBy("path"), summary.crossJoin(F.broadcast(covered)))  # one row each
+
+
+def shortest_path(edges: DataFrame, src: DataFrame, dst: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """One row (src_kind, src_id, hops, steps) of a shortest undirected path from a src to a dst node, or none.
+
+    Levels grow from all src nodes together and stop at the first that meets a dst. A node keeps its
+    predecessor alone (of several the least by edge type, confidence, way and node), and the path is read
+    backwards from the least dst, one key a level. Without max_hops it ends when no node is new.
+    """
+    spark, step = edges.sparkSession, arcs(edges, "both")
+    back = "prev_kind string, prev_id long, edge_type string, confidence string, way string"
+    frontier = cut(src.select("kind", "id").distinct().withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in back.split(", ")}))
+    seen, levels, goal = frontier.select("kind", "id"), [frontier], dst.select("kind", "id").distinct()
+    shape = "src_kind string, src_id long, hops int, steps array<struct<next_kind:string,next_id:long,edge_type:string,confidence:string,way:string>>"
+    while True:
+        met = frontier.join(goal, ["kind", "id"]).orderBy("kind", "id").first()
+        n = 0 if met else frontier.count()
+        if met or not n or len(levels) - 1 == max_hops:
             break
+        further = step.join(small(frontier.select("kind", "id"), n), ["kind", "id"])
+        best = further.groupBy(F.col("next_kind").alias("k"), F.col("next_id").alias("i")).agg(F.min(F.struct("edge_type", "confidence", "way", "kind", "id")).alias("m"))
+        new = best.select(F.col("k").alias("kind"), F.col("i").alias("id"), F.col("m.kind").alias("prev_kind"), F.col("m.id").alias("prev_id"), "m.edge_type", "m.confidence", "m.way")
+        frontier = cut(new.join(seen, ["kind", "id"], "left_anti"))
         seen = seen.unionByName(frontier.select("kind", "id"))
-    return frontier.limit(0).withColumn("hops", F.lit(0)).select("src_kind", "src_id", "hops", "steps")
+        levels.append(frontier)
+    if not met:
+        return spark.createDataFrame([], shape)
+    at, steps = met, []
+    for level in reversed(levels[:-1]):
+        steps.append((at["kind"], at["id"], at["edge_type"], at["confidence"], at["way"]))
+        at = level.where((F.col("kind") == at["prev_kind"]) & (F.col("id") == at["prev_id"])).first()
+    return spark.createDataFrame([(at["kind"], at["id"], len(steps), steps[::-1])], shape)
 
 
 def references(name: str, edges: DataFrame, files: DataFrame, symbols: DataFrame, kind: str = "all") -> DataFrame:
@@ -231,9 +282,11 @@ def node_card(name: str, edges: DataFrame, files: DataFrame, symbols: DataFrame,
 
 
 def coverage(paths: DataFrame, files: DataFrame) -> DataFrame:
-    """One row (partial, languages): which languages among the paths have only part of their graph."""
+    """One row (partial, languages, reason): which languages among the paths have only part of their graph."""
     langs = paths.select("path").distinct().join(files.select("path", "lang"), "path").where(F.col("lang").isin(*P.CODE) & (P.graph_tier(F.col("lang")) == "partial"))
-    return langs.agg(F.array_sort(F.collect_set("lang")).alias("languages")).select((F.size("languages") > 0).alias("partial"), "languages")
+    found = langs.agg(F.array_sort(F.collect_set("lang")).alias("languages"))  # a fixed set of languages
+    why = F.concat(F.lit("Import and inheritance edges aren't extracted for "), F.array_join("languages", ", "), F.lit(": results may lack some."))
+    return found.select((F.size("languages") > 0).alias("partial"), "languages", F.when(F.size("languages") > 0, why).alias("reason"))
 
 
 def empty_edges(spark: SparkSession) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Dense numbering of rows in a total order, without a window over one partition."""
+"""Dense numbering of rows in a total order, without a window."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rootweave.storage import cut
@@ -11,12 +13,13 @@ from rootweave.storage import cut
 def numbered(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
     """df with the row's place (from 0) in the order.
 
-    Rows are range-partitioned and sorted by the order; each counts within its partition, and the partitions' sizes (one
-    row each) give the offsets. The sorted rows are checkpointed, so both passes see the same partitions.
+    Rows are range-partitioned and sorted by the order, and a row's place within its partition is read from its row id.
+    The partitions' sizes (one row each) give the offsets. The sorted rows are checkpointed, so both see the same partitions.
     """
-    held = cut(df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
-    within = Window.partitionBy("__part").orderBy("__at")
-    sizes = held.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = held.withColumn("__own", F.row_number().over(within) - 1).join(F.broadcast(before.select("__part", "__before")), "__part")  # one row a partition
-    return own.withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__part", "__at", "__before", "__own")
+    held = cut(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = sorted(map(tuple, held.groupBy(part.alias("part")).agg(F.count("*").alias("size")).collect()))  # one row a partition
+    before = list(zip([p for p, _ in sizes], accumulate([0, *(n for _, n in sizes)])))
+    offsets = df.sparkSession.createDataFrame(before, "__part long, __before long")
+    own = held.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # one row a partition
+    return own.withColumn(name, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__part", "__at", "__before")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rootweave.functions import paths as P
+
 CONTAINERS = {"class", "struct", "interface", "trait", "impl", "enum", "record"}
 BRACES = set("c cpp csharp go java javascript kotlin php rust typescript".split())
 _ID = r"[A-Za-z_$][\w$]*"
@@ -134,15 +136,43 @@ def _block_end(rows: list[str], at: int, lang: str) -> int:
     return at if not depth else len(rows) - 1
 
 
+#: A definition of a language without patterns of its own: modifiers, a keyword and a name.
+GENERIC = [(rf"^\s*{_MODS}(?:[a-z]+\s+)?(class|struct|enum|interface|trait|module|namespace|protocol|object|function|func|fun|fn|def|sub|proc|procedure|method)\s+(?:[\w.]+[.:])?({_ID})", 2)]
+
+
+def generic_kind(word: str) -> str:
+    """The kind that a definition's keyword (or a syntax node's type) names; a function where it names none."""
+    low = word.lower()
+    return next((k for k in ("class", "struct", "enum", "interface", "trait", "module", "namespace") if k in low), "function")
+
+
+def register(lang: str, declarations: list[tuple[str, str]], imports: str | None = None, extends: str | None = None, implements: str | None = None, braces: bool = False) -> None:
+    """Adds a language, or replaces its patterns: declarations as (pattern with the name as its group, kind)."""
+    for table, pattern in ((IMPORTS, imports), (EXTENDS, extends), (IMPLEMENTS, implements)):
+        if pattern:
+            table[lang] = pattern
+    DECLARATIONS[lang] = list(declarations)
+    if braces:
+        BRACES.add(lang)
+
+
+def _declared(row: str, lang: str) -> tuple[str, str] | None:
+    """(name, kind) of what a row declares."""
+    if lang in DECLARATIONS:
+        found = ((m.group(1), kind) for pattern, kind in DECLARATIONS[lang] if (m := re.match(pattern, row)))
+    else:
+        found = ((m.group(name), generic_kind(m.group(1))) for pattern, name in GENERIC if (m := re.match(pattern, row)))
+    return next(((n, k) for n, k in found if n not in _NOT_NAMES), None)
+
+
 def pattern_symbols(text: str, lang: str) -> Found:
+    """Symbols and edges by a language's patterns; a language without any gets generic definitions and no import or inheritance edges."""
     rows = text.splitlines()
     found: list[dict] = []
     for at, row in enumerate(rows):
-        for pattern, kind in DECLARATIONS[lang]:
-            m = re.match(pattern, row)
-            if m and m.group(1) not in _NOT_NAMES:
-                found.append({"name": m.group(1), "kind": kind, "line_start": at + 1, "line_end": _block_end(rows, at, lang) + 1, "signature": _signature(row), "docstring": None})
-                break
+        if hit := _declared(row, lang):
+            name, kind = hit
+            found.append({"name": name, "kind": kind, "line_start": at + 1, "line_end": _block_end(rows, at, lang) + 1, "signature": _signature(row), "docstring": None})
     open_: list[int] = []
     for k, s in enumerate(found):
         while open_ and found[open_[-1]]["line_end"] < s["line_end"]:
@@ -260,12 +290,12 @@ def parse_text(path: str, lang: str | None, text: str) -> dict:
     try:
         if lang == "python":
             symbols, edges = python_symbols(text)
-        elif lang in DECLARATIONS:
+        elif lang in DECLARATIONS or (lang in P.CODE):
             symbols, edges = pattern_symbols(text, lang)
     except (SyntaxError, ValueError, RecursionError):
         failed = True
     chunks = code_chunks(text, symbols) + doc_chunks(text, path, lang)
-    return {"symbols": symbols, "edges": edges, "chunks": chunks, "parse_failed": failed, "zero_symbols": lang in ("python", *DECLARATIONS) and not symbols and not failed}
+    return {"symbols": symbols, "edges": edges, "chunks": chunks, "parse_failed": failed, "zero_symbols": lang in ("python", *DECLARATIONS, *P.CODE) and not symbols and not failed}
 
 
 _SYMBOL = "struct<name:string,qualified:string,kind:string,line_start:int,line_end:int,signature:string,docstring:string,parent:int>"

@@ -11,7 +11,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rootweave.operators import communities
 from rootweave.operators.order import numbered
+from rootweave.storage import cut
 
 EDGE_LIMIT = 500
 _CAP = 20
@@ -93,6 +95,15 @@ def shown_edges(edges: DataFrame, nodes: DataFrame, impacted_paths: DataFrame |
     return out.orderBy("edge_type", "src_path", "line", "source", "target").limit(limit)
 
 
+def shown_graph(shown: DataFrame) -> DataFrame:
+    """Nodes (key, kind, name, path, community, degree) of shown_edges(): module and degree are those of the shown graph, -1 and 0 without neighbours."""
+    ends = [shown.select(F.col(k).alias("key"), F.col(f"{p}_kind").alias("kind"), F.col(f"{p}_name").alias("name"), F.col(f"{p}_path").alias("path")) for k, p in (("source", "src"), ("target", "dst"))]
+    nodes = ends[0].unionByName(ends[1]).dropDuplicates(["key"])
+    pairs = cut(communities.pair_weights(shown.select(F.col("source").alias("a"), F.col("target").alias("b"))))
+    found = communities.communities(pairs).select(F.col("node").alias("key"), "community").join(communities.weighted_degree(pairs).withColumnRenamed("node", "key"), "key")
+    return nodes.join(found, "key", "left").select("key", "kind", "name", "path", F.coalesce("community", F.lit(-1)).alias("community"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
 def write_lines(lines: list[DataFrame], path: str, head: list[str] | None = None, tail: list[str] | None = None) -> None:
     """Lines in their order as text files of one folder: head, each part, tail."""
     spark = lines[0].sparkSession
@@ -187,3 +198,70 @@ def markdown_architecture(s: dict) -> str:
     out += ["", "**Hubs:**", *(f"- `{g['name']}` ({g['path']}), degree {g['degree']}" for g in s["god_nodes"])]
     out += ["", "**Bridges:**", *(f"- `{x['from']['name']}` – `{x['to']['name']}` ({x['edge_count']})" for x in s["surprising"])]
     return "\n".join([*out, "", "**Questions:**", *(f"- {q}" for q in s["questions"])])
+
+
+_MARKS = {"inferred": "~", "ambiguous": "?"}
+
+
+def _mark(confidence: str | None) -> str:
+    return _MARKS.get(confidence or "", "")
+
+
+def _where(n: dict) -> str:
+    return f"{n['path']}:{n['line_start']}" if n.get("line_start") else n["path"]
+
+
+def _label(n: dict) -> str:
+    return f"`{n['name']}` ({_where(n)})" if n.get("name") else f"`{n['path']}`"
+
+
+def _body(head: str, *parts: list[str]) -> str:
+    return "\n\n".join([head, *("\n".join(p) for p in parts if p)]) + "\n"
+
+
+def markdown_path(payload: dict) -> str:
+    """A path of plans.service: its nodes, with the edge taken between two of them."""
+    head = f"**Path:** `{payload['src']}` to `{payload['dst']}`"
+    if not payload["found"]:
+        return _body(head, [f"_{payload['reason']}_"])
+    chain = [_label(payload["nodes"][0])]
+    for step, node in zip(payload["steps"], payload["nodes"][1:]):
+        arrow = "→" if step["direction"] == "out" else "←"
+        chain += [f"  {arrow} {' '.join(filter(None, (step['edge_type'], _mark(step['confidence']))))}", _label(node)]
+    return _body(f"{head} · {payload['hops']} step(s)", chain)
+
+
+def markdown_describe(payload: dict) -> str:
+    """A symbol's card: what it is, how connected, who calls it and what it uses; at most _CAP of each."""
+    head = f"**Symbol:** `{payload['query']}`"
+    if not payload["found"]:
+        return _body(head, [f"_{payload['reason']}_"])
+    p = payload["primary"]
+    facts = [f"module `{p['module']}`", f"used {p['in_degree']} times, uses {p['out_degree']}", *([f"hub #{p['god_rank']}"] if p.get("god_rank") else [])]
+    defs = ["**Defined:**", *(f"- {d['kind']} `{d.get('qualified') or d['name']}` in `{_where(d)}`" + (f": `{d['signature']}`" if d.get("signature") else "") for d in payload["definitions"])]
+    listed = lambda title, rows, show: [f"**{title} ({len(rows)}):**", *(f"- {show(r)} {_mark(r['confidence'])}".rstrip() for r in rows[:_CAP])] if rows else []
+    callers = listed("Called from", payload["callers"], lambda c: f"`{c['path']}:{c['line']}`")
+    return _body(" · ".join([head, *facts]), defs, callers, listed("Uses", payload["callees"], lambda c: f"{_label(c)} {c['edge_type']}"))
+
+
+def markdown_impact(payload: dict) -> str:
+    """What a change of a target reaches, nearest first."""
+    head = f"**Impact of** `{payload['target']}` · {payload['direction']}, {payload['depth']} step(s) · {len(payload['files'])} file(s)"
+    rows = [[n["distance"], f"{n['via_edge'] or ''} {_mark(n['via_confidence'])}".strip(), n["kind"], f"`{n['name']}`", f"`{_where(n)}`"] for n in payload["nodes"]]
+    note = [f"> {payload['coverage']['reason']}"] if payload["coverage"]["partial"] else []
+    return _body(head, markdown_table(["distance", "by", "kind", "node", "place"], rows) if rows else ["_Nothing depends on it, or it isn't known._"], note)
+
+
+def markdown_diff(payload: dict) -> str:
+    """What the changes since a commit reach."""
+    head = f"**Changes since** `{payload['base_ref']}` · {payload['direction']}, {payload['depth']} step(s)"
+    if not payload["changed_files"]:
+        return _body(head, ["_No tracked change._"])
+    changed = [f"**Changed ({payload['changed_files_total']}):**", *(f"- `{p}`" for p in payload["changed_files"])]
+    if payload["truncated"]:
+        changed.append(f"- _only the first {len(payload['changed_files'])} were followed_")
+    rows = [[a["distance"], f"`{a['path']}`", ", ".join(f"`{p}`" for p in a["changed_by"]), a["via_edge"], a["via_confidence"]] for a in payload["affected_files"]]
+    affected = [f"**Affected ({len(rows)}):**", *markdown_table(["distance", "path", "by change of", "edge", "confidence"], rows)] if rows else ["_No affected file is known._"]
+    unknown = ["**Not in the index:**", *(f"- `{p}`" for p in payload["unresolved_files"])] if payload["unresolved_files"] else []
+    note = [f"> {payload['coverage']['reason']}"] if payload["coverage"]["partial"] else []
+    return _body(head, changed, affected, unknown, note)

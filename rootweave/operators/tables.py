@@ -5,11 +5,10 @@ Every operator returns the next version of a table; a writer puts it in a new ve
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def upsert(base: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """base with rows of the same key replaced by those of new."""
     return base.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)
@@ -89,6 +88,26 @@ def embed(chunks: DataFrame, vectors: DataFrame, cache: DataFrame, backend: Colu
     return kept.unionByName(filled), grown
 
 
+def clear(table: DataFrame) -> DataFrame:
+    """A table of the same columns without rows."""
+    return table.limit(0)
+
+
+def upsert_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
+    """vectors (chunk_id, embedding) where those of new replace a chunk's."""
+    return upsert(vectors, new.select(*vectors.columns), "chunk_id")
+
+
+def append_chunks(chunks: DataFrame, more: DataFrame) -> DataFrame:
+    """chunks and further ones (of documents); nothing is deleted."""
+    return chunks.unionByName(more)
+
+
+def vector_meta(spark: SparkSession, model: str, dim: int, built_at: str) -> DataFrame:
+    """The one row that says what the vectors are; it replaces the row before."""
+    return spark.createDataFrame([(model, dim, built_at)], "model string, dim int, built_at string")
+
+
 def language_coverage(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(lang, files, symbols) of parsed files, most files first; languages without symbols count 0."""
     joined = files.where("parser = 'treesitter'").join(symbols.select("file_id", "symbol_id"), "file_id", "left")

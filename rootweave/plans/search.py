@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,8 @@ INTENTS: dict[str, tuple[str, tuple[float, ...], int]] = {
 }
 KEYWORD = ((0.6, 0.5, 1.0, 0.7), 1500)
 KINDS = {k + s: k for k in ("method", "function", "interface", "enum", "type") for s in ("", "s")} | {"class": "class", "classes": "class"}
-#: Candidates that each retriever gives for a row of the page.
-OVERFETCH = 4
+#: Candidates that each retriever gives for a row of the page: those beyond the page's end only tell whether there is a next page.
+LOOKAHEAD = 4
 #: What a result shows of a ranked row as it is.
 SHOWN = ("path", "line_start", "line_end", "reason", "snippet", "token_est", "elided_lines", "skeletonized")
 SHAPES = ("architecture", "how_it_works", "data_flow")
@@ -67,7 +68,7 @@ def explain_query(query: str) -> str:
 
 
 def candidates(index: dict[str, DataFrame], query: str, p: Plan, limit: int, mode: str = "hybrid", vector: list[float] | None = None) -> DataFrame | None:
-    """The union of the retrievers' lists. index has files, symbols (with degrees), chunks, edges and, if any, vectors."""
+    """The union of the retrievers' lists. index has files, symbols (with degrees), chunks, edges and, if any, vectors, and postings with corpus."""
     spark, files = index["files"].sparkSession, index["files"]
     shape = spark.createDataFrame([], fuse.CANDIDATE)
     lists: list[DataFrame] = []
@@ -79,8 +80,10 @@ def candidates(index: dict[str, DataFrame], query: str, p: Plan, limit: int, mod
     if mode in ("hybrid", "fts") and (groups := T.match_groups(query)):
         # An underscore separates full-text tokens, so an identifier is a phrase of its parts.
         groups = [[" ".join(x for x in v.split("_") if x) for v in g] for g in groups]
-        text = F.concat_ws(" ", "content", "symbol_names")
-        scored = fulltext.bm25(fulltext.tokenised(index["chunks"], "chunk_id", text), groups)
+        if "postings" in index:
+            scored = fulltext.bm25_indexed(fulltext.Index(index["postings"], index["corpus"]), groups)
+        else:
+            scored = fulltext.bm25(fulltext.tokenised(index["chunks"], "chunk_id", F.concat_ws(" ", "content", "symbol_names")), groups)
         best = fulltext.top(scored, limit, "doc").withColumnRenamed("doc", "chunk_id")
         hits = index["chunks"].select("chunk_id", "file_id", "line_start", "line_end", "kind", "content", "token_est", "symbol_names").join(F.broadcast(best), "chunk_id").join(flags, "file_id")  # limit rows
         lists.append(hits.select("path", "line_start", "line_end", F.lit("fts").alias("source"), "score", "kind", F.expr("nullif(symbol_names, '')").alias("symbol"), "content", "token_est", F.lit(0).cast("long").alias("in_degree"), F.lit(0).cast("long").alias("out_degree"), F.lit(0).cast("long").alias("ref_count"), "is_generated", F.lit(False).alias("exact_symbol")))
@@ -105,42 +108,68 @@ def ranked(found: DataFrame, query: str, p: Plan, mode: str = "hybrid") -> DataF
 
 
 def fallback(query: str) -> list[str]:
-    terms = T.salient_terms(query) or [t.lower() for t in re.findall(T.WORD, query)]
+    """Searches to try by hand: the longest word, and the first three in a row."""
+    terms = re.findall(T.WORD, query)
     if not terms:
         return []
-    patterns = max(terms, key=len), ".*".join(terms[:3])
-    return [f"rg -n '{x}'" for x in patterns]
-
-
-def search(index: dict[str, DataFrame], query: str, limit: int = 10, offset: int = 0, budget: int = 0, mode: str = "hybrid", vector: list[float] | None = None, skeleton: bool = False, min_reduction: float = 0.25, compat_paging: bool = False) -> dict:
-    """The payload of a search. Retrieval to ranking is one lazy plan; only the page's rows reach the driver."""
+    patterns = [max(terms, key=len), *([".*".join(terms[:3])] if len(terms) > 1 else [])]
+    return [f'rg -n "{x}"' for x in patterns]
+
+
+def search(
+    index: dict[str, DataFrame],
+    query: str,
+    limit: int = 10,
+    offset: int = 0,
+    budget: int = 0,
+    mode: str = "hybrid",
+    vector: list[float] | None = None,
+    skeleton: bool = True,
+    min_reduction: float = 0.25,
+    compat_paging: bool = False,
+    fallbacks: bool = True,
+    state: dict | None = None,
+    compactor: Callable[..., Column] = compact,
+) -> dict:
+    """The payload of a search. Retrieval to ranking is one lazy plan; only rows up to the page's end reach the driver.
+
+    state is the index block (exists, stale, files_changed_since_build, built_at, head_commit). The budget, scaled for later
+    pages, is spent from the first rank on, and the page is cut from that. Of each retriever's list as many
+    rows as up to the page's end take part; LOOKAHEAD times as many tell whether there is a next page; compat_paging doesn't
+    look for it and never reports more. compactor makes a snippet's skeleton, as snippets.compact does.
+    """
     if mode not in ("hybrid", "fts", "symbol", "vector"):
         raise ValueError(f"unknown mode {mode}")
     p = plan(query)
     fetch = limit + offset
-    # Candidates of one place merge, so several times a page of them are fetched to tell whether there is a next one.
-    found = candidates(index, query, p, fetch if compat_paging else OVERFETCH * (fetch + 1), mode, vector)
-    payload: dict = {"mode": mode, "intent": p.intent, "query": query, "results": [], "recommended_reads": [], "confidence": "low", "fallback_suggestions": {}}
+    found = candidates(index, query, p, fetch if compat_paging else LOOKAHEAD * (fetch + 1), mode, vector)
+    nothing = {"exists": True, "stale": False, "files_changed_since_build": 0, "built_at": None, "head_commit": None}
+    payload: dict = {"query": query, "intent": p.intent, "mode": mode, "index": nothing | (state or {}), "confidence": "low", "results": [], "recommended_reads": [], "fallback_suggestions": {}}
+    more = False
     if found is not None:
-        order = ranked(found, query, p, mode).where(F.col("pos") <= fetch).cache()
+        placed = fuse.ranks(found).cache()
         try:
-            payload["confidence"] = fuse.confidence(order.where(F.col("pos") < fetch)).first()["confidence"]
-            rows, info = fuse.page(order, limit, offset, compat_paging)
+            order = ranked(placed.where(F.col("rank0") < fetch).drop("rank0"), query, p, mode).where(F.col("pos") < fetch).cache()
+            if not compat_paging:
+                weighed = placed.where(fuse.weight_of(p.weights if mode == "hybrid" else {mode: 1.0}, F.col("source")) > 0)
+                more = weighed.select("path", fuse.bucket(F.col("line_start"))).distinct().count() > fetch
+            payload["confidence"] = fuse.confidence(order).first()["confidence"]
             spend = budget if budget > 0 else p.budget
-            page = rows.withColumns({"skeletonized": F.lit(False), "elided_lines": F.lit(0)})
+            shown = order.withColumns({"skeletonized": F.lit(False), "elided_lines": F.lit(0)})
             if skeleton:
-                c = compact(F.col("content"), F.col("path"), F.col("line_start"), 0 if p.intent in SHAPES else 2, query, min_reduction)
-                page = rows.withColumn("c", c).withColumns({"skeletonized": F.col("c.skeletonized"), "elided_lines": F.col("c.elided_lines"), "content": F.when(F.col("c.skeletonized"), F.col("c.text")).otherwise(F.col("content")), "token_est": F.when(F.col("c.skeletonized"), F.col("c.token_est")).otherwise(F.col("token_est"))}).drop("c")
-            for r in fuse.apply_budget(page, spend * fetch // limit if offset else spend).orderBy("rank").collect():
-                payload["results"].append({"rank": offset + r["rank"], "symbols": [r["symbol"]] if r["symbol"] else [], "score": round(r["score"], 4), **{k: r[k] for k in SHOWN}})
+                c = compactor(F.col("content"), F.col("path"), F.col("line_start"), 0 if p.intent in SHAPES else 2, query, min_reduction)
+                shown = order.withColumn("c", c).withColumns({"skeletonized": F.col("c.skeletonized"), "elided_lines": F.col("c.elided_lines"), "content": F.when(F.col("c.skeletonized"), F.col("c.text")).otherwise(F.col("content")), "token_est": F.when(F.col("c.skeletonized"), F.col("c.token_est")).otherwise(F.col("token_est"))}).drop("c")
+            for r in fuse.apply_budget(shown, spend * fetch // max(limit, 1) if offset else spend).where(F.col("rank") > offset).orderBy("rank").collect():
+                payload["results"].append({"rank": r["rank"], "symbols": [r["symbol"]] if r["symbol"] else [], "score": round(r["score"], 4), **{k: r[k] for k in SHOWN}})
                 if r["recommended"]:
                     payload["recommended_reads"].append({k: r[k] for k in ("path", "line_start", "line_end")})
-            if offset or limit:
-                payload["pagination"] = info.first().asDict()
-        finally:
             order.unpersist()
-    if payload["confidence"] == "low":
-        payload["fallback_suggestions"] = {"ripgrep": fallback(query)}
+        finally:
+            placed.unpersist()
+    if payload["confidence"] == "low" and fallbacks:
+        payload["fallback_suggestions"] = {"ripgrep": tries} if (tries := fallback(query)) else {}
+    if offset or more:
+        payload["pagination"] = {"offset": offset, "limit": limit, "has_more": more, "next_offset": fetch if more else None}
     return payload
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from rootweave.functions import paths as P
 from rootweave.functions import text as T
 from rootweave.operators import fulltext, fuse, metrics, parse, retrieve
 from rootweave.plans import search, snippets
+from rootweave.storage import once, shared_dir
 from rootweave.plans.views import URL_PATH_SQL, chunks, symbols, table, url_path, with_views
 from rootweave.streaming import watch
 
@@ -43,16 +46,47 @@ def _bm25_sql(where: str, tail: str) -> str:
         SELECT doc_id, round(score, 6) AS score FROM r WHERE {where} {tail}"""
 
 
+def index_folder(spark: SparkSession, d: str) -> str:
+    """The stored full-text index of the documents: built once for a session and tables, then read by every query."""
+
+    def build() -> str:
+        folder = f"{shared_dir(spark).rstrip('/')}/fulltext-{uuid.uuid4().hex}"
+        fulltext.write_index(_docs(spark, d), folder)
+        return folder
+
+    return once(spark, f"full text of {d}", build)
+
+
+@query(f"WITH d AS ({_TOKENS}), e AS (SELECT doc_id, unnest(w) AS term FROM d) SELECT (SELECT count(*) FROM d) AS n_docs, round((SELECT avg(len(w)) FROM d), 6) AS avg_len, count(DISTINCT term) AS terms, count(DISTINCT (doc_id, term)) AS entries, count(*) AS tokens FROM e")
+def fulltext_index(spark: SparkSession, d: str) -> DataFrame:
+    """Builds the index, if this session hasn't, and says what it holds."""
+    i = fulltext.open_index(spark, index_folder(spark, d))
+    held = i.postings.agg(F.countDistinct("term").alias("terms"), F.count("*").alias("entries"), F.sum("tf").alias("tokens"))
+    return i.corpus.select("n_docs", F.round("avg_len", 6).alias("avg_len")).crossJoin(F.broadcast(held))  # one row each
+
+
 @query(_bm25_sql("k = 2", "ORDER BY r.score DESC, doc_id LIMIT 10"))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = fulltext.bm25(_docs(spark, d), [[t] for t in TERMS])
-    return fulltext.top(scored, 10, "doc").select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    found = fulltext.bm25_indexed(fulltext.open_index(spark, index_folder(spark, d)), [[t] for t in TERMS])
+    return fulltext.top(found, 10, "doc").select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql("k = 2", "ORDER BY r.score DESC, doc_id LIMIT 10"))
+def bm25_scan_topk(spark: SparkSession, d: str) -> DataFrame:
+    return fulltext.top(fulltext.bm25(_docs(spark, d), [[t] for t in TERMS]), 10, "doc").select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql("true", ""))
 def bm25_indexed_any(spark: SparkSession, d: str) -> DataFrame:
-    t = _docs(spark, d)
-    return fulltext.bm25_indexed(fulltext.postings(t), fulltext.doc_stats(t), TERMS, all_terms=False).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    found = fulltext.bm25_indexed(fulltext.open_index(spark, index_folder(spark, d)), [[t] for t in TERMS], all_groups=False)
+    return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH d AS ({_TOKENS}), e AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d)
+           SELECT a.doc_id, count(*) AS n FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.t = 'of' AND b.t = 'the' GROUP BY a.doc_id""")
+def phrase_indexed(spark: SparkSession, d: str) -> DataFrame:
+    found = fulltext.indexed_counts(fulltext.open_index(spark, index_folder(spark, d)), ["of the"])
+    return found.where("f_0 > 0").select(F.col("doc").alias("doc_id"), F.col("f_0").alias("n"))
 
 
 @query(f"WITH d AS ({_TOKENS}) SELECT doc_id, len(w) AS len FROM d WHERE (list_contains(w, 'thble') OR list_contains(w, 'attion')) AND list_contains(w, 'thing')")
@@ -238,15 +272,15 @@ _WEIGHTS = {"path": 0.5, "symbol": 0.6, "fts": 1.0}
 
 @query(f"WITH {_LISTS} SELECT path, bucket, line_start, round(score, 6) AS score, agreeing_sources FROM fused")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    return fuse.fuse(_lists(spark, d), _WEIGHTS).select("path", fuse.bucket(F.col("line_start")).alias("bucket"), "line_start", F.round("score", 6).alias("score"), "agreeing_sources")
+    return fuse.fuse(_lists(spark, d), _WEIGHTS, whole=True).select("path", fuse.bucket(F.col("line_start")).alias("bucket"), "line_start", F.round("score", 6).alias("score"), "agreeing_sources")
 
 
 _BONUS = "fused.score + least(0.08, ln(1 + line_start) * 0.03) + CASE WHEN contains(path, 'src1') THEN 0.05 ELSE 0 END"
 
 
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
-    fused = fuse.fuse(_lists(spark, d).withColumn("in_degree", F.col("line_start").cast("long")), _WEIGHTS)
-    return fuse.rerank(fused, ["src1"])
+    fused = fuse.fuse(_lists(spark, d).withColumn("in_degree", F.col("line_start").cast("long")), _WEIGHTS, whole=True)
+    return fuse.rerank(fused, ["src1"], whole=True)
 
 
 @query(f"WITH {_LISTS} SELECT path, line_start, round({_BONUS}, 6) AS score, CASE WHEN contains(path, 'src1') THEN 'in ./ · ' ELSE '' END || line_start || ' callers' AS reason FROM fused")
@@ -257,7 +291,7 @@ def rerank_bonus(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_LISTS}, r AS (SELECT path, line_start, {_BONUS} AS score FROM fused), n AS (SELECT *, row_number() OVER (ORDER BY score DESC, path, line_start) AS p FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY p) > 3 AS late FROM n)
           SELECT path, line_start, row_number() OVER (ORDER BY late, p) - 1 AS pos FROM t""")
 def diversify_per_file(spark: SparkSession, d: str) -> DataFrame:
-    return fuse.diversify(_reranked(spark, d)).select("path", "line_start", F.col("pos").cast("long").alias("pos"))
+    return fuse.diversify(_reranked(spark, d), whole=True).select("path", "line_start", F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"""WITH {_LISTS}, r AS (SELECT {_BONUS} AS score, agreeing_sources AS a, path, line_start FROM fused), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, path, line_start) AS p FROM r),
@@ -274,9 +308,7 @@ def confidence(spark: SparkSession, d: str) -> DataFrame:
           SELECT source, doc_id, fits FROM w""")
 def budget_greedy(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").select("source", "doc_id", T.token_estimate(F.col("text")).cast("long").alias("cost"))
-    rows = own.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "cost"))).alias("rows"))
-    fits = rows.select("source", F.arrays_zip(F.col("rows.doc_id").alias("doc_id"), fuse.greedy_budget(F.col("rows.cost"), 1500).alias("fits")).alias("z"))
-    return fits.select("source", F.explode("z").alias("z")).select("source", "z.doc_id", "z.fits")
+    return fuse.within_budget(own, "source", ["doc_id"], "cost", 1500).select("source", "doc_id", "fits")
 
 
 @query(f"WITH {_LISTS}, r AS (SELECT path, line_start, score, row_number() OVER (ORDER BY {_BONUS} DESC, path, line_start) - 1 AS pos FROM fused) SELECT path, line_start, pos, (SELECT count(*) FROM r) > 30 AS has_more FROM r WHERE pos >= 20 AND pos < 30")

@@ -13,7 +13,8 @@ from pyspark.sql.types import BinaryType, StringType
 from rootweave.functions import paths as P
 
 DENIED = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".venv", "venv", "build", "dist", "target", ".next")
-IGNORE_FILES = tuple(f".{x}ignore" for x in ("git", "cursor", "claude", "codeindex"))
+#: Ignore files that are read where a caller names no others.
+IGNORE_FILES = (".gitignore", ".cursorignore", ".claudeignore", ".codeindexignore")
 MAX_BYTES = 1_000_000
 
 
@@ -95,14 +96,16 @@ def _file_system(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/"))
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = MAX_BYTES, with_content: bool = True) -> DataFrame:
+def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, max_bytes: int = MAX_BYTES, with_content: bool = True, only: DataFrame | None = None) -> DataFrame:
     """Indexable files under root: file_id, path, lang, size_bytes, mtime_ns, parser, is_generated, sha256 and content.
 
-    Path, size and language gates come before any file is opened; without content the scan is metadata only.
+    Path, size and language gates come before any file is opened; without content the scan is metadata only. only (path)
+    limits the files that are opened.
     """
     files = spark.createDataFrame(listing(root), "path string, length long, mtime_ns long")
     path = F.col("path")
     found = files.where(~in_denied_directory(path) & ~is_ignored(path, patterns or []) & ~P.is_secret_name(path) & (F.col("length") <= max_bytes))
+    found = found if only is None else found.join(only.select("path").distinct(), "path", "left_semi")
     known = found.withColumn("lang", P.language(path)).where("lang IS NOT NULL")
     known = known.select(F.xxhash64("path").alias("file_id"), "path", "lang", F.col("length").alias("size_bytes"), "mtime_ns", P.parser(F.col("lang")).alias("parser"), P.is_generated(path).alias("is_generated"))
     if not with_content:
@@ -126,11 +129,11 @@ def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, max_
     return text.withColumns({"sha256": F.sha2("__bytes", 256), "content": decode_utf8(F.col("__bytes"))}).drop("__bytes")
 
 
-def ignore_patterns(root: str, extra: list[str] | None = None) -> list[str]:
+def ignore_patterns(root: str, extra: list[str] | None = None, names: tuple[str, ...] = IGNORE_FILES) -> list[str]:
     """The lines of the root's ignore files, in order, and extra ones."""
     system, base = _file_system(root)
     out: list[str] = []
-    for name in IGNORE_FILES:
+    for name in names:
         if system.get_file_info(f"{base}/{name}").type == fs.FileType.File:
             with system.open_input_stream(f"{base}/{name}") as f:
                 out += f.read().decode("utf-8", "ignore").splitlines()

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,6 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_MADE: dict[tuple[str, str], object] = {}
+
+
+def once(spark: SparkSession, name: str, make: Callable[[], object]) -> object:
+    """What make() gives, made once for an application and a name: for tables that an index would hold."""
+    key = spark.sparkContext.applicationId, name
+    if key not in _MADE:
+        for old in [k for k in _MADE if k[0] != key[0]]:
+            del _MADE[old]
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
@@ -40,3 +55,47 @@ def stored(df: DataFrame) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.parquet(path)
+
+
+def _system(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.rstrip("/"))
+
+
+def read_text(folder: str, name: str) -> str | None:
+    """A small file of a folder (path or URI), or None."""
+    system, base = _system(folder)
+    if system.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+        return None
+    with system.open_input_stream(f"{base}/{name}") as f:
+        return f.read().decode()
+
+
+def write_text(folder: str, name: str, text: str) -> None:
+    """Writes a small file whole: under a name of its own, then renamed."""
+    system, base = _system(folder)
+    system.create_dir(base, recursive=True)
+    own = f"{base}/.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as f:
+        f.write(text.encode())
+    system.move(own, f"{base}/{name}")
+
+
+def current_version(folder: str) -> int:
+    """The number of a folder's current version, 0 if it has none."""
+    return int(read_text(folder, "CURRENT") or 0)
+
+
+def write_version(folder: str, tables: dict[str, DataFrame]) -> int:
+    """Writes tables as the folder's next version and makes it the current one; older versions stay readable."""
+    version = current_version(folder) + 1
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/v{version:06d}/{name}")
+    write_text(folder, "CURRENT", str(version))
+    return version
+
+
+def open_version(spark: SparkSession, folder: str, names: Iterable[str], version: int | None = None) -> dict[str, DataFrame]:
+    version = version or current_version(folder)
+    if not version:
+        raise FileNotFoundError(f"no version in {folder}")
+    return {n: spark.read.parquet(f"{folder.rstrip('/')}/v{version:06d}/{n}") for n in names}

@@ -62,7 +62,7 @@ def test_intents(spark):
     assert p.intent == "debug_error" and p.weights == dict(zip(search.SOURCES, (1.0, 0.7, 1.0, 0.4))) and p.budget == 1800
     assert search.requested_kind("list methods") == "method" and search.requested_kind("class or method") is None
     assert search.explain_query("auth") == "how does auth work" and search.explain_query("How auth") == "How auth"
-    assert search.fallback("find the refresh token") == ["rg -n 'refresh'", "rg -n 'find.*refresh.*token'"]
+    assert search.fallback("find the refresh token") == ['rg -n "refresh"', 'rg -n "find.*the.*refresh"']
 
 
 def test_ignore_rules(spark):

@@ -71,8 +71,14 @@ def test_impact_and_paths(index):
     with pytest.raises(ValueError, match="direction"):
         G.walk(e, G.seeds("renew", f, s), 1, "sideways")
     changed = f.sparkSession.createDataFrame([("src/auth/token.py",), ("src/models/user.py",), ("gone.py",)], "path string")
-    hit, unknown = G.diff_impact(changed, e, f, s)
+    hit, unknown, total = G.diff_impact(changed, e, f, s)
     assert [(r.path, r.distance, r.changed_by) for r in hit.collect()] == [("src/api/service.py", 1, ["src/auth/token.py", "src/models/user.py"])] and [r.path for r in unknown.collect()] == ["gone.py"]
+    assert total.first()[:3] == (3, 3, False) and total.first().partial is False
+    few = G.diff_impact(changed, e, f, s, max_files=1).summary.first()
+    assert few[:3] == (3, 1, True) and G.diff_impact(changed, e, f, s, max_files=None).summary.first()[:3] == (3, 3, False)
+    both = f.sparkSession.createDataFrame([("src/auth/token.py",), ("src/api/service.py",)], "path string")
+    assert [(r.path, r.changed_by) for r in G.diff_impact(both, e, f, s).affected.collect()] == [("src/api/service.py", ["src/auth/token.py"])]  # changed, and affected by the other
+    assert G.impact_response("src/models/user.py", e, f, s)["coverage"].first().reason is None
 
 
 def test_cards_and_references(index):
@@ -88,16 +94,21 @@ def test_search_end_to_end(index):
     out = search.search(index, "refresh token", skeleton=True)
     first = out["results"][0]
     assert (out["intent"], first["path"], first["symbols"]) == ("keyword", "src/auth/token.py", ["refresh_access_token"])
-    assert [r["rank"] for r in out["results"]] == list(range(1, len(out["results"]) + 1)) and out["pagination"]["has_more"] is False
+    assert [r["rank"] for r in out["results"]] == list(range(1, len(out["results"]) + 1)) and "pagination" not in out and out["index"]["stale"] is False
     (only, *_) = search.search(index, "refresh_access_token", mode="fts")["results"]
     assert only["path"] == first["path"]
     exact = search.search(index, "login", mode="symbol")
     assert exact["confidence"] == "high" and "exact symbol match" in exact["results"][0]["reason"]
     nothing = search.search(index, "zzzqqq")
-    assert nothing["confidence"] == "low" and nothing["results"] == [] and nothing["fallback_suggestions"]["ripgrep"][0] == "rg -n 'zzzqqq'"
-    first, second = search.search(index, "token", limit=1), search.search(index, "token", limit=1, offset=1)
+    assert nothing["confidence"] == "low" and nothing["results"] == [] and nothing["fallback_suggestions"]["ripgrep"] == ['rg -n "zzzqqq"'] and search.search(index, "zzzqqq", fallbacks=False)["fallback_suggestions"] == {}
+    first, second = (search.search(index, "refresh renew", mode="symbol", limit=1, offset=k) for k in range(2))
     assert first["pagination"]["has_more"] and second["results"][0]["rank"] == 2
-    assert search.search(index, "token", limit=1, compat_paging=True)["pagination"]["has_more"] is False
+    assert "pagination" not in search.search(index, "token", limit=1, compat_paging=True) and search.search(index, "token", limit=1, offset=1, compat_paging=True)["pagination"]["has_more"] is False
+    whole = search.search(index, "refresh renew", mode="symbol", limit=2, budget=60)
+    paged = [search.search(index, "refresh renew", mode="symbol", limit=1, offset=k, budget=30)["results"][0] for k in range(2)]
+    assert [r["path"] for r in paged] == [r["path"] for r in whole["results"]]
+    spent = sum(r["token_est"] for r in whole["results"] if r["snippet"])
+    assert spent <= 60 and (paged[1]["snippet"] is not None) == (whole["results"][1]["snippet"] is not None)  # page 2 goes on with what page 1 left
     tight = search.search(index, "token", budget=1)
     assert all(r["snippet"] is None for r in tight["results"]) and len(tight["recommended_reads"]) == len(tight["results"])
     assert "**Query:** refresh token" in render.markdown_search(out) and json.loads(render.to_json(render.envelope("search", out)))["schema_version"] == 1
@@ -161,11 +172,16 @@ def test_diversify_and_budget(spark):
     assert fits == [True, False, True, False, True]
 
 
-def test_bm25_forms_agree(spark):
+def test_bm25_forms_agree(spark, tmp_path):
     docs = spark.createDataFrame([(1, "the cat sat"), (2, "the dog"), (3, "cat cat dog the"), (4, ""), (5, None)], "id long, t string")
     tok = fulltext.tokenised(docs.where("t IS NOT NULL"), "id", F.col("t"))
     a = {r.doc: round(r.score, 9) for r in fulltext.bm25(tok, [["cat"]]).collect()}
-    b = {r.doc: round(r.score, 9) for r in fulltext.bm25_indexed(fulltext.postings(tok), fulltext.doc_stats(tok), ["cat"]).collect()}
+    folder = str(tmp_path / "index")
+    assert fulltext.write_index(tok, folder) == 1
+    at = fulltext.open_index(spark, folder)
+    b = {r.doc: round(r.score, 9) for r in fulltext.bm25_indexed(at, [["cat"]]).collect()}
+    assert {r.doc: r.f_0 for r in fulltext.indexed_counts(at, ["cat dog"]).where("f_0 > 0").collect()} == {3: 1}
+    assert fulltext.write_index(tok.limit(1), folder) == 2 and fulltext.open_index(spark, folder).corpus.first().n_docs == 1 and fulltext.open_index(spark, folder, 1).corpus.first().n_docs == at.corpus.first().n_docs
     assert a == b and set(a) == {1, 3}
     assert {r.doc: r.f_0 for r in fulltext.match(tok, [["cat dog"]]).collect()} == {3: 1} and fulltext.match(tok, []).count() == 0
     changed = fulltext.tokenised(spark.createDataFrame([(2, "cat")], "id long, t string"), "id", F.col("t"))
