@@ -148,7 +148,7 @@ def bm25(tokenised_docs: DataFrame, groups: list[list[str]]) -> DataFrame:
 
 def bm25_indexed(index: Index, groups: list[list[str]], all_groups: bool = True) -> DataFrame:
     """(doc, score) from a stored index: only the postings of the groups' words are read."""
-    return scored(cut(indexed_counts(index, [p for g in groups for p in g])), index.corpus, groups, all_groups)
+    return scored(indexed_counts(index, [p for g in groups for p in g]), index.corpus, groups, all_groups)
 
 
 def top(scored: DataFrame, limit: int, *ties: str) -> DataFrame:

@@ -139,6 +139,20 @@ def confidence(ranked: DataFrame) -> DataFrame:
     return one.select(level.alias("confidence"))
 
 
+def confidence_of(first: float = 0.0, second: float | None = None, *, n: int, agree: int | None, exact: bool | None) -> str:
+    """confidence() of a page's rows from the scores of the first two, their number, and the first one's agreement and exactness."""
+    if not n or first <= 0:
+        return "low"
+    if exact:
+        return "high"
+    if n == 1:
+        return "medium"
+    gap, agree = (first - (second or 0)) / first, agree or 1
+    if agree >= 3 and gap > 0.15 or agree >= 2 and gap > 0.25 or agree == 1 and gap > 0.5:
+        return "high"
+    return "medium" if agree >= 2 or gap > 0.1 or n >= 5 else "low"
+
+
 def fits(costs: list[float | None], budget: float, spent: float = 0) -> tuple[list[bool], float]:
     """Of costs in order, whether each still fits (one that doesn't is skipped and the next is tried), and what is spent then."""
     out = []
@@ -182,21 +196,6 @@ def within_budget(rows: DataFrame, group: str, order: list[str], cost: str, budg
     return rows.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, shape)
 
 
-def apply_budget(ranked: DataFrame, budget: int) -> DataFrame:
-    """Final rows with rank from 1, the redacted snippet where the budget lets it in, and recommended (read the place instead).
-
-    ranked holds the rows up to the end of a page; the budget is spent from the first on.
-    """
-    own = F.struct("pos", *[c for c in ranked.columns if c != "pos"])
-    rows = ranked.agg(F.sort_array(F.collect_list(own)).alias("rows"))  # a page's rows alone
-    costs = F.transform("rows", lambda r: F.when(F.coalesce(r["content"], F.lit("")) != "", r["token_est"].cast("long")))
-    each = rows.withColumn("fits", greedy_budget(costs, budget)).select(F.posexplode(F.arrays_zip("rows", "fits")).alias("i", "z"))
-    flat = each.select((F.col("i") + 1).alias("rank"), "z.rows.*", F.col("z.fits").alias("fits"))
-    snippet = F.when(F.col("fits"), T.redact(T.redact_key_blocks(F.col("content"))))
-    useful = F.col("fits") & (F.col("token_est") >= USEFUL_TOKENS)
-    return flat.withColumns({"snippet": snippet, "recommended": ~F.coalesce(useful, F.lit(False))}).drop("fits", "pos")
-
-
 def page(ranked: DataFrame, limit: int, offset: int = 0, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows of the page, one row with has_more and next_offset). compat never reports more, as a list cut to the page can't."""
     rows = ranked.where((F.col("pos") >= offset) & (F.col("pos") < offset + limit))

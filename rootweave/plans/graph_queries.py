@@ -325,3 +325,24 @@ def circular_layout(spark: SparkSession, d: str) -> DataFrame:
     return render.layout(table(spark, d, "nation").select(F.col("n_name").alias("id")))
 
 
+
+
+#: Of each region: a language, its files' suffix, and what joins a module's parts.
+_STYLES = [("java", "java", "."), ("typescript", "ts", "/"), ("go", "go", "/"), ("rust", "rs", "::"), ("csharp", "cs", ".")]
+_BY_REGION = " ".join(f"WHEN {k} THEN {{'lang': '{lang}', 'x': '{x}', 'j': '{j}'}}" for k, (lang, x, j) in enumerate(_STYLES))
+
+
+@query(f"""WITH f AS (SELECT n_nationkey::BIGINT AS id, n_regionkey AS r, lower(replace(r_name, ' ', '_')) AS dir, lower(n_name) AS base, CASE n_regionkey {_BY_REGION} END AS s FROM nation JOIN region ON r_regionkey = n_regionkey),
+                n AS (SELECT *, lead(id) OVER (PARTITION BY r ORDER BY id) AS next FROM f)
+           SELECT n.id AS src_id, n.s.lang AS lang, t.dir || t.s.j || t.base AS dst_name, t.id AS dst_id, 'inferred' AS confidence FROM n JOIN f t ON t.id = n.next""")
+def module_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Imports in the style of five languages, each file importing the next of its region."""
+    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    style = F.get(F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(x).alias("x"), F.lit(j).alias("j")) for lang, x, j in _STYLES]), F.col("n_regionkey"))
+    folder, base = F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))), F.lower("n_name")
+    f = joined.select(F.col("n_nationkey").cast("long").alias("file_id"), "n_regionkey", folder.alias("dir"), base.alias("base"), style.alias("s"))
+    f = f.select("*", "s.lang", F.concat("dir", F.lit("/"), "base", F.lit("."), "s.x").alias("path"), F.concat("dir", "s.j", "base").alias("module"))
+    after = f.alias("a").join(f.alias("b"), (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.file_id") < F.col("b.file_id"))).groupBy(F.col("a.file_id").alias("src_id")).agg(F.min_by("b.module", "b.file_id").alias("dst_name"))
+    raw = after.select(F.lit("import").alias("edge_type"), F.lit("file").alias("src_kind"), "src_id", "dst_name", F.col("src_id").alias("file_id"), F.lit(1).alias("line"))
+    none = symbols(spark, d).limit(0)
+    return G.resolve(raw, none, f.select("file_id", "path", "lang")).join(f.select(F.col("file_id").alias("src_id"), "lang"), "src_id").select("src_id", "lang", "dst_name", "dst_id", "confidence")

@@ -130,11 +130,12 @@ def changes(spark: SparkSession, folder: str, config: Config, check_all: bool =
     Only files whose time or size differs are read, all of them with check_all. A scope (path) leaves the other paths as they are.
     """
     known = opened(spark, folder)["files"]
-    found = storage.stored(scan(spark, config, with_content=False))
+    found = scan(spark, config, with_content=False)  # of the driver's listing
     seen, held = (found, known) if scope is None else (M.in_scope(found, scope), M.in_scope(known, scope))
     same = ["path", "mtime_ns", "size_bytes"]
     suspect = seen.select(*same) if check_all else seen.select(*same).join(held.select(*same), same, "left_anti")
-    opened_ = storage.stored(scan(spark, config, only=suspect.select("path")))
+    opened_ = scan(spark, config, only=suspect.select("path"))
+    opened_ = opened_.limit(0) if suspect.isEmpty() else storage.stored(opened_)
     print_ = ["path", "mtime_ns", "size_bytes", "sha256"]
     untouched = held.select(*print_).join(suspect, "path", "left_anti").join(seen.select("path"), "path", "left_semi")
     return M.fingerprint_diff(held.select(*print_), opened_.select(*print_).unionByName(untouched), check_all), found, opened_

@@ -147,25 +147,24 @@ def search(
     payload: dict = {"query": query, "intent": p.intent, "mode": mode, "index": nothing | (state or {}), "confidence": "low", "results": [], "recommended_reads": [], "fallback_suggestions": {}}
     more = False
     if found is not None:
-        placed = fuse.ranks(found).cache()
-        try:
-            order = ranked(placed.where(F.col("rank0") < fetch).drop("rank0"), query, p, mode).where(F.col("pos") < fetch).cache()
-            if not compat_paging:
-                weighed = placed.where(fuse.weight_of(p.weights if mode == "hybrid" else {mode: 1.0}, F.col("source")) > 0)
-                more = weighed.select("path", fuse.bucket(F.col("line_start"))).distinct().count() > fetch
-            payload["confidence"] = fuse.confidence(order).first()["confidence"]
-            spend = budget if budget > 0 else p.budget
-            shown = order.withColumns({"skeletonized": F.lit(False), "elided_lines": F.lit(0)})
-            if skeleton:
-                c = compactor(F.col("content"), F.col("path"), F.col("line_start"), 0 if p.intent in SHAPES else 2, query, min_reduction)
-                shown = order.withColumn("c", c).withColumns({"skeletonized": F.col("c.skeletonized"), "elided_lines": F.col("c.elided_lines"), "content": F.when(F.col("c.skeletonized"), F.col("c.text")).otherwise(F.col("content")), "token_est": F.when(F.col("c.skeletonized"), F.col("c.token_est")).otherwise(F.col("token_est"))}).drop("c")
-            for r in fuse.apply_budget(shown, spend * fetch // max(limit, 1) if offset else spend).where(F.col("rank") > offset).orderBy("rank").collect():
-                payload["results"].append({"rank": r["rank"], "symbols": [r["symbol"]] if r["symbol"] else [], "score": round(r["score"], 4), **{k: r[k] for k in SHOWN}})
-                if r["recommended"]:
-                    payload["recommended_reads"].append({k: r[k] for k in ("path", "line_start", "line_end")})
-            order.unpersist()
-        finally:
-            placed.unpersist()
+        weights = p.weights if mode == "hybrid" else {mode: 1.0}
+        placed = fuse.ranks(found)
+        rows = placed.collect()  # a few rows for each of the page's, from each retriever
+        if not compat_paging:
+            more = len({(r["path"], (max(r["line_start"], 1) - 1) // fuse.BUCKET_LINES) for r in rows if weights.get(r["source"], 0) > 0}) > fetch
+        part = index["files"].sparkSession.createDataFrame([r for r in rows if r["rank0"] < fetch], placed.schema)
+        order = ranked(part.drop("rank0"), query, p, mode).where(F.col("pos") < fetch).withColumns({"skeletonized": F.lit(False), "elided_lines": F.lit(0)})
+        if skeleton:
+            c = compactor(F.col("content"), F.col("path"), F.col("line_start"), 0 if p.intent in SHAPES else 2, query, min_reduction)
+            order = order.withColumn("c", c).withColumns({"skeletonized": F.col("c.skeletonized"), "elided_lines": F.col("c.elided_lines"), "content": F.when(F.col("c.skeletonized"), F.col("c.text")).otherwise(F.col("content")), "token_est": F.when(F.col("c.skeletonized"), F.col("c.token_est")).otherwise(F.col("token_est"))}).drop("c")
+        best = order.withColumn("shown", T.redact(T.redact_key_blocks(F.col("content")))).orderBy("pos").collect()
+        payload["confidence"] = fuse.confidence_of(*[r["score"] for r in best[:2]], n=len(best), agree=best[0]["agreeing_sources"] if best else None, exact=best[0]["exact_symbol"] if best else None)
+        spend = budget if budget > 0 else p.budget
+        fits, _ = fuse.fits([r["token_est"] if r["content"] else None for r in best], spend * fetch // max(limit, 1) if offset else spend)
+        for r, ok in [*zip(best, fits)][offset:]:
+            payload["results"].append({"rank": r["pos"] + 1, "symbols": [r["symbol"]] if r["symbol"] else [], "score": round(r["score"], 4), **{k: (r["shown"] if ok else None) if k == "snippet" else r[k] for k in SHOWN}})
+            if not (ok and r["token_est"] >= fuse.USEFUL_TOKENS):
+                payload["recommended_reads"].append({k: r[k] for k in ("path", "line_start", "line_end")})
     if payload["confidence"] == "low" and fallbacks:
         payload["fallback_suggestions"] = {"ripgrep": tries} if (tries := fallback(query)) else {}
     if offset or more:

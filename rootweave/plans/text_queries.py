@@ -393,3 +393,26 @@ def parse_documents(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, md5(strip_accents(text)) AS folded_md5 FROM documents")
 def fold_accents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.fold_accents(F.col("text"))).alias("folded_md5"))
+
+
+@query("""WITH s AS (SELECT p_partkey, replace(lower(p_name), ' ', '_') AS n, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda p: len(p) >= 2)) AS parts, p_size AS in_degree FROM part),
+               c AS (SELECT *, contains(n, 'red')::INT + contains(n, 'ring')::INT AS covered, n IN ('redring', 'red_ring') AS is_exact, len(list_intersect(parts, ['red', 'ring'])) / len(parts) AS tightness FROM s WHERE contains(n, 'red') OR contains(n, 'ring'))
+          SELECT p_partkey, covered, is_exact, round(tightness, 6) AS tightness FROM c ORDER BY covered DESC, is_exact DESC, c.tightness DESC, in_degree DESC, len(n), p_partkey LIMIT 40""")
+def symbol_candidates_rank(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.col("p_size").alias("in_degree"), F.lit("").alias("path"), F.col("p_partkey").alias("line_start"))
+    return retrieve.symbol_candidates(s, TERMS2, 40).select("p_partkey", "covered", "is_exact", F.round("tightness", 6).alias("tightness"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_size AS s, CASE WHEN p_size % 4 = 0 THEN 'tests/' ELSE 'src/' END || lower(p_brand) || '.py' AS path, lower(p_name) AS symbol FROM part),
+               b AS (SELECT *, CASE WHEN s % 3 < 2 THEN 0.05 ELSE 0 END + CASE WHEN s % 5 = 0 THEN 0.2 ELSE 0 END + CASE WHEN symbol IN ('src', 'brand#11') THEN 0.05 ELSE 0 END + CASE WHEN contains(path, 'src') OR contains(path, 'brand#11') THEN 0.05 ELSE 0 END
+                                + CASE WHEN s % 7 > 0 THEN least(0.08, ln(1 + s % 7) * 0.03) WHEN s % 6 > 0 THEN least(0.04, ln(1 + s % 6) * 0.015) ELSE 0 END
+                                - CASE WHEN s % 11 = 0 OR starts_with(path, 'tests/') THEN 0.15 ELSE 0 END + CASE WHEN s % 7 + s % 9 > 0 THEN least(0.08, ln(1 + s % 7 + s % 9) * 0.015) ELSE 0 END AS bonus FROM c)
+          SELECT p_partkey, round(bonus, 6) AS bonus, coalesce(nullif(concat_ws(' · ', CASE WHEN s % 5 = 0 THEN 'exact symbol match' END, CASE WHEN contains(path, 'src') OR contains(path, 'brand#11') THEN 'in ' || string_split(path, '/')[1] || '/' END,
+                     CASE WHEN s % 7 > 0 THEN (s % 7) || ' callers' WHEN s % 6 > 0 THEN '~' || (s % 6) || ' refs by name' END, CASE WHEN s % 11 = 0 OR starts_with(path, 'tests/') THEN 'generated/test demoted' END), ''), 'symbol') AS reason FROM b""")
+def rerank_every_bonus(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size")
+    path = F.concat(F.when(s % 4 == 0, "tests/").otherwise("src/"), F.lower("p_brand"), F.lit(".py"))
+    kind = F.when(s % 3 == 0, "class").when(s % 3 == 1, "function").otherwise("variable")
+    own = table(spark, d, "part").select("p_partkey", path.alias("path"), F.lit("symbol").alias("source"), kind.alias("kind"), (s % 5 == 0).alias("exact_symbol"), F.lower("p_name").alias("symbol"), (s % 7).alias("in_degree"), (s % 9).alias("out_degree"), (s % 6).alias("ref_count"), (s % 11 == 0).alias("is_generated"))
+    total, why = fuse.bonus(["src", "brand#11"], architecture=True)
+    return own.select("p_partkey", F.round(total, 6).alias("bonus"), why.alias("reason"))
