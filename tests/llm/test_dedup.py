@@ -117,6 +117,63 @@ def test_recall_with_more_edits():
         assert len(true & near_found(fp)) >= 0.9 * len(true) > 30, share
 
 
+def flipped(rng, base, n, most):
+    """n copies of a fingerprint's bits with up to `most` of them turned."""
+    out = np.repeat(base[None], n, axis=0)
+    for k in range(n):
+        out[k, rng.choice(simhash.BITS, rng.integers(0, most + 1), replace=False)] ^= 1
+    return out
+
+
+def roots(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(n)]
+
+
+def test_links_of_a_large_bucket_connect_what_all_its_pairs_connect():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 2, (2, simhash.BITS)).astype(np.uint8)
+    chain = np.stack([np.where(np.arange(simhash.BITS) < 12 * k, 1 - b, b) for k in range(9)]).astype(np.uint8)
+    bits = np.concatenate([flipped(rng, a, 150, 10), flipped(rng, b, 90, 14), chain, rng.integers(0, 2, (60, simhash.BITS)).astype(np.uint8), flipped(rng, a ^ 1, 40, 30)])
+    bits = bits[rng.permutation(len(bits))]
+    fp = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+    n = len(fp)
+    true = {(i, j) for i in range(n) for j in range(i + 1, n) if (bits[i] != bits[j]).sum() <= simhash.DISTANCE}
+    links = [p for i, j in simhash.bucket_links(fp, simhash.pivot_table(bits), 0, n, simhash.DISTANCE) for p in zip(i.tolist(), j.tolist())]
+    assert set(links) <= true and roots(n, links) == roots(n, true) and len(links) == n - len(set(roots(n, true)))
+
+
+def test_tables_connect_the_same_whether_buckets_are_paired_or_linked():
+    rng = np.random.default_rng(9)
+    bits = np.concatenate([flipped(rng, base, 200, 12) for base in rng.integers(0, 2, (3, simhash.BITS)).astype(np.uint8)])
+    fp = np.unique(np.packbits(bits, axis=1).view(">i8").astype(np.int64), axis=0)
+    positions = simhash.key_positions(*simhash.layout(len(fp)))
+    found = [{p for t in range(len(positions)) for a, b in simhash.range_pairs(fp, np.arange(len(fp)), t, positions, simhash.DISTANCE, simhash.PIVOTS, most) for p in zip(a.tolist(), b.tolist())} for most in (10**9, 16)]
+    assert roots(len(fp), found[0]) == roots(len(fp), found[1]) and len(found[1]) < len(found[0]) / 3
+
+
+def test_two_groups_of_many_near_copies_in_one_bucket_take_linear_work():
+    rng = np.random.default_rng(2)
+    bits = np.concatenate([flipped(rng, base, 20_000, 8) for base in rng.integers(0, 2, (2, simhash.BITS)).astype(np.uint8)])
+    fp = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+    tests, real = [], simhash.verified
+    simhash.verified = lambda fp, far, i, j, distance: (tests.append(len(i)), real(fp, far, i, j, distance))[1]
+    try:
+        links = sum(len(i) for i, _ in simhash.bucket_links(fp, simhash.pivot_table(bits), 0, len(fp), simhash.DISTANCE))
+    finally:
+        simhash.verified = real
+    assert links == len(fp) - 2 and sum(tests) < 20 * len(fp)
+
+
 def test_pivots_never_lose_a_pair():
     rng = np.random.default_rng(0)
     bits = rng.integers(0, 2, (60, simhash.BITS)).astype(np.uint8)
