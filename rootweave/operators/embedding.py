@@ -27,6 +27,8 @@ class EmbeddingError(RuntimeError):
 
 @runtime_checkable
 class Backend(Protocol):
+    """Workers call embed, so its class has to be in a module that they can import."""
+
     enabled: bool
     name: str
     dim: int
