@@ -2,21 +2,22 @@
 
 A document's 128-bit fingerprint sums one vote per distinct word (runs of letters and digits,
 lower-cased). Equal fingerprints are one node from the start, so thousands of copies cost one row.
-Candidates meet in hash tables whose keys are some fingerprint bits each. A key has about as many bits
-as the number of fingerprints does (less two), so a key's bucket doesn't grow with the input, and there are as many
-tables as give a pair at the distance a chance of RECALL to meet: work and shuffle grow a little faster than
-the input (with its 1.25th power at distance 20), not with its square. The keys
-travel as packed arrays: a map task writes one row for each (table, key range), and a reduce task
-holds one range of one table, of about `shard_rows` fingerprints at any input size. There the
-pivot table is computed (Hamming distances to `pivots` reference fingerprints, by one matrix
-product), the candidate pairs are discarded by their largest coordinate difference, pivots taken
-in a few slices, and the survivors are verified by Hamming distance. Buckets of more than ALL_PAIRS
-fingerprints, which near copies make, are not paired but linked: each fingerprint that is reached takes its near ones out of
+Candidates meet in hash tables whose keys are some fingerprint bits each. The bits are cut in parts, and a part's tables
+(cover()) are such that whatever few of its bits differ, a table's key has none of them: every pair within the distance
+meets, at distance 20 in 381 tables of 16 to 29 bits. Related tables share bits of their keys, and a reduce task
+holds a group of tables and one range of the bits they share, of about `shard_rows` fingerprints at any input size. The
+fingerprints travel as packed arrays, once for each group: 24 groups where a task holds them all, more of fewer tables as
+the ranges become more. A task sorts its fingerprints by each key, verifies the pairs of a bucket by Hamming distance, and passes on
+only those that connect what its tables have not connected yet. Buckets of more than ALL_PAIRS fingerprints, which near copies
+make, are not paired but linked: each fingerprint that is reached takes its near ones out of
 those that are left, so a group of m near copies costs about m tests and gives m - 1 links, which connect
-what all its near pairs would connect. A pair is emitted only by
-the first table where it meets. By the triangle inequality the pivots never lose a pair within
-the distance; only the tables' keys are approximate (recall is tested at each distance, for several numbers of
-bits, and against all pairs). Groups are the connected components of the verified pairs.
+what all its near pairs would connect. There a pivot table (Hamming distances to `pivots` reference fingerprints, by one matrix
+product) discards candidates by their largest coordinate difference, pivots taken in a few slices; by the triangle inequality
+it never loses a pair within the distance. In small buckets the verification itself is cheaper than the pivots.
+Work beside the sorting is the pairs that share a key by chance, about 0.0013 of all pairs: its share grows with the input.
+A caller for whom that is too much gives `recall`: tables of as many key bits as the number of fingerprints has (less two), as
+many as give a pair at the distance that chance to meet, which loses the rest.
+Groups are the connected components of the verified pairs.
 
 Cases. Null texts and texts without a letter or digit have no fingerprint and are never grouped.
 Rows without an id are left out of groups() and kept by dedup(). Ids may be of any type that has an order. Rows that
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -42,11 +44,17 @@ from rootweave.llm.common import HOT_ROWS, batched, components, cut, join_counte
 
 BITS = 128
 DISTANCE = 20
-#: The chance that two fingerprints at the distance meet in some table.
+#: The chance that two fingerprints at the distance meet in some table of layout().
 RECALL = 0.95
+#: Bits of a position's vector in cover(): a part has at most 2 ** VECTOR_BITS - 1 tables.
+VECTOR_BITS = 7
+#: Draws of a part's vectors, of which the one with the fewest chance meetings is taken.
+DRAWS = 400
+#: Tables of a task, at most.
+GROUP_TABLES = 16
 LEAST_BITS, MOST_BITS = 12, 40
 PIVOTS = 256
-SHARD_ROWS = 100_000
+SHARD_ROWS = 400_000
 PAIR_BLOCK = 1 << 18
 #: Buckets of more fingerprints are linked instead of paired.
 ALL_PAIRS = 64
@@ -120,6 +128,49 @@ def key_positions(tables: int, key_bits: int) -> np.ndarray:
     return np.stack([rng.choice(BITS, key_bits, replace=False) for _ in range(tables)])
 
 
+@cache
+def cover(distance: int = DISTANCE) -> np.ndarray:
+    """Masks (tables, 2) as uint64: of whatever `distance` bits of a fingerprint, some mask has none.
+
+    The bits are cut in parts with radii such that one part at least differs in no more bits than its radius r. Each of
+    its positions has a vector of r + 1 bits, and each vector but zero is a table, whose mask has the positions of odd
+    product with it. The vectors of r positions don't span the space, so some table is orthogonal to all of them
+    (Pagh, CoveringLSH, 2016). A mask has about half of its part's bits. Masks are sorted by vector, then part.
+    """
+    parts = max(2, -(-(distance + 1) // VECTOR_BITS))
+    found = []
+    for part, (radius, place) in enumerate(zip(np.array_split(np.arange(distance + 1), parts), np.array_split(np.arange(BITS), parts))):
+        every, rng = np.arange(1, 1 << len(radius)), np.random.default_rng(20 + part)
+        if not len(every):
+            continue
+        draws = (np.concatenate([rng.permutation(every) for _ in range(-(-len(place) // len(every)))])[: len(place)] for _ in range(DRAWS))
+        odd = min((np.bitwise_count(every[:, None] & v) & 1 for v in draws), key=lambda odd: np.exp2(-odd.sum(axis=1, dtype=float)).sum())
+        bits = np.zeros((len(every), BITS), np.uint8)
+        bits[:, place] = odd
+        found += [(v, part, m) for v, m in zip(every.tolist(), np.packbits(bits, axis=1).view(">u8").astype(np.uint64))]
+    return np.stack([m for _, _, m in sorted(found, key=lambda f: f[:2])])
+
+
+def table_groups(masks: np.ndarray, ranges: int) -> list[np.ndarray]:
+    """Tables by the bits of their masks: groups of GROUP_TABLES at most, whose shared bits tell twice as many ranges apart (if one table's do)."""
+    need = math.ceil(math.log2(ranges)) + 1 if ranges > 1 else 0
+    out, left = [], [np.arange(len(masks))]
+    while left:
+        some = left.pop()
+        if len(some) == 1 or len(some) <= GROUP_TABLES and np.bitwise_count(np.bitwise_and.reduce(masks[some])).sum() >= need:
+            out.append(some)
+            continue
+        bits = unpacked(masks[some].view(np.int64))
+        has = bits[:, np.abs(2 * bits.sum(axis=0, dtype=np.int64) - len(some)).argmin()] == 1
+        left += [some[has], some[~has]]
+    return out
+
+
+def masked(words: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """A hash of each fingerprint's masked bits (words (n, 2) as uint64), whose high bits are the best."""
+    return (words[:, 0] & mask[0]) * np.uint64(0x9E3779B97F4A7C15) + (words[:, 1] & mask[1]) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def keys_of(bits: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """The key of each fingerprint in one table."""
     out = np.zeros(len(bits), np.int64)
@@ -139,8 +190,9 @@ def pivot_table(bits: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
 
 def bucket_pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (i < j) within runs of a sorted array, in blocks of about PAIR_BLOCK."""
-    first = np.concatenate([np.arange(s, s + n - 1) for s, n in zip(start, size)]) if len(start) else np.zeros(0, np.int64)
-    partners = np.concatenate([np.arange(n - 1, 0, -1) for n in size]) if len(start) else np.zeros(0, np.int64)
+    within = tk.offsets_of(size - 1)
+    place = np.arange(within[-1]) - np.repeat(within[:-1], size - 1)
+    first, partners = np.repeat(start, size - 1) + place, np.repeat(size - 1, size - 1) - place
     done, upto = 0, np.cumsum(partners)
     while done < len(first):
         stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PAIR_BLOCK)))
@@ -226,11 +278,83 @@ def range_pairs(fp: np.ndarray, ids: np.ndarray, table: int, positions: np.ndarr
             yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
 
-def near_pairs(nodes: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL, pivots: int = PIVOTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b) with a < b within the distance: of nodes (node, h1, h2), n of distinct fingerprints, pairs that connect what all near pairs would."""
+def top(root: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The roots of some members of a forest of parents."""
+    at = root[some]
+    while (root[at] != at).any():
+        at = root[at]
+    return at
+
+
+def connect(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Joins i and j in a forest of parents; which of the pairs were needed for it."""
+    needed, live = [], np.arange(len(i))
+    while len(live):
+        a, b = top(root, i[live]), top(root, j[live])
+        root[i[live]], root[j[live]] = a, b
+        live, a, b = live[a != b], a[a != b], b[a != b]
+        own, first = np.unique(np.maximum(a, b), return_index=True)
+        root[own] = np.minimum(a, b)[first]
+        needed.append(live[first])
+    return np.concatenate(needed) if needed else live
+
+
+def covered_links(fp: np.ndarray, ids: np.ndarray, tables: np.ndarray, masks: np.ndarray, distance: int, pivots: int, all_pairs: int = ALL_PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of ids that connect what the near pairs of some tables connect, but for those that other, earlier tables connect."""
+    n, words = len(fp), np.ascontiguousarray(fp).view(np.uint64)
+    one, two = np.ascontiguousarray(words.T)
+    root, low, place = np.arange(n), np.uint64(max(n - 1, 1).bit_length()), np.arange(n, dtype=np.uint64)
+
+    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        close = np.bitwise_count(one[i] ^ one[j]) + np.bitwise_count(two[i] ^ two[j]) <= distance
+        return i[close], j[close]
+
+    def bucket(some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of a large bucket, near pairs that connect what is not yet connected."""
+        group = top(root, some)
+        names, size = np.unique(group, return_counts=True)
+        others = some[group != names[size.argmax()]]
+        if len(others) <= all_pairs:  # the rest is connected
+            yield from (near(np.full(len(some), x), some) for x in others.tolist())
+        else:
+            yield from ((some[i], some[j]) for i, j in bucket_links(fp[some], pivot_table(unpacked(fp[some]), pivots), 0, len(some), distance))
+
+    found = []
+    for t in sorted(tables.tolist()):
+        key = masked(words, masks[t]) >> low << low | place
+        key.sort()
+        at = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        key >>= low
+        same = np.flatnonzero(key[1:] == key[:-1])
+        first = np.flatnonzero(np.append(True, same[1:] != same[:-1] + 1)) if len(same) else same
+        start, size = same[first], np.diff(np.append(first, len(same))) + 1
+        large = size > all_pairs
+        paired = (near(at[i], at[j]) for i, j in bucket_pairs(start[~large], size[~large]))
+        linked = (pair for lo, m in zip(start[large].tolist(), size[large].tolist()) for pair in bucket(at[lo : lo + m]))
+        for i, j in chain(paired, linked):
+            needed = connect(root, i, j)
+            found.append((i[needed], j[needed], np.full(len(needed), t)))
+    i, j, t = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    for before in sorted(set(range(int(t.max()) if len(t) else 0)) - set(tables.tolist())):
+        met = (t > before) & ((one[i] ^ one[j]) & masks[before, 0] | (two[i] ^ two[j]) & masks[before, 1] == 0)
+        i, j, t = i[~met], j[~met], t[~met]
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+
+def near_pairs(nodes: DataFrame, n: int, distance: int = DISTANCE, recall: float | None = None, pivots: int = PIVOTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(a, b) with a < b within the distance: of nodes (node, h1, h2), n of distinct fingerprints, pairs that connect what all near pairs would.
+
+    With `recall` it is approximate: a pair at the distance is found with that chance.
+    """
     ranges = shards(n, shard_rows)
-    tables, key_bits = layout(n, distance, recall)
-    positions = key_positions(tables, key_bits)
+    if recall is None:
+        positions, masks = None, cover(distance)
+        groups_of = table_groups(masks, ranges)
+    else:
+        positions = key_positions(*layout(n, distance, recall))
+        masks = np.packbits((positions[:, :, None] == np.arange(BITS)).any(axis=1), axis=1).view(">u8").astype(np.uint64)
+        groups_of = [np.array([t]) for t in range(len(masks))]
+    shared = np.stack([np.bitwise_and.reduce(masks[g]) for g in groups_of])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -238,15 +362,15 @@ def near_pairs(nodes: DataFrame, n: int, distance: int = DISTANCE, recall: float
 
         def out() -> Iterator[pa.RecordBatch]:
             data = np.concatenate(held)
-            bits = unpacked(data[:, 1:])
+            words = np.ascontiguousarray(data[:, 1:]).view(np.uint64)
             each = max(1, PACK_BYTES // data.nbytes)
-            for lo in range(0, tables, each):
-                yield packed(data, bits, range(lo, min(lo + each, tables)))
+            for lo in range(0, len(shared), each):
+                yield packed(data, words, range(lo, min(lo + each, len(shared))))
 
-        def packed(data: np.ndarray, bits: np.ndarray, some: range) -> pa.RecordBatch:
+        def packed(data: np.ndarray, words: np.ndarray, some: range) -> pa.RecordBatch:
             t, r, blob = [], [], []
             for k in some:
-                where = keys_of(bits, positions[k]) % ranges
+                where = (tk.mix(masked(words, shared[k])) % np.uint64(ranges)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 at = np.searchsorted(where[order], np.arange(ranges + 1))
                 for s in range(ranges):
@@ -267,6 +391,9 @@ def near_pairs(nodes: DataFrame, n: int, distance: int = DISTANCE, recall: float
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.frombuffer(b"".join(pdf["blob"]), np.int64).reshape(-1, 3)
+        if positions is None:
+            a, b = covered_links(data[:, 1:], data[:, 0], groups_of[int(key[0])], masks, distance, pivots)
+            return pd.DataFrame({"a": a, "b": b})
         found = list(range_pairs(data[:, 1:], data[:, 0], int(key[0]), positions, distance, pivots))
         return pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}) if found else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 

@@ -174,6 +174,55 @@ def test_two_groups_of_many_near_copies_in_one_bucket_take_linear_work():
     assert links == len(fp) - 2 and sum(tests) < 20 * len(fp)
 
 
+def planted(rng, n, distance):
+    """n random fingerprints and a copy of each with so many bits turned."""
+    bits = rng.integers(0, 2, (n, simhash.BITS)).astype(np.uint8)
+    flips = np.zeros_like(bits)
+    np.put_along_axis(flips, np.argsort(rng.random(bits.shape), axis=1)[:, :distance], 1, axis=1)
+    return np.packbits(np.concatenate([bits, bits ^ flips]), axis=1).view(">i8").astype(np.int64)
+
+
+def test_no_pair_at_the_distance_is_lost(spark):
+    n = 3_000
+    fp = planted(np.random.default_rng(12), n, simhash.DISTANCE)
+    nodes = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(fp.tolist())], "node long, h1 long, h2 long")
+    for each in (10_000, 100):
+        got = {(r.a, r.b) for r in simhash.near_pairs(nodes, 2 * n, shard_rows=each).collect()}
+        assert got == {(k, n + k) for k in range(n)}, each
+    assert 0.9 * n < simhash.near_pairs(nodes, 2 * n, recall=0.95).count() < n  # what a caller may ask for
+
+
+def test_some_mask_has_none_of_any_differing_bits():
+    rng = np.random.default_rng(6)
+    for distance in (0, 1, 3, 12, 20, 31):
+        masks = simhash.cover(distance)
+        for _ in range(200):
+            at = rng.choice(simhash.BITS, distance, replace=False) if rng.random() < 0.7 else rng.integers(0, simhash.BITS - distance) + np.arange(distance)
+            bits = np.zeros(simhash.BITS, np.uint8)
+            bits[at] = 1
+            differ = np.packbits(bits).view(">u8").astype(np.uint64)
+            assert (masks & differ == 0).all(axis=1).any()
+        for ranges in (1, 3, 1000):
+            groups = simhash.table_groups(masks, ranges)
+            assert sorted(t for g in groups for t in g.tolist()) == list(range(len(masks)))
+
+
+def test_groups_of_tables_connect_what_all_near_pairs_connect():
+    rng = np.random.default_rng(13)
+    a, b = rng.integers(0, 2, (2, simhash.BITS)).astype(np.uint8)
+    chain = np.stack([np.where(np.arange(simhash.BITS) < 20 * k, 1 - b, b) for k in range(7)]).astype(np.uint8)
+    bits = np.concatenate([flipped(rng, a, 150, 10), flipped(rng, b, 300, 14), flipped(rng, b ^ 1, 90, 30), chain, rng.integers(0, 2, (60, simhash.BITS)).astype(np.uint8)])
+    fp = np.unique(np.packbits(bits, axis=1).view(">i8").astype(np.int64), axis=0)
+    n, masks = len(fp), simhash.cover(simhash.DISTANCE)
+    off = np.bitwise_count(fp[:, None].view(np.uint64) ^ fp[None].view(np.uint64)).sum(axis=2)
+    true = set(zip(*(x.tolist() for x in np.nonzero(np.triu(off <= simhash.DISTANCE, 1)))))
+    for ranges in (1, 50):
+        for most in (64, 4, 10**9):
+            found = [simhash.covered_links(fp, np.arange(n), g, masks, simhash.DISTANCE, simhash.PIVOTS, most) for g in simhash.table_groups(masks, ranges)]
+            links = [p for i, j in found for p in zip(i.tolist(), j.tolist())]
+            assert set(links) <= true and roots(n, links) == roots(n, true) and len(links) < 10 * n < len(true)
+
+
 def test_pivots_never_lose_a_pair():
     rng = np.random.default_rng(0)
     bits = rng.integers(0, 2, (60, simhash.BITS)).astype(np.uint8)
