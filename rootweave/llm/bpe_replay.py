@@ -58,6 +58,7 @@ class Merges:
         self._order = np.argsort(key, kind="stable")
         self._keys = key[self._order]
         self.none = len(key)
+        self._of_bytes: np.ndarray | None = None
         self.byte_id = np.zeros(256, np.int64)
         for c, b in letters.items():
             self.byte_id[b] = vocab[c]
@@ -73,6 +74,12 @@ class Merges:
         at = np.minimum(np.searchsorted(self._keys, key), self.none - 1)
         return np.where(self._keys[at] == key, self._order[at], self.none)
 
+    def byte_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As rank(), of pairs of bytes: from a table of all of them."""
+        if self._of_bytes is None:
+            self._of_bytes = self.rank(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256))
+        return self._of_bytes[a.astype(np.int64) << 8 | b]
+
 
 @cache
 def merges(path: str) -> Merges:
@@ -88,8 +95,9 @@ def replay(m: Merges, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     before = np.arange(-1, n - 1)
     before[bounds[:-1]] = -1
     at = np.flatnonzero(after >= 0)
-    rank = m.rank(sym[at], sym[at + 1])
+    rank = m.byte_rank(data[at], data[at + 1])
     at, rank = at[rank < m.none], rank[rank < m.none]
+    merged = np.zeros(n, bool)
     index: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
@@ -131,10 +139,11 @@ def replay(m: Merges, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
         open_ = beyond >= 0
         before[beyond[open_]] = at[open_]
         prior = before[at]
-        touched = np.concatenate([prior[prior >= 0], at[open_]])
+        own, prior = at[open_], prior[prior >= 0]
+        merged[own] = True  # a merge right before another one touches the same pair
+        touched = np.concatenate([prior[~merged[prior]], own])
+        merged[own] = False
         if len(touched):
-            if len(touched) > 1:
-                touched = np.unique(touched)
             rank = m.rank(sym[touched], sym[after[touched]])
             some = rank < m.none
             if some.any():

@@ -121,9 +121,18 @@ def _stretched_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) ->
 def distinct_spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A span of each distinct content, and the distinct content of each span.
 
-    Spans meet by hash and are then compared value by value, so different spans of one hash stay apart.
+    Spans meet by their hash's high bits, which are sorted together with the spans' places, and are then compared value
+    by value, so different spans of one hash stay apart.
     """
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    low = np.uint64(max(len(hashes) - 1, 1).bit_length())
+    key = hashes >> low << low | np.arange(len(hashes), dtype=np.uint64)
+    key.sort()
+    place = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    key >>= low
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first, which = place[new], np.empty(len(key), np.int64)
+    which[place] = np.cumsum(new) - 1
     model = first[which]
     apart = end - begin != end[model] - begin[model]
     rest = np.flatnonzero((model != np.arange(len(begin))) & ~apart)

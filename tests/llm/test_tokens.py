@@ -196,3 +196,29 @@ def test_files_are_read_block_by_block(spark, tmp_path, reference):
     token = reference(rows[0][1])[0]
     hits = sorted((r.doc_id, r.position) for r in wavelet.occurrences(made, [token]).collect())
     assert hits == sorted((i, p) for i, t in rows for p, x in enumerate(reference(t or "")) if x == token)
+
+
+def test_pairs_of_bytes_are_ranked_by_table(monkeypatch):
+    m = bpe_replay.merges(bpe_replay.VOCABULARY)
+    a, b = np.repeat(np.arange(256, dtype=np.uint8), 256), np.tile(np.arange(256, dtype=np.uint8), 256)
+    assert (m.byte_rank(a, b) == m.rank(m.byte_id[a], m.byte_id[b])).all()
+    words, asked, real = [b"he", b"in", b"er", b"\xff\x00"], [], m.rank
+    monkeypatch.setattr(m, "rank", lambda a, b: (asked.append(len(a)), real(a, b))[1], raising=False)
+    bpe_replay.replay(m, np.frombuffer(b"".join(words), np.uint8), np.arange(0, 9, 2))
+    assert sum(asked) == 0  # no merge leaves a neighbour
+
+
+def test_matrix_bytes_equal_a_plain_construction():
+    rng = np.random.default_rng(8)
+    for n, most in ((1, 1), (32_768, 50_000), (32_769, 65_535), (150_001, 65_536), (70_000, 1 << 20)):
+        tokens = rng.integers(0, most, n)
+        tokens[-1] = most
+        w = wavelet.WaveletMatrix(wavelet.build(tokens))
+        rest, planes = tokens, int(tokens.max()).bit_length()
+        assert w.planes == planes
+        for level in range(planes):
+            bit = rest >> (planes - 1 - level) & 1 == 1
+            got = np.concatenate([w._bits(level * w._per + k)[: min(wavelet.BLOCK_BITS, n - k * wavelet.BLOCK_BITS)] for k in range(w._per)])
+            assert (got == bit).all() and w.zeros[level] == n - bit.sum()
+            assert w._ones[level * w._per : (level + 1) * w._per].tolist() == [int(bit[: k * wavelet.BLOCK_BITS].sum()) for k in range(w._per)]
+            rest = np.concatenate([rest[~bit], rest[bit]])
