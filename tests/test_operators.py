@@ -81,6 +81,10 @@ def test_impact_and_paths(index):
     assert G.impact_response("src/models/user.py", e, f, s)["coverage"].first().reason is None
 
 
+def plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_cards_and_references(index):
     e, f, s = index["edges"], index["files"], index["symbols"].drop("in_degree", "out_degree")
     refs = [(r.path, r.kind) for r in G.references("refresh_access_token", e, f, s).collect()]
@@ -237,6 +241,25 @@ def test_components_and_moves_by_part(spark):
     assert groups({r.node: r.community for r in C.communities(pairs).collect()}) == groups(whole)
 
 
+def test_steps_beyond_memory_are_read_from_a_file(monkeypatch):
+    """A component's steps come in batches; however few of them are held, moves are those of the whole graph in memory."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    edges = {(a, b): rng.randrange(1, 9) for a, b in ((rng.randrange(40), rng.randrange(40, 80)) for _ in range(500))} | {(0, k): 1 for k in range(80, 300)}
+    two_m = 2 * sum(edges.values())
+    rows = sorted((0, v, u, w) for (a, b), w in edges.items() for v, u in ((a, b), (b, a)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 37])], names=["component", "v", "u", "w"]) for k in range(0, len(rows), 37)]
+    want = {int(v): int(h) for v, h in C.local_moves([(f"{a:03}", f"{b:03}", w) for (a, b), w in edges.items()], two_m).items()}
+    for held, block in ((1 << 20, 1 << 20), (100, 64)):
+        monkeypatch.setattr(C, "HELD_STEPS", held)
+        monkeypatch.setattr(C, "BLOCK_STEPS", block)
+        got = [b.to_pydict() for b in C.moved_components(batches, two_m)]
+        assert {v: h for b in got for v, h in zip(b["v"], b["label"])} == want
+
+
 def test_summary_and_labels(spark):
     nodes = spark.createDataFrame([(f"{a}{i}", "symbol" if i else "file", f"n{a}{i}", ("src/auth/a.py" if a == "0" else "tests/b.py")) for a in "01" for i in range(3)], "key string, kind string, name string, path string")
     s = C.summary(two_triangles(spark), nodes)
