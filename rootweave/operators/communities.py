@@ -245,12 +245,21 @@ def god_nodes(pairs: DataFrame, limit: int = MAX_GODS) -> DataFrame:
 
 
 def bridges(pairs: DataFrame, members: DataFrame, limit: int = MAX_BRIDGES, most: int = BRIDGE_EDGES) -> DataFrame:
-    """Community pairs that few edges join, the fewest first, each with its least edge."""
-    c = members.select("node", "community")
-    ends = pairs.join(c.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(c.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").where("ca <> cb")
-    grouped = ends.groupBy(F.least("ca", "cb").alias("from_community"), F.greatest("ca", "cb").alias("to_community")).agg(F.count("*").alias("edge_count"), F.min(F.struct("a", "b")).alias("e"))
+    """Community pairs that few edges join, the fewest first, each with its least edge.
+
+    Nodes are numbered in their order, and an edge is one number made of both (31 bits each): so edges are only counted and compared in hash tables, never sorted.
+    """
+    nodes = members.select("node").distinct()
+    number = stored(numbered(nodes, "node").select("node", "n"))
+    c = members.select("node", "community").join(number, "node")
+    a, b = (c.select(F.col("node").alias(k), F.col("community").alias(f"c{k}"), F.col("n").alias(f"n{k}")).hint("shuffle_hash") for k in "ab")
+    ends = pairs.select("a", "b").join(a, "a").join(b, "b").where("ca <> cb")
+    least = F.min(F.col("na") * F.lit(1 << 31) + F.col("nb"))
+    grouped = ends.groupBy(F.least("ca", "cb").alias("from_community"), F.greatest("ca", "cb").alias("to_community")).agg(F.count("*").alias("edge_count"), least.alias("e"))
     few = grouped.where(F.col("edge_count") <= most).orderBy("edge_count", "from_community", "to_community").limit(limit)
-    return few.select("from_community", "to_community", "edge_count", F.col("e.a").alias("a"), F.col("e.b").alias("b"))
+    shown = few.select("*", F.shiftright("e", 31).alias("na"), F.col("e").bitwiseAND(F.lit((1 << 31) - 1)).alias("nb"))
+    names = [number.select(F.col("node").alias(k), F.col("n").alias(f"n{k}")) for k in "ab"]
+    return shown.join(names[0], "na").join(names[1], "nb").orderBy("edge_count", "from_community", "to_community").select("from_community", "to_community", "edge_count", "a", "b")
 
 
 def labels(members: DataFrame, nodes: DataFrame) -> DataFrame:

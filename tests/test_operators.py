@@ -217,6 +217,15 @@ def test_communities_of_two_triangles(spark):
     assert not any(r.exact for r in coarse.collect()) and coarse.count() == 6
 
 
+def test_bridges_are_counted_without_a_sort(spark):
+    members = spark.createDataFrame([("a1", 1), ("a2", 1), ("b1", 2), ("b2", 2), ("c1", 3)], "node string, community int")
+    edges = [("b2", "a2"), ("a1", "b2"), ("b1", "a2"), ("c1", "a2"), ("c1", "a1"), ("b1", "c1"), ("a1", "a2")]
+    found = C.bridges(C.pair_weights(spark.createDataFrame(edges, "a string, b string")), members)
+    assert [tuple(r) for r in found.collect()] == [(2, 3, 1, "b1", "c1"), (1, 3, 2, "a1", "c1")] and "SortAggregate" not in plan(found)
+    many = C.bridges(C.pair_weights(spark.createDataFrame(edges, "a string, b string")), members, most=3)
+    assert [tuple(r) for r in many.collect()][-1] == (1, 2, 3, "a1", "b2")
+
+
 def test_a_large_component_takes_the_same_moves(spark):
     ids = F.col("id").cast("string")
     corners = [(F.lit("hub"), F.concat(F.lit("a"), ids)), *((F.concat(F.lit(x), ids), F.concat(F.lit(y), ids)) for x, y in ("ab", "ac", "bc"))]
