@@ -27,7 +27,7 @@ def dense_ids(edges: DataFrame, source: str = "source", target: str = "target")
 
 def _numbered(edges: DataFrame, ids: DataFrame) -> DataFrame:
     a, b = ids.select(F.col("key").alias("source"), F.col("n").alias("s")), ids.select(F.col("key").alias("target"), F.col("n").alias("t"))
-    return edges.join(a, "source").join(b, "target")
+    return edges.join(a.hint("shuffle_hash"), "source").join(b.hint("shuffle_hash"), "target")
 
 
 def _escape_dot(x: Column) -> Column:

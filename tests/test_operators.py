@@ -226,6 +226,12 @@ def test_bridges_are_counted_without_a_sort(spark):
     assert [tuple(r) for r in many.collect()][-1] == (1, 2, 3, "a1", "b2")
 
 
+def test_exported_pairs_are_made_once(spark):
+    from rootweave.plans import registry
+
+    assert "lineitem" not in plan(registry.QUERIES["export_dot_edges"](spark, "/root/testdata/sf0.001"))
+
+
 def test_a_large_component_takes_the_same_moves(spark):
     ids = F.col("id").cast("string")
     corners = [(F.lit("hub"), F.concat(F.lit("a"), ids)), *((F.concat(F.lit(x), ids), F.concat(F.lit(y), ids)) for x, y in ("ab", "ac", "bc"))]
