@@ -51,11 +51,10 @@ def unique_suffixes(files: DataFrame) -> DataFrame:
     return each.groupBy("suffix").agg(F.count("*").alias("n"), F.min("file_id").alias("file_id")).where("n = 1").select("suffix", "file_id")
 
 
-def resolve_in_file(edges_raw: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Raw edges with the symbol of that name in their own file, its last definition, where there is one."""
+def last_in_file(symbols: DataFrame) -> DataFrame:
+    """(file_id, dst_name, own_id): of the symbols of one name in a file the last definition."""
     last = Window.partitionBy("file_id", "name").orderBy(F.desc("line_start"), F.desc("symbol_id"))
-    own = symbols.withColumn("n", F.row_number().over(last)).where("n = 1").select(F.col("file_id"), F.col("name").alias("dst_name"), F.col("symbol_id").alias("own_id"))
-    return edges_raw.join(own, ["file_id", "dst_name"], "left")
+    return symbols.withColumn("n", F.row_number().over(last)).where("n = 1").select(F.col("file_id"), F.col("name").alias("dst_name"), F.col("symbol_id").alias("own_id"))
 
 
 def module_suffixes(module: Column, lang: Column) -> Column:
@@ -80,21 +79,27 @@ def resolve(edges_raw: DataFrame, symbols: DataFrame, files: DataFrame) -> DataF
     """All edges with dst_kind, dst_id, resolved and confidence.
 
     A name of the edge's own file or a name unique among all symbols gives an extracted edge, an import whose
-    module names exactly one file an inferred one; what is left is ambiguous.
+    module names exactly one file an inferred one; what is left is ambiguous. Each (type, file, name) that edges ask for is
+    resolved once, and the edges meet the answers by one shuffle and a hash table: they are read twice and never sorted.
     """
-    local = resolve_in_file(edges_raw, symbols).withColumn("edge_id", F.xxhash64("edge_type", "src_kind", "src_id", "file_id", "dst_name", "line"))
-    named = local.join(unique_names(symbols).select(F.col("name").alias("dst_name"), F.col("symbol_id").alias("unique_id")), "dst_name", "left")
+    asked = edges_raw.select("edge_type", "file_id", "dst_name").distinct()
+    own = asked.join(last_in_file(symbols), ["file_id", "dst_name"], "left")
+    named = own.join(unique_names(symbols).select(F.col("name").alias("dst_name"), F.col("symbol_id").alias("unique_id")), "dst_name", "left")
     langs = files.select("file_id", "lang")
-    imports = edges_raw.where("edge_type = 'import' AND dst_name IS NOT NULL").join(langs, "file_id").select("dst_name", "lang").distinct()
+    imports = asked.where("edge_type = 'import' AND dst_name IS NOT NULL").join(langs, "file_id").select("dst_name", "lang").distinct()
     tried = imports.select("dst_name", "lang", F.posexplode(module_suffixes(F.col("dst_name"), F.col("lang"))).alias("turn", "suffix"))
     modules = tried.join(unique_suffixes(files).withColumnRenamed("file_id", "module_id"), "suffix").groupBy("dst_name", "lang").agg(F.min_by("module_id", "turn").alias("module_id"))
     found = named.join(langs, "file_id", "left").join(modules, ["dst_name", "lang"], "left")
     symbol = F.coalesce("own_id", F.when(F.col("edge_type").isin(*RESOLVABLE), F.col("unique_id")))
     module = F.when(symbol.isNull() & (F.col("edge_type") == "import"), F.col("module_id"))
-    return found.select(
-        "edge_type", "src_kind", "src_id",
+    target = found.select("edge_type", "file_id", "dst_name", symbol.alias("symbol"), module.alias("module")).where("symbol IS NOT NULL OR module IS NOT NULL")
+    symbol, module = F.col("symbol"), F.col("module")
+    e, t = edges_raw.alias("e"), target.hint("shuffle_hash").alias("t")
+    same = (F.col("e.edge_type") == F.col("t.edge_type")) & (F.col("e.dst_name") == F.col("t.dst_name")) & F.col("e.file_id").eqNullSafe(F.col("t.file_id"))
+    return e.join(t, same, "left").select(
+        "e.edge_type", "src_kind", "src_id",
         F.when(symbol.isNotNull(), "symbol").when(module.isNotNull(), "file").alias("dst_kind"),
-        F.coalesce(symbol, module).alias("dst_id"), "dst_name", "file_id", "line",
+        F.coalesce(symbol, module).alias("dst_id"), "e.dst_name", "e.file_id", "line",
         (symbol.isNotNull() | module.isNotNull()).alias("resolved"),
         F.when(symbol.isNotNull(), "extracted").when(module.isNotNull(), "inferred").otherwise("ambiguous").alias("confidence"),
     )
@@ -113,11 +118,12 @@ def nodes(files: DataFrame, symbols: DataFrame, key: Callable[[], Column] = node
 
 
 def degrees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """symbol_id, in_degree and out_degree over resolved edges, 0 where there are none: one shuffle of edges."""
-    live = edges.where("resolved")
-    ends = live.where("dst_kind = 'symbol'").select(F.col("dst_id").alias("symbol_id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(live.where("src_kind = 'symbol'").select(F.col("src_id").alias("symbol_id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    """symbol_id, in_degree and out_degree over resolved edges, 0 where there are none: edges count both ends in one pass."""
+    end = lambda way: F.when(F.col(f"{way}_kind") == "symbol", F.col(f"{way}_id"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    both = F.array(F.struct(end("dst").alias("symbol_id"), one.alias("i"), zero.alias("o")), F.struct(end("src").alias("symbol_id"), zero.alias("i"), one.alias("o")))
+    ends = edges.where("resolved").select(F.inline(both)).where("symbol_id IS NOT NULL")
     count = ends.groupBy("symbol_id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    zero = F.lit(0).cast("long")
     return symbols.select("symbol_id").join(count, "symbol_id", "left").select("symbol_id", F.coalesce("i", zero).alias("in_degree"), F.coalesce("o", zero).alias("out_degree"))
 
 
@@ -139,11 +145,11 @@ def seeds(target: str, files: DataFrame, symbols: DataFrame, with_symbols: bool
 
 
 def arcs(edges: DataFrame, direction: str) -> DataFrame:
-    """Resolved edges as steps (kind, id) -> (next_kind, next_id): up goes to what depends, down to what is used."""
-    live = edges.where("resolved")
-    down = live.select(F.col("src_kind").alias("kind"), F.col("src_id").alias("id"), F.col("dst_kind").alias("next_kind"), F.col("dst_id").alias("next_id"), "edge_type", "confidence", F.lit("out").alias("way"))
-    up = live.select(F.col("dst_kind").alias("kind"), F.col("dst_id").alias("id"), F.col("src_kind").alias("next_kind"), F.col("src_id").alias("next_id"), "edge_type", "confidence", F.lit("in").alias("way"))
-    return {"up": up, "down": down, "both": up.unionByName(down)}[direction]
+    """Resolved edges as steps (kind, id) -> (next_kind, next_id): up goes to what depends, down to what is used; edges are read once."""
+    step = lambda a, b, way: F.struct(F.col(f"{a}_kind").alias("kind"), F.col(f"{a}_id").alias("id"), F.col(f"{b}_kind").alias("next_kind"), F.col(f"{b}_id").alias("next_id"), F.lit(way).alias("way"))
+    up, down = step("dst", "src", "in"), step("src", "dst", "out")
+    one = {"up": [up], "down": [down], "both": [up, down]}[direction]
+    return edges.where("resolved").select("edge_type", "confidence", F.inline(F.array(*one)))
 
 
 def walk(edges: DataFrame, start: DataFrame, depth: int, direction: str = "up", origin: list[str] | None = None) -> DataFrame:
@@ -166,8 +172,8 @@ def walk(edges: DataFrame, start: DataFrame, depth: int, direction: str = "up",
         n = frontier.count()
         if not n:
             break
-        reached = step.join(small(frontier.select(*key), n), ["kind", "id"]).groupBy(*origin, F.col("next_kind").alias("kind2"), F.col("next_id").alias("id2"))
-        new = reached.agg(F.min(F.struct("edge_type", "confidence", "kind", "id")).alias("via")).select(*origin, F.col("kind2").alias("kind"), F.col("id2").alias("id"), F.lit(level).alias("distance"), F.col("via.edge_type").alias("via_edge"), F.col("via.confidence").alias("via_confidence"))
+        reached = step.join(small(frontier.select(*key), n), ["kind", "id"]).groupBy(*origin, F.col("next_kind").alias("kind2"), F.col("next_id").alias("id2"), "edge_type", "confidence", "kind").agg(F.min("id").alias("id"))  # few of a node, found by hash tables
+        new = reached.groupBy(*origin, "kind2", "id2").agg(F.min(F.struct("edge_type", "confidence", "kind", "id")).alias("via")).select(*origin, F.col("kind2").alias("kind"), F.col("id2").alias("id"), F.lit(level).alias("distance"), F.col("via.edge_type").alias("via_edge"), F.col("via.confidence").alias("via_confidence"))
         frontier = cut(new.join(seen, key, "left_anti"))
         seen = seen.unionByName(frontier.select(*key))
         levels.append(frontier)
@@ -218,7 +224,8 @@ def diff_impact(changed: DataFrame, edges: DataFrame, files: DataFrame, symbols:
     known = paths.join(files.select("file_id", "path"), "path")
     start = known.select(F.col("path").alias("origin"), F.lit("file").alias("kind"), F.col("file_id").alias("id")).unionByName(known.join(symbols.select("symbol_id", "file_id"), "file_id").select(F.col("path").alias("origin"), F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id")))
     hit = walk(edges, start, depth, direction, ["origin"]).join(nodes(files, symbols).select("kind", "id", "path"), ["kind", "id"])
-    grouped = hit.groupBy("path").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set("origin")).alias("changed_by"), F.min(F.struct("distance", "origin", "via_edge", "via_confidence")).alias("via"))
+    each = hit.groupBy("path", "origin", "via_edge", "via_confidence").agg(F.min("distance").alias("distance"))  # few of a path, found by hash tables
+    grouped = each.groupBy("path").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set("origin")).alias("changed_by"), F.min(F.struct("distance", "origin", "via_edge", "via_confidence")).alias("via"))
     affected = grouped.select("path", "distance", "changed_by", "via.via_edge", "via.via_confidence").orderBy("distance", "path")
     counted = every.agg(F.count("*").alias("changed_files_total"))
     walked = F.col("changed_files_total") if max_files is None else F.least(F.col("changed_files_total"), F.lit(max_files))
@@ -245,7 +252,8 @@ def shortest_path(edges: DataFrame, src: DataFrame, dst: DataFrame, max_hops: in
         if met or not n or len(levels) - 1 == max_hops:
             break
         further = step.join(small(frontier.select("kind", "id"), n), ["kind", "id"])
-        best = further.groupBy(F.col("next_kind").alias("k"), F.col("next_id").alias("i")).agg(F.min(F.struct("edge_type", "confidence", "way", "kind", "id")).alias("m"))
+        least = further.groupBy(F.col("next_kind").alias("k"), F.col("next_id").alias("i"), "edge_type", "confidence", "way", "kind").agg(F.min("id").alias("id"))  # few of a node, found by hash tables
+        best = least.groupBy("k", "i").agg(F.min(F.struct("edge_type", "confidence", "way", "kind", "id")).alias("m"))
         new = best.select(F.col("k").alias("kind"), F.col("i").alias("id"), F.col("m.kind").alias("prev_kind"), F.col("m.id").alias("prev_id"), "m.edge_type", "m.confidence", "m.way")
         frontier = cut(new.join(seen, ["kind", "id"], "left_anti"))
         seen = seen.unionByName(frontier.select("kind", "id"))
@@ -271,8 +279,7 @@ def references(name: str, edges: DataFrame, files: DataFrame, symbols: DataFrame
 def node_card(name: str, edges: DataFrame, files: DataFrame, symbols: DataFrame, gods: DataFrame | None = None) -> dict[str, DataFrame]:
     """A symbol's definitions, its most connected one (primary), the callers of its name and the primary's callees."""
     defs = symbols.where(F.col("name") == name).join(degrees(symbols, edges), "symbol_id")
-    order = Window.orderBy(F.desc(F.col("in_degree") + F.col("out_degree")), "path", "line_start")
-    primary = defs.withColumn("n", F.row_number().over(order)).where("n = 1").withColumn("module", P.directory(F.col("path"))).drop("n")
+    primary = defs.orderBy(F.desc(F.col("in_degree") + F.col("out_degree")), "path", "line_start").limit(1).withColumn("module", P.directory(F.col("path")))
     if gods is not None:
         place = gods.withColumn("god_rank", F.row_number().over(Window.orderBy(F.desc("degree"), "key"))).groupBy(F.col("name").alias("g_name"), F.col("path").alias("g_path")).agg(F.min("god_rank").alias("god_rank"))
         primary = primary.join(F.broadcast(place), (F.col("name") == F.col("g_name")) & (F.col("path") == F.col("g_path")), "left").drop("g_name", "g_path")  # 20 rows

@@ -33,7 +33,8 @@ def stored_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return G.resolve(edges_raw(spark, d), symbols(spark, d), files(spark, d))
+    """Edges resolved anew from the raw ones, which an index holds too."""
+    return G.resolve(once(spark, f"raw edges of {d}", lambda: stored(edges_raw(spark, d))), symbols(spark, d), files(spark, d))
 
 
 @query(with_views(" SELECT edge_type, confidence, dst_kind, count(*) AS edges, count(DISTINCT dst_id) AS targets, sum(src_id)::BIGINT AS src_sum, sum(dst_id)::BIGINT AS dst_sum FROM edges GROUP BY ALL", "edges"))

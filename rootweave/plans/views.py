@@ -48,9 +48,11 @@ def edges_raw(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name")
     p = table(spark, d, "part").select("p_partkey", "p_name")
-    calls = line.join(o, line.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(s, line.l_suppkey == s.s_suppkey)
+    # The sides of unique keys become hash tables, so that the lines are never sorted.
+    bought = o.join(c.hint("shuffle_hash"), o.o_custkey == c.c_custkey).select("o_orderkey", "c_custkey", "c_nationkey")
+    calls = line.join(bought.hint("shuffle_hash"), line.l_orderkey == F.col("o_orderkey")).join(s.hint("shuffle_hash"), line.l_suppkey == s.s_suppkey)
     calls = calls.select(F.lit("call").alias("edge_type"), F.lit("symbol").alias("src_kind"), F.col("c_custkey").alias("src_id"), F.col("s_name").alias("dst_name"), F.col("c_nationkey").cast("long").alias("file_id"), F.col("l_linenumber").cast("int").alias("line"))
-    refs = line.join(s, line.l_suppkey == s.s_suppkey).join(p, line.l_partkey == p.p_partkey)
+    refs = line.join(s.hint("shuffle_hash"), line.l_suppkey == s.s_suppkey).join(p.hint("shuffle_hash"), line.l_partkey == p.p_partkey)
     refs = refs.select(F.lit("reference").alias("edge_type"), F.lit("symbol").alias("src_kind"), (F.col("s_suppkey") + SUPPLIER).alias("src_id"), F.col("p_name").alias("dst_name"), F.col("s_nationkey").cast("long").alias("file_id"), F.col("l_linenumber").cast("int").alias("line"))
     f = files(spark, d)
     module = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", ".")

@@ -85,6 +85,27 @@ def plan(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_edges_meet_their_targets_once(spark, index, tmp_path):
+    """Edges are read once a use and met by hash tables: no sort of them, however many ask for one name."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        raw = G.resolve(index["edges_raw"], index["symbols"], index["files"])
+        assert "ShuffledHashJoin" in next(x for x in plan(raw).splitlines() if "Join" in x)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    raw.write.parquet(str(tmp_path / "resolved"))
+    edges = spark.read.parquet(str(tmp_path / "resolved"))
+    assert plan(G.degrees(index["symbols"].select("symbol_id"), edges)).count("FileScan") == plan(G.arcs(edges, "both")).count("FileScan") == 1
+    assert sum(r.in_degree for r in G.degrees(index["symbols"].select("symbol_id"), edges).collect()) == edges.where("resolved AND dst_kind = 'symbol'").count()
+
+
+def test_an_edge_without_name_or_file_is_ambiguous(spark, index):
+    odd = index["edges_raw"].limit(1).withColumns({"dst_name": F.lit(None).cast("string"), "edge_type": F.lit("call")})
+    both = odd.unionByName(odd.withColumns({"file_id": F.lit(None).cast("long"), "dst_name": F.lit("login")}))
+    found = G.resolve(both, index["symbols"], index["files"]).orderBy("dst_name").collect()
+    assert [(r.dst_name, r.resolved, r.confidence) for r in found] == [(None, False, "ambiguous"), ("login", True, "extracted")]
+
+
 def test_cards_and_references(index):
     e, f, s = index["edges"], index["files"], index["symbols"].drop("in_degree", "out_degree")
     refs = [(r.path, r.kind) for r in G.references("refresh_access_token", e, f, s).collect()]
