@@ -7,13 +7,17 @@ written as a new version beside the old ones, and a pointer names the current on
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.functions import text as T
-from rootweave.storage import cut, open_version, write_version
+from rootweave.storage import cut, open_version, stored, write_version
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -22,24 +26,51 @@ def tokenised(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     return docs.select(F.col(doc).alias("doc"), T.tokens(text).alias("tokens"))
 
 
-def _runs(tokens: Column, entry) -> Column:  # noqa: ANN001
-    """entry(sorted, begin, end) of each run of one term in a document's sorted (term, pos) array: counting without a shuffle."""
+def _runs(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one term in one document of a batch (doc, tokens), by one sort of codes: the batch's terms; each run's document row,
+    term's code and begin; and of all tokens in that order the positions. Last the documents' lengths."""
+    lists = batch.column("tokens")
+    codes = pc.dictionary_encode(lists.flatten())
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    key = row * max(1, len(codes.dictionary)) + codes.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    begin = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.zeros(0, np.int64)
+    positions = (order - np.repeat(np.cumsum(size) - size, size)[order]).astype(np.int32)
+    return codes.dictionary, row[order[begin]], codes.indices.to_numpy(zero_copy_only=False)[order[begin]], begin, positions, size
 
-    def each(s: Column) -> Column:
-        term = lambda i: F.get(s, i)["term"]
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
-        of = lambda st: F.transform(st, lambda x, j: entry(s, x, F.coalesce(F.get(st, j + 1), F.size(s))))
-        return F.get(F.transform(F.array(starts), of), F.lit(0))
 
-    places = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    return F.when(F.size(tokens) > 0, F.get(F.transform(F.array(places), each), F.lit(0)))
+def _posted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        terms, row, code, begin, positions, size = _runs(batch)
+        ends = np.r_[begin, len(positions)]
+        at = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(positions))
+        columns = [terms.take(pa.array(code)), batch.column("doc").take(pa.array(row)), pa.array(size[row]), pa.array(np.diff(ends)), at]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "doc", "len", "tf", "positions"])
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        terms, _, code, begin, positions, _ = _runs(batch)
+        n = len(terms)
+        df, cf = np.bincount(code, minlength=n), np.bincount(code, np.diff(np.r_[begin, len(positions)]), minlength=n)
+        yield pa.RecordBatch.from_arrays([terms, pa.array(df.astype(np.int64)), pa.array(cf.astype(np.int64))], names=["term", "df", "cf"])
+
+
+def _in_batches(tokenised_docs: DataFrame, work, schema: str) -> DataFrame:  # noqa: ANN001
+    tokenised_docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return tokenised_docs.select("doc", "tokens").mapInArrow(work, schema)
 
 
 def postings(tokenised_docs: DataFrame) -> DataFrame:
     """(term, doc, len, tf, positions) with positions from 0, in order. A document is one row, so nothing shuffles."""
-    entry = lambda s, x, end: F.struct(F.get(s, x)["term"].alias("term"), (end - x).cast("long").alias("tf"), F.slice(s, x + 1, end - x)["pos"].alias("positions"))
-    each = tokenised_docs.select("doc", F.size("tokens").cast("long").alias("len"), F.explode(_runs(F.col("tokens"), entry)).alias("e"))
-    return each.select("e.term", "doc", "len", "e.tf", "e.positions")
+    return _in_batches(tokenised_docs, _posted, f"term string, doc {dict(tokenised_docs.dtypes)['doc']}, len long, tf long, positions array<int>")
+
+
+def laid_out(tokenised_docs: DataFrame) -> DataFrame:
+    """postings() in the layout of an index. They are stored first, as the ranges' bounds are found by reading them once more."""
+    return stored(postings(tokenised_docs)).repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
 
 
 class Index(NamedTuple):
@@ -49,8 +80,7 @@ class Index(NamedTuple):
 
 def write_index(tokenised_docs: DataFrame, folder: str) -> int:
     """Writes the index of documents as the folder's next version, which becomes the current one; gives its number."""
-    posts = postings(tokenised_docs).repartitionByRange(*map(F.col, ("term", "doc"))).sortWithinPartitions("term", "doc")
-    return write_version(folder, {"postings": posts, "corpus": corpus_stats(doc_stats(tokenised_docs))})
+    return write_version(folder, {"postings": laid_out(tokenised_docs), "corpus": corpus_stats(doc_stats(tokenised_docs))})
 
 
 def open_index(spark: SparkSession, folder: str, version: int | None = None) -> Index:
@@ -166,7 +196,5 @@ def refresh(postings_: DataFrame, changed_docs: DataFrame, removed: DataFrame) -
 
 
 def document_frequency(tokenised_docs: DataFrame) -> DataFrame:
-    """(term, df, cf): documents with the term and its occurrences. Documents count their own terms; one row a term and task shuffles."""
-    entry = lambda s, x, end: F.struct(F.get(s, x)["term"].alias("term"), (end - x).cast("long").alias("tf"))
-    each = tokenised_docs.select(F.explode(_runs(F.col("tokens"), entry)).alias("e"))
-    return each.groupBy("e.term").agg(F.count("*").alias("df"), F.sum("e.tf").alias("cf"))
+    """(term, df, cf): documents with the term and its occurrences. Batches of documents count their own terms; one row a term and task shuffles."""
+    return _in_batches(tokenised_docs, _counted, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))

@@ -67,7 +67,7 @@ def _derived(tables: dict[str, DataFrame], config: Config) -> dict[str, DataFram
     edges = storage.stored(graph.resolve(tables["edges_raw"], bare, tables["files"]))
     symbols = bare.join(graph.degrees(bare, edges), "symbol_id")
     tokens = fulltext.tokenised(tables["chunks"], "chunk_id", F.concat_ws(" ", "content", "symbol_names"))
-    return {**tables, "symbols": symbols, "edges": edges, "postings": fulltext.postings(tokens).repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"), "corpus": fulltext.corpus_stats(fulltext.doc_stats(tokens))}
+    return {**tables, "symbols": symbols, "edges": edges, "postings": fulltext.laid_out(tokens), "corpus": fulltext.corpus_stats(fulltext.doc_stats(tokens))}
 
 
 def _vectors(spark: SparkSession, chunks: DataFrame, old: dict[str, DataFrame], backend: embedding.Backend) -> tuple[dict[str, DataFrame], int]:

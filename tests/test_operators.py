@@ -238,6 +238,27 @@ def test_communities_of_two_triangles(spark):
     assert not any(r.exact for r in coarse.collect()) and coarse.count() == 6
 
 
+def test_postings_are_those_of_each_document(spark):
+    texts = {1: ["b", "a", "b"], 2: [], 3: ["é", "a", "a", "é"], 4: None, 7: ["x"] * 5}
+    tok = spark.createDataFrame(list(texts.items()), "doc long, tokens array<string>").repartition(1)
+    want = {(t, d, len(w), w.count(t), tuple(i for i, x in enumerate(w) if x == t)) for d, w in texts.items() for t in w or []}
+    posts = fulltext.postings(tok)
+    assert {(r.term, r.doc, r.len, r.tf, tuple(r.positions)) for r in posts.collect()} == want and posts.count() == len(want)
+    assert [t for _, t in posts.dtypes] == ["string", "bigint", "bigint", "bigint", "array<int>"]
+    assert {tuple(r) for r in fulltext.document_frequency(tok).collect()} == {("a", 2, 3), ("b", 1, 2), ("é", 1, 2), ("x", 1, 5)}
+    named = spark.createDataFrame([("k", ["a", "a"])], "doc string, tokens array<string>")
+    assert [tuple(r) for r in fulltext.postings(named).collect()] == [("a", "k", 2, 2, [0, 1])]
+
+
+def test_an_index_splits_its_texts_once_for_postings(spark, tmp_path):
+    """Of a range-partitioned write the postings were made twice: once more to find the ranges."""
+    seen = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda x: seen.add(1) or x, "array<string>").asNondeterministic()
+    tok = spark.createDataFrame([(k, ["a", "b"]) for k in range(10)], "doc long, tokens array<string>").withColumn("tokens", mark("tokens"))
+    fulltext.laid_out(tok).write.parquet(str(tmp_path / "posts"))
+    assert seen.value == 10 and spark.read.parquet(str(tmp_path / "posts")).count() == 20
+
+
 def test_bridges_are_counted_without_a_sort(spark):
     members = spark.createDataFrame([("a1", 1), ("a2", 1), ("b1", 2), ("b2", 2), ("c1", 3)], "node string, community int")
     edges = [("b2", "a2"), ("a1", "b2"), ("b1", "a2"), ("c1", "a2"), ("c1", "a1"), ("b1", "c1"), ("a1", "a2")]
