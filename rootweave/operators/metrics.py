@@ -42,7 +42,13 @@ def merge_ranges(ranges: DataFrame, *key: str) -> DataFrame:
 def innermost(ranges: DataFrame, points: DataFrame, key: str) -> DataFrame:
     """Points (key, point_id, at) with the narrowest range (range_id, begin, end) around them; ties go to the earlier begin, then id.
 
-    Both sides meet on the key, so a range join never compares across it.
+    Ranges meet points in buckets of the power of two above their length: a range is in two at most, and a point in one of each
+    length that its key has, so that pairs are compared in number like those found and never a key's whole product.
     """
-    around = points.join(ranges, key).where(F.col("at").between(F.col("begin"), F.col("end")))
+    span = (F.col("end") - F.col("begin") + 1).cast("double")
+    sized = ranges.where(F.col("end") >= F.col("begin")).withColumn("__size", F.pow(F.lit(2.0), F.ceil(F.log2(span))))
+    bucket = lambda x: F.floor(F.col(x) / F.col("__size")).cast("long")
+    placed = sized.withColumn("__bucket", F.explode(F.sequence(bucket("begin"), bucket("end"))))
+    asked = points.join(sized.select(key, "__size").distinct(), key).withColumn("__bucket", bucket("at"))
+    around = asked.join(placed, [key, "__size", "__bucket"]).where(F.col("at").between(F.col("begin"), F.col("end")))
     return around.groupBy(key, "point_id").agg(F.min_by("range_id", F.struct(F.col("end") - F.col("begin"), "begin", "range_id")).alias("range_id"))

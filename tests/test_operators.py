@@ -259,6 +259,19 @@ def test_an_index_splits_its_texts_once_for_postings(spark, tmp_path):
     assert seen.value == 10 and spark.read.parquet(str(tmp_path / "posts")).count() == 20
 
 
+def test_innermost_ranges_meet_points_in_buckets(spark):
+    import random
+
+    rng = random.Random(3)
+    ranges = [(rng.randrange(2), k, b := rng.randrange(-300, 300), b + rng.choice([0, 1, 7, 8, 90, 500, -3])) for k in range(300)]
+    points = [(rng.randrange(2), k, rng.randrange(-310, 900)) for k in range(300)]
+    inside = {(k, p): [(e - b, b, i) for j, i, b, e in ranges if j == k and b <= at <= e] for k, p, at in points}
+    want = {(k, p, min(found)[2]) for (k, p), found in inside.items() if found}
+    found = metrics.innermost(spark.createDataFrame(ranges, "k int, range_id long, begin long, end long"), spark.createDataFrame(points, "k int, point_id long, at long"), "k")
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 100
+    assert "__bucket" in next(x for x in plan(found).splitlines() if "Join" in x)
+
+
 def test_bridges_are_counted_without_a_sort(spark):
     members = spark.createDataFrame([("a1", 1), ("a2", 1), ("b1", 2), ("b2", 2), ("c1", 3)], "node string, community int")
     edges = [("b2", "a2"), ("a1", "b2"), ("b1", "a2"), ("c1", "a2"), ("c1", "a1"), ("b1", "c1"), ("a1", "a2")]
