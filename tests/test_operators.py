@@ -272,6 +272,11 @@ def test_innermost_ranges_meet_points_in_buckets(spark):
     assert "__bucket" in next(x for x in plan(found).splitlines() if "Join" in x)
 
 
+def test_ranges_that_are_equal_merge_once(spark):
+    rows = [("k", 1, 5), ("k", 1, 5), ("k", 7, 9), ("k", 7, 9), ("k", 6, 6), ("k", 12, 13), ("k", 12, 13)]
+    assert sorted((x.begin, x.end) for x in metrics.merge_ranges(spark.createDataFrame(rows, "k string, begin long, end long"), "k").collect()) == [(1, 9), (12, 13)]
+
+
 def test_bridges_are_counted_without_a_sort(spark):
     members = spark.createDataFrame([("a1", 1), ("a2", 1), ("b1", 2), ("b2", 2), ("c1", 3)], "node string, community int")
     edges = [("b2", "a2"), ("a1", "b2"), ("b1", "a2"), ("c1", "a2"), ("c1", "a1"), ("b1", "c1"), ("a1", "a2")]
